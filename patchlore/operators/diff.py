@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from patchlore.functions.text import delta_label, insignificant
-from patchlore.plans.scan import BLOCK_ROWS, by_width, last_value, scan
+from patchlore.plans.scan import by_width, last_value, scan
 
 # Patterns of the unified diff format.
 FILE_HEADER = r"^diff --git a/(.+?) b/(.+)$"
@@ -91,7 +91,7 @@ def delta_counts(lines: DataFrame, keys: Sequence[str] = ("pr_id", "path"), kind
 
 
 def with_head_line(lines: DataFrame, keys: Sequence[str] = ("pr_id", "path"), idx: str = "idx", new: str = "new",
-                   width: int = BLOCK_ROWS) -> DataFrame:
+                   width: int | None = None) -> DataFrame:
     """Add ``head_line``: own new number, or for a removed line the one above it (at least 1)."""
     out = scan(lines, keys, [idx], {"_above": last_value(F.col(new))}, by_width(idx, width))
     one = F.lit(1).cast("long")
@@ -99,7 +99,7 @@ def with_head_line(lines: DataFrame, keys: Sequence[str] = ("pr_id", "path"), id
 
 
 def changed_head_lines(lines: DataFrame, keys: Sequence[str] = ("pr_id", "path"), idx: str = "idx", kind: str = "kind",
-                       new: str = "new", text: str = "text", width: int = BLOCK_ROWS) -> DataFrame:
+                       new: str = "new", text: str = "text", width: int | None = None) -> DataFrame:
     """Distinct (keys, head_line) touched by significant added or removed lines."""
     marked = lines.select(*keys, idx, new, ((F.col(kind) != "ctx") & ~insignificant(F.col(text))).alias("_hit"))
     placed = with_head_line(marked, keys, idx, new, width)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlore.functions.paths import module_candidates
 from patchlore.functions.text import content_hash, wordless
-from patchlore.plans.scan import BLOCK_ROWS, by_width, last_value, number_rows, running_max, running_sum, scan
+from patchlore.plans.scan import by_width, last_value, number_rows, running_max, running_sum, scan
 from patchlore.plans.skew import salted_join
 from patchlore.session import cut
 
@@ -79,7 +79,7 @@ def offset_to_line(offsets: DataFrame, starts: DataFrame, keys: Sequence[str] =
 
 
 def clamp_spans(spans: DataFrame, keys: Sequence[str] = ("pr_id", "file"), order: Sequence[str] = ("start_line",),
-                full: str = "full_line", end: str = "end_line", width: int = BLOCK_ROWS) -> DataFrame:
+                full: str = "full_line", end: str = "end_line", width: int | None = None) -> DataFrame:
     """Add ``span_start``, ``span_end``: no line before the end of an earlier definition."""
     d = scan(spans, keys, order, {"_prev": running_max(F.col(end), inclusive=False)}, by_width(order[0], width))
     start = F.greatest(F.col(full), F.coalesce("_prev", F.lit(0)) + 1)
@@ -133,30 +133,30 @@ def resolve_export(wanted: DataFrame, top_defs: DataFrame, reexports: DataFrame,
     hop = reexports.select(*keys, F.col("file").alias("at"), "pos", "exported", "imported", F.col("module").alias("to"))
     hop = cut(hop, "hops")
     star, named = hop.filter(F.col("exported") == "*"), hop.filter(F.col("exported") != "*")
+    spot = keys + ["module", "name", "at", "as_name"]
     front = wanted.select(*keys, "module", "name").distinct().select(
         *keys, "module", "name", F.col("module").alias("at"), F.col("name").alias("as_name"),
         F.array().cast("array<int>").alias("chain"))
     front = cut(front, "front")
-    seen = front
-    spot = keys + ["module", "name", "at", "as_name"]
-    found = None
-    here = keys + ["at", "as_name"]
+    seen, rounds = front, 0
     while True:
-        tried = cut(salted_join(front, own, here, "left"), "tried")
-        hits = tried.filter(F.col("def_id").isNotNull()).select(*keys, "module", "name", "chain", "def_id")
-        found = hits if found is None else found.unionByName(hits)
-        open_ = tried.filter(F.col("def_id").isNull()).drop("def_id")
+        open_ = salted_join(front, own, keys + ["at", "as_name"], "left_anti")
         chain = F.concat("chain", F.array(F.col("pos").cast("int"))).alias("chain")
         by_star = salted_join(open_, star.drop("exported", "imported"), keys + ["at"]).select(
             *keys, "module", "name", F.col("to").alias("at"), "as_name", chain)
-        by_name = salted_join(open_, named.withColumnRenamed("exported", "as_name"), here).select(
+        by_name = salted_join(open_, named.withColumnRenamed("exported", "as_name"), keys + ["at", "as_name"]).select(
             *keys, "module", "name", F.col("to").alias("at"), F.col("imported").alias("as_name"), chain)
         nxt = by_star.unionByName(by_name).groupBy(*spot).agg(F.min("chain").alias("chain"))
-        nxt = nxt.join(seen.withColumnRenamed("chain", "_old"), spot, "left")
-        front = cut(nxt.filter(F.col("_old").isNull() | (F.col("chain") < F.col("_old"))).drop("_old"), "front")
+        old = seen.groupBy(*spot).agg(F.min("chain").alias("_old"))
+        nxt = nxt.join(old, spot, "left").filter(F.col("_old").isNull() | (F.col("chain") < F.col("_old"))).drop("_old")
+        front = cut(nxt, "front")
         if front.isEmpty():
-            return found.groupBy(*keys, "module", "name").agg(F.min_by("def_id", "chain").alias("def_id"))
-        seen = cut(seen.unionByName(front).groupBy(*spot).agg(F.min("chain").alias("chain")), "seen")
+            hits = salted_join(seen, own, keys + ["at", "as_name"])
+            return hits.groupBy(*keys, "module", "name").agg(F.min_by("def_id", "chain").alias("def_id"))
+        seen = seen.unionByName(front)
+        rounds += 1
+        if rounds % 16 == 0:  # keep the plan short on very long chains
+            seen = cut(seen, "seen")
 
 
 def resolve_uses(uses: DataFrame, defs: DataFrame, imports: DataFrame, reexports: DataFrame, keys: Sequence[str] = ("pr_id",),

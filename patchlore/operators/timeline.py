@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchlore.functions.text import is_merge_message
 from patchlore.functions.times import when_range
-from patchlore.plans.scan import BLOCK_ROWS, by_width, group_max, group_sum, islands, number_rows, row_before, running_sum, scan
+from patchlore.plans.scan import by_width, group_max, group_sum, islands, number_rows, row_before, running_sum, scan
 from patchlore.plans.skew import salted_join
 
 # Gap that opens a sweep, and the length of the band ramp.
@@ -21,7 +21,7 @@ def _micros(ts: str) -> Column:
 
 
 def sweep_ids(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "ts", order: str = "ord",
-              gap_hours: float = SWEEP_GAP_HOURS, width: int = BLOCK_ROWS) -> DataFrame:
+              gap_hours: float = SWEEP_GAP_HOURS, width: int | None = None) -> DataFrame:
     """Add ``sweep`` (from 1, oldest first).
 
     Commits are walked from the largest ``order`` (a log is newest first); a
@@ -40,21 +40,21 @@ def _fold(i: Column, n: Column) -> Column:
     return F.least(F.lit(BANDS), F.floor(i * BANDS / n) + 1)
 
 
-def sweep_bands(sweeps: DataFrame, keys: Sequence[str] = ("pr_id",), order: str = "ord", width: int = BLOCK_ROWS) -> DataFrame:
+def sweep_bands(sweeps: DataFrame, keys: Sequence[str] = ("pr_id",), order: str = "ord", width: int | None = None) -> DataFrame:
     """Add ``band`` 1..4: the sweep number itself up to four sweeps, else folded onto four."""
     d = scan(sweeps, keys, [order], {"_n": group_max(F.col("sweep"))}, by_width(order, width))
     band = F.when(F.col("_n") <= BANDS, F.col("sweep")).otherwise(_fold(F.col("sweep") - 1, F.col("_n")))
     return d.withColumn("band", band.cast("long")).drop("_n")
 
 
-def order_bands(commits: DataFrame, keys: Sequence[str] = ("pr_id",), order: str = "ord", width: int = BLOCK_ROWS) -> DataFrame:
+def order_bands(commits: DataFrame, keys: Sequence[str] = ("pr_id",), order: str = "ord", width: int | None = None) -> DataFrame:
     """Add ``band`` by position in the log (``order`` counts from 1, newest first)."""
     d = scan(commits, keys, [order], {"_m": group_sum(F.lit(1).cast("long"))}, by_width(order, width))
     return d.withColumn("band", _fold(F.col("_m") - F.col(order), F.col("_m")).cast("long")).drop("_m")
 
 
 def commit_bands(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "ts", order: str = "ord",
-                 gap_hours: float = SWEEP_GAP_HOURS, width: int = BLOCK_ROWS) -> DataFrame:
+                 gap_hours: float = SWEEP_GAP_HOURS, width: int | None = None) -> DataFrame:
     """Sweep bands, or order bands where the oldest commit has no time."""
     d = sweep_bands(sweep_ids(commits, keys, ts, order, gap_hours, width), keys, order, width).withColumnRenamed("band", "_sb")
     d = order_bands(d, keys, order, width).withColumnRenamed("band", "_ob")
@@ -99,7 +99,7 @@ def file_bands(lines: DataFrame, keys: Sequence[str] = ("pr_id", "path"), band:
 
 
 def day_groups(commits: DataFrame, keys: Sequence[str] = ("pr_id",), day: Column | None = None, order: str = "ord",
-               message: str = "message", width: int = BLOCK_ROWS) -> DataFrame:
+               message: str = "message", width: int | None = None) -> DataFrame:
     """Runs of equal day in the newest-first list of non-merge commits."""
     real = commits.filter(~is_merge_message(F.col(message)))
     real = real.withColumn("day", F.col("day") if day is None else day)
@@ -110,19 +110,18 @@ def day_groups(commits: DataFrame, keys: Sequence[str] = ("pr_id",), day: Column
 
 def story_steps(touched: DataFrame, entries: DataFrame, keys: Sequence[str] = (), comp: str = "comp_id", entry: str = "entry_id",
                 sha: str = "sha", band: str = "band", order: str = "ord", message: str = "message",
-                width: int = BLOCK_ROWS) -> DataFrame:
+                width: int | None = None) -> DataFrame:
     """(keys, comp, sha, order, band, step): non-merge commits touching a component, oldest first from 0."""
     real = touched.filter(~is_merge_message(F.col(message)))
     by_comp = salted_join(real, entries.select(*keys, comp, entry), list(keys) + [entry])
     steps = by_comp.groupBy(*keys, comp, sha).agg(F.max(order).alias(order), F.max(band).alias(band))
-    low = F.floor(F.col(order) / F.lit(width))
-    steps = number_rows(steps, list(keys) + [comp], [order], low, "step", reverse=True)
+    steps = number_rows(steps, list(keys) + [comp], [order], by_width(order, width), "step", reverse=True)
     return steps.withColumn("step", F.col("step") - 1)
 
 
 def story_replay(touched: DataFrame, entries: DataFrame, keys: Sequence[str] = (), comp: str = "comp_id", entry: str = "entry_id",
                  sha: str = "sha", band: str = "band", order: str = "ord", message: str = "message",
-                 width: int = BLOCK_ROWS) -> DataFrame:
+                 width: int | None = None) -> DataFrame:
     """(keys, comp, entry, step, band): the step that lights an entry, and the band of that step."""
     steps = story_steps(touched, entries, keys, comp, entry, sha, band, order, message, width)
     hits = salted_join(touched.select(*keys, entry, sha), entries.select(*keys, comp, entry), list(keys) + [entry])

@@ -12,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from patchlore.plans.size import is_small
 from patchlore.plans.skew import all_of, hot_keys, mark_hot
 
 BLOCK_ROWS = 1 << 18
@@ -56,9 +57,11 @@ def group_sum(value: Column) -> Step:
     return Step("gsum", value)
 
 
-def by_width(col: str, width: int = BLOCK_ROWS) -> Column:
-    """Block number for a dense integer order column (row index, line number)."""
-    return F.floor(F.col(col) / F.lit(width))
+def by_width(col: str, width: int | None = None) -> Column:
+    """Block number for an integer order column (row index, line number, offset)."""
+    spark = SparkSession.getActiveSession()
+    rows = int(spark.conf.get("patchlore.block.rows", str(width or BLOCK_ROWS)))
+    return F.floor(F.col(col) / F.lit(rows))
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mapping[str, Step], block: Column,
@@ -67,9 +70,13 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
 
     ``block`` must grow with the first order column. With ``split_hot_only`` it
     is used for hot keys only (for sparse orders such as time), which costs one
-    map-side combined count of the keys.
+    map-side combined count of the keys. An input small enough for one task is
+    scanned by a plain window. Keys must not be null: plain equality lets the
+    carry join reuse the partitioning of the window.
     """
     keys = list(keys)
+    if is_small(df):
+        return _plain(df, keys, order, steps, reverse)
     if split_hot_only:
         df = mark_hot(df, keys, hot_keys(df, keys))
         df = df.withColumn("_blk", F.when(F.col("_hot"), block.cast("long")).otherwise(F.lit(0).cast("long"))).drop("_hot")
@@ -113,7 +120,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
                        F.count("*").over(all_blocks).alias("_nb"), *carry)
     sums = sums.filter(F.col("_nb") > 1).drop("_nb")
 
-    match = all_of([F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_blk") == F.col("_kb")])
+    match = all_of([F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.col("_blk") == F.col("_kb")])
     joined = scanned.join(sums, match, "left")
     out = [F.col(c) for c in df.columns if c != "_blk"]
     for i, (name, s) in enumerate(steps.items()):
@@ -130,6 +137,19 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
     return joined.select(*out)
 
 
+def _plain(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mapping[str, Step], reverse: bool) -> DataFrame:
+    rows = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() if reverse else F.col(c).asc() for c in order])
+    whole = Window.partitionBy(*keys)
+    out = []
+    for name, s in steps.items():
+        frame = rows.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
+        col = {"sum": lambda: F.coalesce(F.sum(s.value).over(frame), F.lit(0)), "max": lambda: F.max(s.value).over(frame),
+               "last": lambda: F.last(s.value, ignorenulls=True).over(frame), "gmax": lambda: F.max(s.value).over(whole),
+               "gmin": lambda: F.min(s.value).over(whole), "gsum": lambda: F.sum(s.value).over(whole)}[s.kind]()
+        out.append(col.alias(name))
+    return df.select("*", *out)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str = "rn",
                 reverse: bool = False, split_hot_only: bool = False) -> DataFrame:
     """Row number (from 1) per key, without sorting a whole hot key in one task."""

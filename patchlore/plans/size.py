@@ -1,0 +1,24 @@
+"""Size check that decides whether a key can be too heavy for one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_BYTES = 64 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """True when Catalyst's size estimate of the whole input fits one task.
+
+    Then no key of it can be hot, and splitting would only add work. Joins are
+    over-estimated by Catalyst, so a doubtful input counts as large. Set
+    ``patchlore.small.bytes`` to 0 to force the large-input plans.
+    """
+    limit = int(df.sparkSession.conf.get("patchlore.small.bytes", str(SMALL_BYTES)))
+    if limit <= 0:
+        return False
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size)) <= limit
+    except AttributeError:  # no local planner to ask (remote session)
+        return False

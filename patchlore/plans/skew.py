@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from patchlore.plans.size import is_small
+
 HOT_ROWS = 1_000_000  # a key with more rows than this is split
 HOT_KEYS = 10_000     # at most this many keys are split; any other key holds < 1/10000 of the rows
 FAN = 64              # pieces a hot key is split into
@@ -47,6 +49,8 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
                 hot: DataFrame | None = None) -> DataFrame:
     """Equi join whose left side may have hot keys (right side few rows per key)."""
     on = list(on)
+    if hot is None and is_small(left):
+        return left.join(right, on, how)
     hot = hot_keys(left, on) if hot is None else hot
     joined = salt_many(left, on, hot).join(salt_copies(right, on, hot), on + ["_salt"], how)
     return joined.drop("_salt")

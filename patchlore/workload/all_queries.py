@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is full."""
 
-from patchlore.workload import diff_queries, symbol_queries, timeline_queries  # noqa: F401
+from patchlore.workload import diff_queries, graph_queries, symbol_queries, timeline_queries  # noqa: F401
 from patchlore.workload.registry import QUERIES, SQL  # noqa: F401
