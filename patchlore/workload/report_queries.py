@@ -87,8 +87,8 @@ def file_deltas(spark, sf):
 fs AS (SELECT path, string_split(path, '/') AS p, n_chars AS "add", doc_id % 9 AS del FROM s_files),
 ds AS (SELECT list_slice(p, 1, k) AS seg, "add", del FROM fs, range(1, 10) r(k) WHERE k < len(p))
 SELECT array_to_string(seg, '/') AS node, true AS is_dir, len(seg) - 1 AS depth, CAST(sum("add") AS BIGINT) AS "add", CAST(sum(del) AS BIGINT) AS del, count(*) AS files,
-  array_to_string(list_transform(seg, x -> '0' || x), '/') AS sort_key FROM ds GROUP BY seg
-UNION ALL SELECT path, false, len(p) - 1, "add", del, 1, array_to_string(list_append(list_transform(list_slice(p, 1, len(p) - 1), x -> '0' || x), '1' || p[len(p)]), '/') FROM fs"""))
+  array_to_string(['0' || x FOR x IN seg], '/') AS sort_key FROM ds GROUP BY seg
+UNION ALL SELECT path, false, len(p) - 1, "add", del, 1, array_to_string(list_append(['0' || x FOR x IN list_slice(p, 1, len(p) - 1)], '1' || p[len(p)]), '/') FROM fs"""))
 def file_tree(spark, sf):
     d = rp.file_tree(file_deltas(spark, sf), NOKEY)
     return d.withColumn("sort_key", F.array_join("sort_key", "/")).withColumn("depth", F.col("depth").cast("long"))
