@@ -79,11 +79,11 @@ def attribute_lines(lines: DataFrame, written: DataFrame, commits: DataFrame, bl
     head = commits.groupBy(*keys).agg(F.min_by("sha", "ord").alias("_head")) if keys else commits.agg(F.min_by("sha", "ord").alias("_head"))
     d = lines.join(by, keys + ["path", "idx"], "left")
     if keys:
-        d = salted_join(d, head, keys, "left")
+        d = salted_join(d, head, keys, "left", probe=lines)
         fallback = F.col("_head")
     else:
         fallback = head.scalar()
-    return d.withColumn("by", F.when(F.col("kind") != "ctx", F.coalesce("by", fallback))).drop("_head")
+    return cut(d.withColumn("by", F.when(F.col("kind") != "ctx", F.coalesce("by", fallback))).drop("_head"), "attributed")
 
 
 def stamp_lines(lines: DataFrame, commits: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
@@ -178,7 +178,7 @@ def stale_threads(threads: DataFrame, versions: DataFrame, keys: Sequence[str] =
     seen = scan(both, keys, ["at", "_is"], {"_before": last_value(F.col("_v"))}, hour, split_hot_only=True)
     seen = seen.filter(F.col("_is") == 1).select(*keys, "thread_id", F.col("at").alias("created"), F.col("_before.text").alias("before"))
     now = versions.groupBy(*keys).agg(F.max(F.struct("at", "sha", "text")).alias("_now"))
-    d = salted_join(seen, now, keys).filter(F.col("_now.at") > F.col("created"))
+    d = salted_join(seen, now, keys, probe=threads).filter(F.col("_now.at") > F.col("created"))
     return d.select(*keys, "thread_id", "created", "before", F.col("_now.text").alias("after"),
                     F.col("_now.sha").alias("sha"), F.col("_now.at").alias("at"))
 

@@ -47,7 +47,7 @@ def enclosing_def(uses: DataFrame, spans: DataFrame, keys: Sequence[str] = ("pr_
 
 def adjacency(references: DataFrame, keys: Sequence[str] = PR, a: str = "a", b: str = "b") -> DataFrame:
     """Undirected distinct neighbour pairs (src, dst)."""
-    return loops.both_ways(references, keys, a, b)
+    return cut(loops.both_ways(references, keys, a, b), "adjacency")
 
 
 def _with_loops(pairs: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> loops.Links:
@@ -61,7 +61,7 @@ def flood_fill(seeds: DataFrame, pairs: DataFrame, keys: Sequence[str] = PR, hop
     The result itself grows with seeds times reach. To group fills use
     ``merge_fills``, which never lists these pairs.
     """
-    return loops.reach(seeds.select(*keys, F.col("id").alias("src")), loops.prepare(pairs, keys), hops)
+    return loops.reach(seeds.select(*keys, F.col("id").alias("src")), loops.prepare(pairs, keys, ready=True), hops)
 
 
 def fill_starters(seeds: DataFrame, pairs: DataFrame, keys: Sequence[str] = PR, hops: int = MAX_HOPS) -> DataFrame:
@@ -80,11 +80,10 @@ def merge_fills(starters: DataFrame, pairs: DataFrame, keys: Sequence[str] = PR,
     a row per (fill, node).
     """
     keys = list(keys)
-    base = cut(pairs, "pairs")
-    links = loops.prepare(base, keys)
+    links = loops.prepare(pairs, keys, ready=True)
     dist = cut(loops.distance(starters.select(*keys, F.col("id").alias("src")), links, hops), "dist")
     near = dist.filter(F.col("dist") < hops).select(*keys, "src")
-    inner = salted_join(base, near, keys + ["src"])
+    inner = salted_join(pairs, near, keys + ["src"])
     inner = inner.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b"))
     linked = loops.prepare(loops.both_ways(inner, keys), keys, dist.select(*keys, "src"))
     return loops.components(linked).select(*keys, F.col("src").alias("node"), F.col("label").alias("comp"))
@@ -195,7 +194,7 @@ def edge_kinds(edges: DataFrame, entries_: DataFrame, keys: Sequence[str] = PR)
     An end may be a hub; its single entry row is then copied over the salts.
     """
     d = salted_join(edges, _end(entries_, keys, "a"), list(keys) + ["a"], "left")
-    d = salted_join(d, _end(entries_, keys, "b"), list(keys) + ["b"], "left")
+    d = salted_join(d, _end(entries_, keys, "b"), list(keys) + ["b"], "left", probe=edges)
     a, b = F.coalesce("seed_a", F.lit(False)), F.coalesce("seed_b", F.lit(False))
     kind = F.when(a & b, "co").when(b, "risk").when(a, "out").otherwise("quiet")
     return d.withColumn("kind", kind).drop("seed_a", "seed_b")
@@ -206,7 +205,7 @@ def edges_of(edges: DataFrame, entries_: DataFrame, keys: Sequence[str] = PR) ->
     keys = list(keys)
     known = entries_.select(*keys, F.col("entry_id").alias("a"), F.lit(True).alias("_ka"))
     d = salted_join(edges, known, keys + ["a"], "left")
-    d = salted_join(d, known.withColumnsRenamed({"a": "b", "_ka": "_kb"}), keys + ["b"], "left")
+    d = salted_join(d, known.withColumnsRenamed({"a": "b", "_ka": "_kb"}), keys + ["b"], "left", probe=edges)
     ends = F.array(F.struct(F.col("a").alias("entry_id"), F.lit("out").alias("direction"), F.col("b").alias("other")),
                    F.struct(F.col("b").alias("entry_id"), F.lit("in").alias("direction"), F.col("a").alias("other")))
     d = d.filter(F.col("_ka") & F.col("_kb")).drop("_ka", "_kb").withColumn("_e", F.explode(ends))
@@ -218,7 +217,7 @@ def internal_edges(edges: DataFrame, members: DataFrame, keys: Sequence[str] = P
     keys = list(keys)
     m = members.select(*keys, "comp_id", "entry_id")
     d = salted_join(edges, m.withColumnRenamed("entry_id", "a"), keys + ["a"])
-    return salted_join(d, m.withColumnRenamed("entry_id", "b"), keys + ["comp_id", "b"])
+    return salted_join(d, m.withColumnRenamed("entry_id", "b"), keys + ["comp_id", "b"], probe=edges, probe_on=keys + ["b"])
 
 
 def trace_edges(traces: DataFrame, members: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
@@ -231,7 +230,7 @@ def trace_edges(traces: DataFrame, members: DataFrame, keys: Sequence[str] = PR)
     m = members.select(*keys, "comp_id", "entry_id", F.col("pos").alias("_mp"))
     t = traces.filter(F.col("object").isNotNull()).withColumnRenamed("component", "comp_id")
     d = salted_join(t, m, keys + ["comp_id", "entry_id"])
-    d = salted_join(d, m.select(*keys, "comp_id", F.col("entry_id").alias("object")), keys + ["comp_id", "object"])
+    d = salted_join(d, m.select(*keys, "comp_id", F.col("entry_id").alias("object")), keys + ["comp_id", "object"], probe=t)
     pair = keys + ["comp_id", F.least("entry_id", "object").alias("lo"), F.greatest("entry_id", "object").alias("hi")]
     best = F.min(F.struct("_mp", "pos", F.col("entry_id").alias("a"), F.col("object").alias("b"), "relation")).alias("p")
     return d.groupBy(*pair).agg(best).select(*keys, "comp_id", "p.a", "p.b", F.col("p.relation").alias("rel"))
@@ -256,9 +255,9 @@ def cross_component_links(edges: DataFrame, members: DataFrame, traces: DataFram
     for mine, other, into in (("a", "b", False), ("b", "a", True)):
         inside = salted_join(edges.select(*keys, "a", "b"), m.select(*keys, "comp_id", F.col("entry_id").alias(mine)), keys + [mine])
         gone = m.select(*keys, "comp_id", F.col("entry_id").alias(other))
-        gone = salted_join(inside, gone, keys + ["comp_id", other], "left_anti")
+        gone = salted_join(inside, gone, keys + ["comp_id", other], "left_anti", probe=edges, probe_on=keys + [other])
         there = home.select(*keys, F.col("entry_id").alias(other), F.col("comp_id").alias("target"))
-        d = salted_join(gone, there, keys + [other])
+        d = salted_join(gone, there, keys + [other], probe=edges)
         sides.append(d.select(*keys, "comp_id", "target", F.col(mine).alias("entry_id"), F.lit(into).alias("into")))
     links = sides[0].unionByName(sides[1])
     if traces is not None:
@@ -315,7 +314,7 @@ def _callers(edges: DataFrame, entries_: DataFrame, keys: list[str], callee_chan
     caller = entries_.select(*keys, F.col("entry_id").alias("a"), F.col("name").alias("name"), F.col("seed").alias("_sa"))
     d = salted_join(edges, caller, keys + ["a"]).filter(F.col("_sa") == caller_changed)
     callee = entries_.select(*keys, F.col("entry_id").alias("b"), F.col("seed").alias("_sb"))
-    return salted_join(d, callee, keys + ["b"]).filter(F.col("_sb") == callee_changed).withColumnRenamed("b", "entry_id")
+    return salted_join(d, callee, keys + ["b"], probe=edges).filter(F.col("_sb") == callee_changed).withColumnRenamed("b", "entry_id")
 
 
 def untouched_callers(edges: DataFrame, entries_: DataFrame, keys: Sequence[str] = PR, order: str = "edge_ord") -> DataFrame:

@@ -10,6 +10,7 @@ from patchlore.functions.text import base_name, is_merge_message, parent_dir
 from patchlore.operators.graph import first_of, names_and_rest
 from patchlore.plans.scan import by_width, number_rows
 from patchlore.plans.skew import salted_join
+from patchlore.session import cut
 
 # List lengths and the conclusions that do not fail a check.
 DETAIL_COMMITS = 5
@@ -32,7 +33,7 @@ def component_commits(touches: DataFrame, commits: DataFrame, members: DataFrame
     keys = list(keys)
     pairs = salted_join(touches, members.select(*keys, "comp_id", "entry_id"), keys + ["entry_id"])
     pairs = pairs.select(*keys, "comp_id", "sha").distinct()
-    return salted_join(pairs, _real(commits), keys + ["sha"])
+    return pairs.join(_real(commits), keys + ["sha"])
 
 
 def contribution_matrix(comp_commits: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
@@ -115,9 +116,9 @@ def component_rail(walk: DataFrame, context: DataFrame, marks: DataFrame, review
     stops = walk.groupBy(*keys, "comp_id").agg(F.count("*").alias("stops"))
     other = context.groupBy(*keys, "comp_id").agg(F.count("*").alias("unchanged"))
     sizes = stops.join(other, keys + ["comp_id"], "full").na.fill(0, ["stops", "unchanged"])
-    ticked = salted_join(walk.select(*keys, "comp_id", "id"), marks.filter("read").select("reviewer", *keys, "id"), keys + ["id"])
+    ticked = walk.select(*keys, "comp_id", "id").join(marks.filter("read").select("reviewer", *keys, "id"), keys + ["id"])
     ticked = ticked.groupBy("reviewer", *keys, "comp_id").agg(F.count("*").alias("read"))
-    every = salted_join(sizes, reviewers.select("reviewer", *keys).distinct(), keys)
+    every = salted_join(sizes, reviewers.select("reviewer", *keys).distinct(), keys, probe=walk)
     d = every.join(ticked, ["reviewer", *keys, "comp_id"], "left").na.fill(0, ["read"])
     return d.select("reviewer", *keys, "comp_id", "stops", "read", "unchanged")
 
@@ -127,7 +128,7 @@ def component_totals(file_deltas: DataFrame, entry_paths: DataFrame, members: Da
     keys = list(keys)
     pairs = salted_join(entry_paths.select(*keys, "entry_id", "path").distinct(), members.select(*keys, "comp_id", "entry_id"), keys + ["entry_id"])
     pairs = pairs.select(*keys, "comp_id", "path").distinct()
-    return salted_join(pairs, file_deltas, keys + ["path"]).groupBy(*keys, "comp_id").agg(
+    return pairs.join(file_deltas, keys + ["path"]).groupBy(*keys, "comp_id").agg(
         F.count("*").alias("files"), F.sum("add").alias("add"), F.sum("del").alias("del"))
 
 
@@ -154,7 +155,7 @@ def context_group(context: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
 def commit_dots(touched: DataFrame, keys: Sequence[str] = PR, order: str = "ord", width: int | None = None) -> DataFrame:
     """(keys, entry_id, pos, band): bands of the commits that wrote an entry, in page order."""
     keys = list(keys)
-    d = number_rows(touched.select(*keys, "entry_id", order, "band"), keys + ["entry_id"], [order], by_width(order, width), "pos")
+    d = number_rows(cut(touched, "touched").select(*keys, "entry_id", order, "band"), keys + ["entry_id"], [order], by_width(order, width), "pos")
     return d.select(*keys, "entry_id", "pos", "band")
 
 

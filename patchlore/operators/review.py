@@ -10,6 +10,7 @@ from patchlore.functions.text import anchor_line, anchor_path, base_name, is_mer
 from patchlore.plans.intervals import points_in_spans
 from patchlore.plans.scan import by_width, number_rows, running_max, scan
 from patchlore.plans.skew import salted_join
+from patchlore.session import cut
 
 # Share of known commits below which a branch counts as rewritten,
 # and the name of the stamp that lists exported thread ids.
@@ -46,14 +47,14 @@ def mark_reviewed(marks: DataFrame, commits: DataFrame, ids: DataFrame, keys: Se
 def written_counts(id_lines: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
     """(keys, id, by, lines, adds): changed lines per reviewable id and commit, combined map-side."""
     d = id_lines.filter((F.col("kind") != "ctx") & F.col("by").isNotNull())
-    return d.groupBy(*keys, "id", "by").agg(F.count("*").alias("lines"), F.count_if(F.col("kind") == "add").alias("adds"))
+    return cut(d.groupBy(*keys, "id", "by").agg(F.count("*").alias("lines"), F.count_if(F.col("kind") == "add").alias("adds")), "counts")
 
 
 def _unseen(counts: DataFrame, states: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of commits each reviewer of a group has not seen."""
     d = salted_join(counts, states, keys)
     known = seen.select("reviewer", *keys, F.col("sha").alias("by"))
-    return salted_join(d, known, ["reviewer", *keys, "by"], "left_anti")
+    return salted_join(d, known, ["reviewer", *keys, "by"], "left_anti", probe=counts, probe_on=[*keys, "by"])
 
 
 def new_since_checkpoint(ids: DataFrame, counts: DataFrame, states: DataFrame, seen: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
@@ -130,7 +131,7 @@ def review_summary(reviewers: DataFrame, states: DataFrame, seen: DataFrame, rea
     fresh = new_since_checkpoint(ids, counts, states, seen, keys)
     marks = is_read(fresh, read, keys).groupBy(*on).agg(F.count_if(~F.col("read")).alias("unread"), F.count_if(F.col("fresh") > 0).alias("back"))
     every = salted_join(real.select(*keys, "sha"), states.select(*on), keys)
-    since = salted_join(every, seen.select(*on, "sha"), on + ["sha"], "left_anti").groupBy(*on).agg(F.count("*").alias("since"))
+    since = every.join(seen.select(*on, "sha"), on + ["sha"], "left_anti").groupBy(*on).agg(F.count("*").alias("since"))
     lines = new_line_count(entry_counts, states, seen, keys, per_id=False)
     d = reviewers.select(*on).join(totals, keys).join(n_ids, keys, "left")
     d = d.join(branch_rewritten(states, seen, commits, keys), on, "left")
@@ -155,7 +156,7 @@ def walk_order(members: DataFrame, entries: DataFrame, weights: DataFrame, lefto
     rest = leftovers.select(*keys, "comp_id").distinct().select(
         *keys, "comp_id", F.concat(F.lit(REST), F.col("comp_id").cast("string")).alias("id"), F.lit(1).alias("_rest"),
         F.lit(0).cast("long").alias("_light"), F.lit(0).cast("long").alias("_at"))
-    rows = ours.unionByName(rest)
+    rows = cut(ours.unionByName(rest), "stops")
     block = F.col("_rest") * F.lit(1 << 50) + F.col("_light")
     d = number_rows(rows, keys + ["comp_id"], ["_rest", "_light", "_at", "id"], block, "pos", split_hot_only=True)
     return d.select(*keys, "comp_id", "id", "pos")
@@ -176,7 +177,7 @@ def next_unread(walk: DataFrame, marks: DataFrame, cursors: DataFrame, keys: Seq
     on = ["reviewer", *keys]
     total = walk.groupBy(*keys).agg(F.max("pos").alias("_n"))
     stops = salted_join(walk, cursors.join(total, keys), keys)
-    unread = salted_join(stops, marks.filter("read").select(*on, "id"), on + ["id"], "left_anti")
+    unread = stops.join(marks.filter("read").select(*on, "id"), on + ["id"], "left_anti")
     ahead = F.pmod(F.col("pos") - F.col("at") - 1, F.col("_n"))
     return unread.groupBy(*on).agg(F.min_by("id", ahead).alias("next_id"))
 

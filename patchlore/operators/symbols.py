@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patchlore.functions.paths import module_candidates
 from patchlore.functions.text import content_hash, wordless
 from patchlore.plans.scan import by_width, last_value, number_rows, running_max, running_sum, scan
-from patchlore.plans.skew import salted_join
+from patchlore.plans.skew import all_of, salted_join
 from patchlore.session import cut
 
 # What ends an attached comment, and the shortest indexed name.
@@ -28,6 +28,7 @@ def collapse_mirrors(files: DataFrame, keys: Sequence[str] = ("pr_id",), path: s
     depth = F.size(F.split(path, "/"))
     hashed = files.select(*keys, path, F.struct((-F.col(preferred).cast("int")).alias("p"), depth.alias("d"), F.col(path).alias("path")).alias("_rank"),
                           content_hash(F.col(text)).alias("_hash"))
+    hashed = cut(hashed, "hashed")  # texts are read and hashed once
     best = hashed.groupBy(*keys, "_hash").agg(F.min("_rank").alias("_best"))
     joined = salted_join(hashed, best, list(keys) + ["_hash"])
     return joined.select(*keys, path, F.col("_best.path").alias("canonical_path"))
@@ -99,7 +100,7 @@ def resolve_spec(specs: DataFrame, files: DataFrame, canonical: DataFrame | None
         moved = canonical.filter(F.col("path") != F.col("canonical_path"))
         moved = moved.select(*keys, F.col("path").alias("_cand"), F.col("canonical_path").alias("_hit"))
         known = known.join(moved.select(*keys, "_cand"), keys + ["_cand"], "left_anti").unionByName(moved)
-    todo = specs.select(*keys, from_file, spec).distinct()
+    todo = cut(specs.select(*keys, from_file, spec).distinct(), "specs")
     tries = todo.select(*keys, from_file, spec, F.posexplode(module_candidates(F.col(from_file), F.col(spec))).alias("_i", "_cand"))
     found = salted_join(tries, known, keys + ["_cand"]).groupBy(*keys, from_file, spec).agg(F.min_by("_hit", "_i").alias("module"))
     return specs.join(found, keys + [from_file, spec], "left")
@@ -142,14 +143,13 @@ def resolve_export(wanted: DataFrame, top_defs: DataFrame, reexports: DataFrame,
     while True:
         open_ = salted_join(front, own, keys + ["at", "as_name"], "left_anti")
         chain = F.concat("chain", F.array(F.col("pos").cast("int"))).alias("chain")
-        by_star = salted_join(open_, star.drop("exported", "imported"), keys + ["at"]).select(
+        by_star = salted_join(open_, star.drop("exported", "imported"), keys + ["at"], probe=front).select(
             *keys, "module", "name", F.col("to").alias("at"), "as_name", chain)
-        by_name = salted_join(open_, named.withColumnRenamed("exported", "as_name"), keys + ["at", "as_name"]).select(
+        by_name = salted_join(open_, named.withColumnRenamed("exported", "as_name"), keys + ["at", "as_name"], probe=front).select(
             *keys, "module", "name", F.col("to").alias("at"), F.col("imported").alias("as_name"), chain)
         nxt = by_star.unionByName(by_name).groupBy(*spot).agg(F.min("chain").alias("chain"))
-        old = seen.groupBy(*spot).agg(F.min("chain").alias("_old"))
-        nxt = nxt.join(old, spot, "left").filter(F.col("_old").isNull() | (F.col("chain") < F.col("_old"))).drop("_old")
-        front = cut(nxt, "front")
+        better = all_of([F.col(f"n.{c}") == F.col(f"s.{c}") for c in spot] + [F.col("s.chain") <= F.col("n.chain")])
+        front = cut(nxt.alias("n").join(seen.alias("s"), better, "left_anti"), "front")
         if front.isEmpty():
             hits = salted_join(seen, own, keys + ["at", "as_name"])
             return hits.groupBy(*keys, "module", "name").agg(F.min_by("def_id", "chain").alias("def_id"))
@@ -183,26 +183,27 @@ def resolve_uses(uses: DataFrame, defs: DataFrame, imports: DataFrame, reexports
     unique = defs.groupBy(*keys, "name").agg(F.count("*").alias("_n"), F.min("def_id").alias("d_unique")).filter(F.col("_n") == 1).drop("_n")
 
     step = salted_join(todo, local, keys + ["file", "name"], "left")
-    step = salted_join(step, first_imp, keys + ["file", "name"], "left")
-    step = cut(salted_join(step, has_ns, keys + ["file"], "left"), "step")
+    step = salted_join(step, first_imp, keys + ["file", "name"], "left", probe=todo)
+    step = cut(salted_join(step, has_ns, keys + ["file"], "left", probe=todo), "step")
     by_import = F.col("d_local").isNull() & F.col("kind").isNotNull()
     by_space = F.col("d_local").isNull() & F.col("kind").isNull() & F.col("is_prop") & F.col("_ns")
 
     default = F.lit("default") if default_name is None else default_name
     target = F.when(F.col("kind") == "named", F.col("imported")).when(F.col("kind") == "default", default)
     asked = step.filter(by_import & F.col("kind").isin("named", "default")).select(*keys, "module", target.alias("name"))
-    members = salted_join(step.filter(by_space).select(*use_keys), spaces, keys + ["file"])
+    members = cut(salted_join(step.filter(by_space).select(*use_keys), spaces, keys + ["file"]), "members")
     asked = asked.unionByName(members.select(*keys, F.col("ns_module").alias("module"), "name")).distinct()
     exports = cut(resolve_export(asked, tops, reexports, keys), "exports")
 
     exp = exports.select(*keys, "module", F.col("name").alias("_target"), F.col("def_id").alias("d_export"))
-    step = salted_join(step.withColumn("_target", target), exp, keys + ["module", "_target"], "left")
+    base = step.withColumn("_target", target)
+    step = salted_join(base, exp, keys + ["module", "_target"], "left")
     modloc = tops.select(*keys, F.col("file").alias("module"), "name", F.col("def_id").alias("d_module"))
-    step = salted_join(step, modloc, keys + ["module", "name"], "left")
+    step = salted_join(step, modloc, keys + ["module", "name"], "left", probe=base)
     ns_hit = salted_join(members, exports.select(*keys, F.col("module").alias("ns_module"), "name", F.col("def_id").alias("d")), keys + ["ns_module", "name"])
     ns_best = ns_hit.groupBy(*use_keys).agg(F.min_by("d", "ns_pos").alias("d_space"))
     step = step.join(ns_best, use_keys, "left")
-    step = salted_join(step, unique, keys + ["name"], "left")
+    step = salted_join(step, unique, keys + ["name"], "left", probe=base)
 
     d_imp = F.coalesce(F.col("d_export"), F.when(F.col("kind") == "default", F.col("d_module")))
     rest = F.col("d_local").isNull() & ~by_import & ~F.coalesce(by_space, F.lit(False))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patchlore.functions.text import is_merge_message
 from patchlore.functions.times import when_range
 from patchlore.plans.scan import by_width, group_max, group_sum, islands, number_rows, row_before, running_sum, scan
+from patchlore.plans.size import settle
 from patchlore.plans.skew import salted_join
+from patchlore.session import cut
 
 # Gap that opens a sweep, and the length of the band ramp.
 SWEEP_GAP_HOURS = 2
@@ -32,7 +34,7 @@ def sweep_ids(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "t
     d = scan(d, keys, [order], {"_was": row_before(F.col("_now"))}, by_width(order, width), reverse=True)
     opens = (F.col("_was").isNull() | (F.col("_was.day") != F.col("_now.day"))
              | (F.col("_now.t") - F.col("_was.t") > F.lit(int(gap_hours * 3600 * 1_000_000))))
-    d = d.withColumn("_open", opens.cast("long")).drop("_now", "_was")
+    d = settle(d.withColumn("_open", opens.cast("long")).drop("_now", "_was"), commits)
     return scan(d, keys, [order], {"sweep": running_sum(F.col("_open"))}, by_width(order, width), reverse=True).drop("_open")
 
 
@@ -56,11 +58,14 @@ def order_bands(commits: DataFrame, keys: Sequence[str] = ("pr_id",), order: str
 def commit_bands(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "ts", order: str = "ord",
                  gap_hours: float = SWEEP_GAP_HOURS, width: int | None = None) -> DataFrame:
     """Sweep bands, or order bands where the oldest commit has no time."""
-    d = sweep_bands(sweep_ids(commits, keys, ts, order, gap_hours, width), keys, order, width).withColumnRenamed("band", "_sb")
-    d = order_bands(d, keys, order, width).withColumnRenamed("band", "_ob")
+    d = settle(sweep_ids(commits, keys, ts, order, gap_hours, width), commits)
     timed = F.struct(F.col(order).alias("o"), F.col(ts).isNotNull().alias("timed"))
-    d = scan(d, keys, [order], {"_oldest": group_max(timed)}, by_width(order, width))
-    return d.withColumn("band", F.when(F.col("_oldest.timed"), F.col("_sb")).otherwise(F.col("_ob"))).drop("_sb", "_ob", "_oldest")
+    d = scan(d, keys, [order], {"_n": group_max(F.col("sweep")), "_m": group_sum(F.lit(1).cast("long")), "_oldest": group_max(timed)},
+             by_width(order, width))
+    by_sweep = F.when(F.col("_n") <= BANDS, F.col("sweep")).otherwise(_fold(F.col("sweep") - 1, F.col("_n")))
+    by_order = _fold(F.col("_m") - F.col(order), F.col("_m"))
+    band = F.when(F.col("_oldest.timed"), by_sweep).otherwise(by_order)
+    return d.withColumn("band", band.cast("long")).drop("_n", "_m", "_oldest")
 
 
 def band_ranges(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "ts", band: str = "band",
@@ -114,7 +119,7 @@ def story_steps(touched: DataFrame, entries: DataFrame, keys: Sequence[str] = ()
     """(keys, comp, sha, order, band, step): non-merge commits touching a component, oldest first from 0."""
     real = touched.filter(~is_merge_message(F.col(message)))
     by_comp = salted_join(real, entries.select(*keys, comp, entry), list(keys) + [entry])
-    steps = by_comp.groupBy(*keys, comp, sha).agg(F.max(order).alias(order), F.max(band).alias(band))
+    steps = cut(by_comp.groupBy(*keys, comp, sha).agg(F.max(order).alias(order), F.max(band).alias(band)), "steps")
     steps = number_rows(steps, list(keys) + [comp], [order], by_width(order, width), "step", reverse=True)
     return steps.withColumn("step", F.col("step") - 1)
 
@@ -123,9 +128,11 @@ def story_replay(touched: DataFrame, entries: DataFrame, keys: Sequence[str] = (
                  sha: str = "sha", band: str = "band", order: str = "ord", message: str = "message",
                  width: int | None = None) -> DataFrame:
     """(keys, comp, entry, step, band): the step that lights an entry, and the band of that step."""
+    touched = cut(touched.select(*keys, entry, sha, band, order, message), "touched")
     steps = story_steps(touched, entries, keys, comp, entry, sha, band, order, message, width)
     hits = salted_join(touched.select(*keys, entry, sha), entries.select(*keys, comp, entry), list(keys) + [entry])
-    lit = salted_join(hits, steps.select(*keys, comp, sha, "step", band), list(keys) + [comp, sha])
+    lit = salted_join(hits, steps.select(*keys, comp, sha, "step", band), list(keys) + [comp, sha], probe=touched,
+                      probe_on=list(keys) + [sha])
     first = lit.groupBy(*keys, comp, entry).agg(F.min(F.struct("step", band)).alias("p"))
     return first.select(*keys, comp, entry, "p.step", f"p.{band}")
 

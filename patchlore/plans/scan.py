@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from patchlore.plans.size import is_small
+from patchlore.plans.size import is_small, settle
 from patchlore.plans.skew import all_of, hot_keys, mark_hot
 
 BLOCK_ROWS = 1 << 18
@@ -162,6 +162,6 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Col
     marked = scan(df.withColumn("_v", F.struct(value.alias("v"))), keys, order,
                   {"_prev": row_before(F.col("_v"))}, block, reverse, split_hot_only)
     starts = F.when(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col("_v.v")), 1).otherwise(0)
-    marked = marked.withColumn("_start", starts.cast("long")).drop("_prev", "_v")
+    marked = settle(marked.withColumn("_start", starts.cast("long")).drop("_prev", "_v"), df)
     out = scan(marked, keys, order, {name: running_sum(F.col("_start"))}, block, reverse, split_hot_only)
     return out.drop("_start")

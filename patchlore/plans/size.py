@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from patchlore.session import cut
+
 SMALL_BYTES = 64 << 20
 
 
@@ -22,3 +24,8 @@ def is_small(df: DataFrame) -> bool:
         return int(str(size)) <= limit
     except AttributeError:  # no local planner to ask (remote session)
         return False
+
+
+def settle(df: DataFrame, base: DataFrame) -> DataFrame:
+    """Write ``df`` out when its input ``base`` is large and ``df`` is read more than once next."""
+    return df if is_small(base) else cut(df, "settled")

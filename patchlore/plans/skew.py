@@ -45,14 +45,21 @@ def salt_copies(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame
     return mark_hot(df, keys, hot).withColumn("_salt", F.explode(salts)).drop("_hot")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-                hot: DataFrame | None = None) -> DataFrame:
-    """Equi join whose left side may have hot keys (right side few rows per key)."""
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", probe: DataFrame | None = None,
+                probe_on: Sequence[str] | None = None) -> DataFrame:
+    """Equi join whose left side may have hot keys (right side few rows per key).
+
+    ``probe`` is the table whose rows ``left`` derives from by lookups: it is
+    cheap to read and has the same heavy values in ``probe_on`` (default
+    ``on``), so a chain of joins need not be run twice to find its hot keys.
+    """
     on = list(on)
-    if hot is None and is_small(left):
+    base = left if probe is None else probe
+    if is_small(base):
         return left.join(right, on, how)
-    hot = hot_keys(left, on) if hot is None else hot
-    joined = salt_many(left, on, hot).join(salt_copies(right, on, hot), on + ["_salt"], how)
+    heavy = list(probe_on or on)
+    hot = hot_keys(base, heavy)
+    joined = salt_many(left, heavy, hot).join(salt_copies(right, heavy, hot), on + ["_salt"], how)
     return joined.drop("_salt")
 
 

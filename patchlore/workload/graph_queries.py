@@ -72,8 +72,7 @@ def fill_starters(spark, sf):
 
 def merged(spark, sf):
     """Seeds, neighbour pairs and components of the stand-in graph."""
-    from patchlore.session import cut
-    pairs = cut(g.adjacency(t.edges(spark, sf), NOKEY), "pairs")
+    pairs = g.adjacency(t.edges(spark, sf), NOKEY)
     seeds = t.seeds(spark, sf)
     starters = g.fill_starters(seeds, pairs, NOKEY)
     return seeds, pairs, g.merge_fills(starters, pairs, NOKEY)
