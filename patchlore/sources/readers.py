@@ -93,7 +93,7 @@ def _quote(s: str) -> str:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Dataset documents (or parts of them); unreadable rows are left out."""
     d = spark.read.schema(schema.DOCUMENT + ", _bad STRING").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return d.filter(F.col("_bad").isNull())
+    return d.filter(F.col("_bad").isNull() & F.col("pr_id").isNotNull())
 
 
 def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
