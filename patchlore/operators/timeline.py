@@ -143,7 +143,8 @@ def story_edges(replay: DataFrame, edges: DataFrame, keys: Sequence[str] = (), c
     on = list(keys) + [comp]
     a = lit.withColumnsRenamed({"_e": "a", "step": "step_a"})
     b = lit.withColumnsRenamed({"_e": "b", "step": "step_b"})
-    d = edges.join(a, on + ["a"], "left").join(b, on + ["b"], "left")
+    d = salted_join(edges, a, on + ["a"], "left")
+    d = salted_join(d, b, on + ["b"], "left", probe=edges)
     both = F.col("step_a").isNotNull() & F.col("step_b").isNotNull()
     return d.withColumn("on_step", F.when(both, F.greatest("step_a", "step_b")))
 

@@ -45,10 +45,10 @@ def _fields(kind: str) -> list[str]:
 def _file_section(files: DataFrame, lines: DataFrame, part_rows: int, slice_rows: int) -> DataFrame:
     row = F.struct(*[(F.col(c) if c in lines.columns else F.lit(None)).alias(c) for c in ("idx", "kind", "old", "new", "text", "band", "by", "conflict")])
     d = lines.select("pr_id", "path", F.floor((F.col("idx") - 1) / F.lit(slice_rows)).alias("_s"), row.alias("_l"))
-    d = d.groupBy("pr_id", "path", "_s").agg(F.array_sort(F.collect_list("_l")).alias("lines"), F.count("*").alias("_n"))
-    d = salted_join(d, files.select("pr_id", "path", "old_path", "delta"), ["pr_id", "path"], "left")
-    n = d.groupBy("pr_id").agg(F.ceil(F.sum("_n") / F.lit(part_rows)).alias("_p"))
-    d = salted_join(d, n, ["pr_id"]).withColumn("part", F.pmod(F.xxhash64("path", "_s"), F.col("_p")))
+    d = d.groupBy("pr_id", "path", "_s").agg(F.array_sort(F.collect_list("_l")).alias("lines"))
+    d = salted_join(d, files.select("pr_id", "path", "old_path", "delta"), ["pr_id", "path"], "left", probe=lines)
+    n = lines.groupBy("pr_id").agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("_p"))
+    d = salted_join(d, n, ["pr_id"], probe=lines).withColumn("part", F.pmod(F.xxhash64("path", "_s"), F.col("_p")))
     one = F.struct("path", "old_path", "delta", "lines")
     return d.groupBy("pr_id", "part").agg(F.collect_list(one).cast(schema.SECTIONS["files"]).alias("files"))
 

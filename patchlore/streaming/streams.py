@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from patchlore.operators.timeline import SWEEP_GAP_HOURS
 from patchlore.session import new_path
 
+SALTS = 16
+
 
 def sweeps_stream(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "ts", gap_hours: float = SWEEP_GAP_HOURS,
                   late: str = "1 day") -> DataFrame:
@@ -30,11 +32,15 @@ def review_ageing_stream(pushes: DataFrame, states: DataFrame, seen: DataFrame,
     ``pushes`` streams (keys, id, by, kind); ``states`` and ``seen`` are tables,
     read again for every micro-batch. The checkpoint time is part of the key, so
     marking again starts new counts; an id is unread while its newest checkpoint
-    has a row. Counts combine map-side, so a busy request is no hot key.
+    has a row. Counts combine map-side.
     """
     keys = list(keys)
     p = pushes.filter((F.col("kind") != "ctx") & F.col("by").isNotNull())
-    d = p.join(states.filter(F.col("reviewed_at") > 0).select("reviewer", *keys, "reviewed_at"), keys)
+    # streams have no runtime skew handling: the few state rows are copied over
+    # fixed salts, so that the pushes of one busy request meet them in many tasks
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    marked = states.filter(F.col("reviewed_at") > 0).select("reviewer", *keys, "reviewed_at", copies)
+    d = p.withColumn("_salt", F.pmod(F.xxhash64("by", "id"), F.lit(SALTS)).cast("int")).join(marked, keys + ["_salt"]).drop("_salt")
     known = seen.select("reviewer", *keys, F.col("sha").alias("by"))
     d = d.join(known, ["reviewer", *keys, "by"], "left_anti")
     return d.groupBy("reviewer", *keys, "id", "reviewed_at").agg(F.count("*").alias("fresh"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlore.plans.scan import by_width, number_rows, row_before, running_sum, scan
 from patchlore.plans.skew import salted_join
+from patchlore.session import cut
 
 HOUR = 3600
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -69,7 +70,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", *order)
     nxt = scan(li, ["l_orderkey"], order, {"b": row_before(F.col("l_partkey"))}, by_width("l_linenumber"), reverse=True)
     keep = nxt.filter((F.col("l_quantity") == 1) & F.col("b").isNotNull() & (F.col("b") != F.col("l_partkey")))
-    return keep.select(F.col("l_partkey").alias("a"), "b").distinct()
+    return cut(keep.select(F.col("l_partkey").alias("a"), "b").distinct(), "edges")
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
