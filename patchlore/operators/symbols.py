@@ -191,7 +191,11 @@ def resolve_uses(uses: DataFrame, defs: DataFrame, imports: DataFrame, reexports
     default = F.lit("default") if default_name is None else default_name
     target = F.when(F.col("kind") == "named", F.col("imported")).when(F.col("kind") == "default", default)
     asked = step.filter(by_import & F.col("kind").isin("named", "default")).select(*keys, "module", target.alias("name"))
-    members = cut(salted_join(step.filter(by_space).select(*use_keys), spaces, keys + ["file"]), "members")
+    # a member whose name no module exports cannot resolve: dropped before it meets every namespace
+    renamed = reexports.filter(F.col("exported") != "*").select(*keys, F.col("exported").try_cast(tops.schema["name"].dataType).alias("name"))
+    exportable = tops.select(*keys, "name").unionByName(renamed).distinct()
+    asking = salted_join(step.filter(by_space).select(*use_keys), exportable, keys + ["name"], "left_semi", probe=step)
+    members = cut(salted_join(asking, spaces, keys + ["file"], probe=step), "members")
     asked = asked.unionByName(members.select(*keys, F.col("ns_module").alias("module"), "name")).distinct()
     exports = cut(resolve_export(asked, tops, reexports, keys), "exports")
 
