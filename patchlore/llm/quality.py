@@ -47,8 +47,8 @@ class Rule:
 
 RULES = [
     Rule("word_length", "word_chars", "n_words", 2.0, 20.0),
-    Rule("symbols", "n_symbols", "n_words", None, 0.5),
-    Rule("stop_words", "n_stop_words", "n_words", 0.02, None),
+    Rule("symbols", "n_symbols", "n_words", None, 0.3),
+    Rule("stop_words", "n_stop_words", "n_words", 0.05, None),
     Rule("dup_lines", "n_dup_lines", "n_lines", None, 0.5),
 ]
 
@@ -142,8 +142,8 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
       FROM w LEFT JOIN c ON w.rid = c.rid),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 20.0 * n_words AND n_symbols <= 0.5 * n_words
-       AND n_stop >= CAST(0.02 AS DOUBLE) * n_words AND n_dup_lines <= 0.5 * n_lines AS kept
+       NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 20.0 * n_words AND n_symbols <= CAST(0.3 AS DOUBLE) * n_words
+       AND n_stop >= CAST(0.05 AS DOUBLE) * n_words AND n_dup_lines <= 0.5 * n_lines AS kept
 FROM b
 """
 
