@@ -1,4 +1,4 @@
 """Imports every query module of this subpackage so that its registry is full."""
 
-from patchlore.llm import lines, packing, quality  # noqa: F401
+from patchlore.llm import lines, packing, pages, quality  # noqa: F401
 from patchlore.llm.registry import QUERIES, SQL  # noqa: F401
