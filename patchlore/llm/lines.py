@@ -28,34 +28,29 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def row_key(text: Column, *others: Column) -> list[Column]:
-    """96 bits that stand for one row; equal rows share them."""
-    return [F.xxhash64(text, *others).alias("_k1"), F.hash(*others, text).alias("_k2")]
+def line_hash(line: Column) -> Column:
+    """Hash of a trimmed line, null for a blank one."""
+    return F.when(F.length(trimmed(line)) > 0, F.xxhash64(trimmed(line)))
 
 
-def page_lines(docs: DataFrame, host: str, text: str, id_col: str) -> DataFrame:
-    """One row per non-blank line: row key, host, page content key, position, line hash."""
-    split = docs.filter(F.col(host).isNotNull()).select(
-        *row_key(F.col(text), F.col(id_col), F.col(host)), F.col(host).alias("_host"), F.xxhash64(text).alias("_page"),
-        F.posexplode(F.split(F.col(text), "\n", -1)).alias("_pos", "_line"))
-    return split.filter(F.length(trimmed(F.col("_line"))) > 0).select("_k1", "_k2", "_host", "_page", "_pos", F.xxhash64(trimmed(F.col("_line"))).alias("_h"))
+def page_lines(docs: DataFrame, host: str, text: str) -> DataFrame:
+    """One row per non-blank line: host, page content key, line hash."""
+    split = docs.filter(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.xxhash64(text).alias("_page"), F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
+    return split.select("_host", "_page", line_hash(F.col("_line")).alias("_h")).filter(F.col("_h").isNotNull())
 
 
-def line_frequencies(docs: DataFrame, host: str = "source", text: str = "text", id_col: str = "doc_id", min_pages: int = MIN_PAGES) -> DataFrame:
-    """(_host, _h, pages, host_pages, rows) of lines on at least ``min_pages`` pages of their host."""
-    lines = page_lines(docs, host, text, id_col)
-    per_page = lines.groupBy("_host", "_h", "_page").agg(F.count("*").alias("_rows"))
-    counts = per_page.groupBy("_host", "_h").agg(F.count("*").alias("pages"), F.sum("_rows").alias("rows")).filter(F.col("pages") >= min_pages)
+def line_frequencies(docs: DataFrame, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES) -> DataFrame:
+    """(_host, _h, pages, host_pages) of the lines on at least ``min_pages`` pages of their host."""
+    per_page = page_lines(docs, host, text).distinct()
+    counts = cut(per_page.groupBy("_host", "_h").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages), "line-counts")
     totals = docs.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.countDistinct(F.xxhash64(text)).alias("host_pages"))
-    counts = cut(counts, "line-counts")
-    fan = fan_of(counts.groupBy("_host").count(), "count")
-    salted = counts.withColumn("_salt", F.pmod(F.col("_h"), F.lit(fan)))
-    return salted.join(copies(totals, fan), ["_host", "_salt"]).drop("_salt")
+    fan = fan_of(counts, "_host")
+    return counts.withColumn("_salt", F.pmod(F.col("_h"), F.lit(fan))).join(copies(totals, fan), ["_host", "_salt"]).drop("_salt")
 
 
-def fan_of(counts: DataFrame, col: str) -> int:
-    """Pieces the heaviest key is split into, from its row count."""
-    most = counts.agg(F.max(col)).first()[0] or 0
+def fan_of(df: DataFrame, key: str) -> int:
+    """Pieces a key's rows are split into, from the row count of the heaviest key."""
+    most = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     return 1 + int(most) // ROWS_PER_TASK
 
 
@@ -63,24 +58,31 @@ def copies(df: DataFrame, fan: int) -> DataFrame:
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, **names) -> DataFrame:
-    return line_frequencies(docs, **names).filter(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
-
-
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", id_col: str = "doc_id", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with cleaned text and a column ``lines_dropped``."""
-    bad = cut(boilerplate(docs, ratio, host=host, text=text, id_col=id_col, min_pages=min_pages).select("_host", "_h", "rows"), "boilerplate")
-    fan = fan_of(bad, "rows")
-    lines = page_lines(docs, host, text, id_col).withColumn("_salt", F.pmod(F.xxhash64("_k1", "_pos"), F.lit(fan)))
-    hits = lines.join(copies(bad.drop("rows"), fan), ["_host", "_h", "_salt"])
-    drops = hits.groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_at"))
-    keyed = docs.select("*", *row_key(F.col(text), F.col(id_col), F.col(host)))
-    joined = keyed.join(drops, ["_k1", "_k2"], "left")
-    # array_except hashes, so long texts with many dropped lines stay linear
-    rest = lambda at: F.array_except(F.sequence(F.lit(0), F.size(at) - 1), F.col("_at"))
-    kept = let(F.split(F.col(text), "\n", -1), lambda at: F.transform(rest(at), lambda i: F.get(at, i)))
-    clean = F.when(F.col("_at").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[clean.alias(text) if c == text else F.col(c) for c in docs.columns], F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("lines_dropped"))
+def boilerplate(docs: DataFrame, ratio: float = RATIO, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES) -> DataFrame:
+    """(_host, _bad): the line hashes above the ratio. A host has at most lines per page / ratio of them."""
+    over = line_frequencies(docs, host, text, min_pages).filter(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
+    return over.groupBy("_host").agg(F.collect_set("_h").alias("_bad"))
+
+
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``docs`` with cleaned text and a column ``lines_dropped``.
+
+    The written table of hosts is joined to the pages: Spark broadcasts it while
+    its files are small and otherwise shuffles by host, hot hosts in pieces.
+    """
+    bad = cut(boilerplate(docs, ratio, host, text, min_pages), "boilerplate")
+    fan = fan_of(docs.filter(F.col(host).isNotNull()), host)
+    salted = docs.withColumns({"_host": F.col(host), "_salt": F.pmod(F.xxhash64(*docs.columns), F.lit(fan))})
+    joined = salted.join(copies(bad, fan), ["_host", "_salt"], "left")
+
+    def clean(lines: Column) -> Column:
+        hashes = F.transform(lines, line_hash)
+        return let(F.array_intersect(hashes, F.col("_bad")), lambda hit: F.when(F.size(hit) > 0, F.filter(lines, lambda x: ~F.coalesce(F.array_contains(hit, line_hash(x)), F.lit(False)))))
+
+    found = joined.withColumn("_rest", F.when(F.col("_bad").isNotNull(), let(F.split(F.col(text), "\n", -1), clean)))
+    new = F.when(F.col("_rest").isNull(), F.col(text)).otherwise(F.array_join("_rest", "\n"))
+    gone = F.coalesce(F.size(F.split(F.col(text), "\n", -1)) - F.size("_rest"), F.lit(0)).cast("long")
+    return found.select(*[new.alias(text) if c == text else F.col(c) for c in docs.columns], F.when(F.col("_rest").isNull(), 0).otherwise(gone).cast("long").alias("lines_dropped"))
 
 
 SQL = f"""
