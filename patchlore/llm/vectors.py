@@ -71,7 +71,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     """(query_id, rank, vec_id, score) of the ``k`` best rows of the index for each row of ``queries``."""
     q = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("m")).select("id", "m.*")
     batches = 1 + q.count() // QUERY_BATCH
-    blocks = index.select("dim", "block")
+    blocks = index.select("dim", F.col("block").alias("at"))
     asked = q.join(blocks, "dim").withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
     held = index.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
 
@@ -85,8 +85,8 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
                 found += [(query_id, vec, score) for score, vec in top_rows(s, ids, vector, query_id, k)]
         return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
-    keys = ["dim", "block", "batch"]
-    part = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score long")
+    asked = asked.select(F.col("dim").alias("q_dim"), "at", F.col("batch").alias("q_batch"), "id", "v")
+    part = held.groupBy("dim", "block", "batch").cogroup(asked.groupBy("q_dim", "at", "q_batch")).applyInArrow(best, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
