@@ -10,9 +10,10 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Sequence
+from unicodedata import is_normalized
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 END_ID = 1
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -25,25 +26,43 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class ChunkEncoder:
+def byte_letters() -> dict[int, str]:
+    """Byte -> letter of byte-level vocabularies: printable bytes stand for themselves, the rest for 256 upwards."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class ChunkEncoder(dict):
+    """chunk -> its ids as little-endian unsigned 32-bit bytes, filled on demand."""
+
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        low = chunk.lower()
+        if chunk.isalpha() and low.isalpha() and "\u03a3" not in chunk and is_normalized("NFC", chunk):
+            # One pre-token whose normal form is its lower case (a capital sigma would depend on its place).
+            ids = [t.id for t in self.tokenize(low.encode().decode("latin-1").translate(self.letters))]
+            got = array("I", ids).tobytes()
+        elif chunk and chunk[-1] in ",." and chunk[:-1].isalpha():
+            got = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            got = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = got
+        return got
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; a null text has none."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        new = list(set().union(*split) - known.keys())
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        """Ids of each text; a null text has none."""
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 def encoder(path: str | None = None) -> ChunkEncoder:
