@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
-import xxhash
 
 WORDS = 5
-CACHE_ENTRIES = 300_000
+HASH_BITS = 48        # of a shingle, so that text number and hash sort as one integer
 CHUNK = 1 << 16
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)  # splitmix64
+_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,27 +30,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
+class _Powers:
+    """Powers of the base and of its inverse modulo 2**64, extended as needed."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            steps = np.full(2 * n, _BASE, dtype=np.uint64)
+            steps[0] = 1
+            self.up = np.cumprod(steps)
+            steps[1:] = pow(_BASE, -1, 1 << 64)
+            self.down = np.cumprod(steps)
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
 
 
 @dataclass
-class Shingles:
-    """Distinct shingles of several texts in a row: text number, hash, count; bounds[i] : bounds[i + 1] is text i."""
+class Words:
+    """Word hashes of several texts in a row; text i has hashes[bounds[i] : bounds[i + 1]]."""
     hashes: np.ndarray
-    counts: np.ndarray
     bounds: np.ndarray
 
+    def text(self, i: int) -> np.ndarray:
+        return self.hashes[self.bounds[i]:self.bounds[i + 1]]
+
 
-def word_arrays(texts: Sequence[str | None], words: WordHashes) -> list[np.ndarray]:
-    get = words.__getitem__
-    return [np.fromiter(map(get, t.lower().split()), dtype=np.uint64) if t else np.zeros(0, np.uint64) for t in texts]
+def words_of(texts: Sequence[str | None]) -> Words:
+    """Lower-cased words between ASCII white space, hashed over their bytes all at once."""
+    parts = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", dtype=np.uint8)
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1     # first byte of a word, first byte after it, and so on
+    starts, ends = edge[::2], edge[1::2]
+    offsets = np.cumsum([1] + [len(p) + 1 for p in parts])
+    bounds = np.searchsorted(starts, offsets)
+    if not len(starts):
+        return Words(np.zeros(0, np.uint64), bounds)
+    up, down = _powers.get(len(data))
+    sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * up, edge)[::2]
+    return Words(mix(sums * down[starts] + (ends - starts).astype(np.uint64)), bounds)
 
 
 def fingerprint(words: np.ndarray) -> bytes | None:
@@ -56,31 +80,47 @@ def fingerprint(words: np.ndarray) -> bytes | None:
     return blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None
 
 
-def all_shingles(word_lists: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every shingle occurrence, in text order.
+def all_shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every shingle occurrence.
 
     A text of fewer than five words is one shingle of all of them; no words, no shingle.
     """
-    padded = [np.concatenate([w, np.zeros(max(0, WORDS - len(w)), np.uint64)]) if 0 < len(w) < WORDS else w for w in word_lists]
-    lengths = np.array([len(w) for w in padded], dtype=np.int64)
-    n = np.maximum(lengths - WORDS + 1, 0)
-    if not n.sum():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    flat = np.concatenate(padded)
-    h = np.zeros(len(flat) - WORDS + 1, dtype=np.uint64)
+    flat, bounds = words.hashes, words.bounds
+    sizes = np.diff(bounds)
+    few = np.flatnonzero((sizes > 0) & (sizes < WORDS))
+    short = np.zeros((len(few), WORDS), dtype=np.uint64)
+    for row, i in zip(short, few, strict=True):
+        row[:sizes[i]] = words.text(i)
+    long_h, long_text = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(flat) >= WORDS:
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        n = len(flat) - WORDS + 1
+        h = np.zeros(n, dtype=np.uint64)
+        for k in range(WORDS):
+            h = h * _GOLD + flat[k:k + n]
+        inside = text[:n] == text[WORDS - 1:]
+        long_h, long_text = h[inside], text[:n][inside]
+    h = np.zeros(len(few), dtype=np.uint64)
     for k in range(WORDS):
-        h = h * _GOLD + flat[k:k + len(h)]
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    inside = text[:len(h)] == text[WORDS - 1:]
-    return mix(h[inside]), text[:len(h)][inside]
-
-
-def shingles(word_lists: Sequence[np.ndarray]) -> Shingles:
-    h, text = all_shingles(word_lists)
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
-    at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return Shingles(h[at], np.diff(np.append(at, len(h))), np.searchsorted(text[at], np.arange(len(word_lists) + 1)))
+        h = h * _GOLD + short[:, k]
+    return mix(np.concatenate([long_h, h])) >> np.uint64(64 - HASH_BITS), np.concatenate([long_text, few])
+
+
+@dataclass
+class Shingles:
+    """Distinct shingles of several texts in a row: hash (ascending within a text) and count; bounds[i] : bounds[i + 1] is text i."""
+    hashes: np.ndarray
+    counts: np.ndarray
+    bounds: np.ndarray
+
+
+def shingles(words: Words) -> Shingles:
+    """At most 2**16 texts at once."""
+    h, text = all_shingles(words)
+    key = np.sort((text.astype(np.uint64) << np.uint64(HASH_BITS)) | h)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    bounds = np.searchsorted(key[at], np.arange(len(words.bounds), dtype=np.uint64) << np.uint64(HASH_BITS))
+    return Shingles(key[at] & np.uint64((1 << HASH_BITS) - 1), np.diff(np.append(at, len(key))), bounds)
 
 
 @dataclass
