@@ -59,20 +59,23 @@ class Words:
         return self.hashes[self.bounds[i]:self.bounds[i + 1]]
 
 
-def words_of(texts: Sequence[str | None]) -> Words:
-    """Lower-cased words between ASCII white space, hashed over their bytes all at once."""
-    parts = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", dtype=np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1     # first byte of a word, first byte after it, and so on
+def hash_runs(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each run of bytes without a separator; ``data`` begins and ends with one."""
+    apart = separator[data]
+    edge = np.flatnonzero(apart[1:] != apart[:-1]) + 1     # first byte of a run, first byte after it, and so on
     starts, ends = edge[::2], edge[1::2]
-    offsets = np.cumsum([1] + [len(p) + 1 for p in parts])
-    bounds = np.searchsorted(starts, offsets)
     if not len(starts):
-        return Words(np.zeros(0, np.uint64), bounds)
+        return starts, ends, np.zeros(0, np.uint64)
     up, down = _powers.get(len(data))
     sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * up, edge)[::2]
-    return Words(mix(sums * down[starts] + (ends - starts).astype(np.uint64)), bounds)
+    return starts, ends, mix(sums * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def words_of(texts: Sequence[str | None]) -> Words:
+    """Lower-cased words between ASCII white space, hashed over their bytes all at once."""
+    parts = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    starts, _, hashes = hash_runs(np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", dtype=np.uint8), _SPACE)
+    return Words(hashes, np.searchsorted(starts, np.cumsum([1] + [len(p) + 1 for p in parts])))
 
 
 def fingerprint(words: np.ndarray) -> bytes | None:

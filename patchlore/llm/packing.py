@@ -36,19 +36,18 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``capacity`` ids; only longer documents are cut."""
-    end = END_ID.to_bytes(4, "little")
-
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in slices(texts):
+                got = enc.encode(texts[lo:hi], END_ID)
+                data = memoryview(got.ids.astype("<u4")).cast("B")
                 out: list[tuple] = []
-                for doc, data in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                    data += end
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at:at + 4 * capacity]
-                        out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                for doc, a, b in zip(ids[lo:hi], got.bounds[:-1].tolist(), got.bounds[1:].tolist(), strict=True):
+                    for k, at in enumerate(range(a, b, capacity)):
+                        stop = min(at + capacity, b)
+                        out.append((doc, k, at - a, stop - at, zlib.crc32(data[4 * at:4 * stop])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                                                  names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -1,22 +1,33 @@
 """Token ids of whole texts with a public tokenizer, inside tasks.
 
 The word-end BPE drops white space before it looks at words, so the ids of a
-text are the ids of its space-separated chunks in a row. Chunks repeat, hence
-each worker keeps a table chunk -> ids of bounded size.
+text are the ids of its chunks between spaces and line feeds, in a row. Chunks
+repeat, so each worker keeps the ids of up to ``ENTRIES`` of them in arrays and
+looks up all chunks of many texts at once.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Sequence
+from dataclasses import dataclass
 from unicodedata import is_normalized
 
+import numpy as np
+
+from patchlore.llm.icws import hash_runs
+
 VOCABULARY = "word_bpe_49k.json"
-CACHE_ENTRIES = 500_000
+ENTRIES = 1_500_000
+BATCH = 500_000       # chunks looked up at once, at most ENTRIES
 END_ID = 1
 
-_encoders: dict[str, ChunkEncoder] = {}
+_SEPARATOR = np.zeros(256, dtype=bool)
+_SEPARATOR[[10, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+_encoders: dict[str, Encoder] = {}
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -33,43 +44,135 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class ChunkEncoder(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit bytes, filled on demand."""
-
+@dataclass
+class Encoded:
+    """Ids of several texts in a row; text i has ids[bounds[i] : bounds[i + 1]]."""
+    ids: np.ndarray
+    bounds: np.ndarray
+
+    def text(self, i: int) -> np.ndarray:
+        return self.ids[self.bounds[i]:self.bounds[i + 1]]
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.n = 0
+        self.data = np.zeros(1024, dtype=kind)
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(self.n + len(more), dtype=self.data.dtype)])
+        self.data[self.n:self.n + len(more)] = more
+        self.n += len(more)
+
+
+class ChunkTable:
+    """64-bit hash -> list of ids: open addressing, one array of all ids."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        size = 1 << (2 * entries).bit_length()
+        self.mask = np.uint64(size - 1)
+        self.keys = np.zeros(size, dtype=np.uint64)
+        self.rows = np.zeros(size, dtype=np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys[:] = 0
+        self.start, self.length, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where it is not known."""
+        at = keys & self.mask
+        found = np.full(len(keys), -1, dtype=np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            there = self.keys[at[left]]
+            hit = there == keys[left]
+            found[left[hit]] = self.rows[at[left[hit]]]
+            left = left[~hit & (there != 0)]
+            at[left] = (at[left] + np.uint64(1)) & self.mask
+        return found
+
+    def add(self, keys: np.ndarray, lists: list[list[int]]) -> np.ndarray:
+        """Rows of new, distinct keys."""
+        rows = np.arange(len(keys)) + self.start.n
+        length = np.array([len(x) for x in lists], dtype=np.int64)
+        self.start.extend(self.ids.n + np.cumsum(length) - length)
+        self.length.extend(length)
+        self.ids.extend(np.array([i for x in lists for i in x], dtype=np.uint32))
+        at = keys & self.mask
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = keys[free]
+            won = free[self.keys[at[free]] == keys[free]]
+            self.rows[at[won]] = rows[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            at[left] = (at[left] + np.uint64(1)) & self.mask
+        return rows
+
+
+class Encoder:
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
+        self.table = ChunkTable(ENTRIES)
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+    def ids_of(self, chunk: str) -> list[int]:
         low = chunk.lower()
         if chunk.isalpha() and low.isalpha() and "\u03a3" not in chunk and is_normalized("NFC", chunk):
             # One pre-token whose normal form is its lower case (a capital sigma would depend on its place).
-            ids = [t.id for t in self.tokenize(low.encode().decode("latin-1").translate(self.letters))]
-            got = array("I", ids).tobytes()
-        elif chunk and chunk[-1] in ",." and chunk[:-1].isalpha():
-            got = self[chunk[:-1]] + self[chunk[-1]]
-        else:
-            got = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        self[chunk] = got
-        return got
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text; a null text has none."""
-        get = self.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
-
-
-def encoder(path: str | None = None) -> ChunkEncoder:
+            return [t.id for t in self.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.letters))]
+        if chunk and chunk[-1] in self.marks and chunk[:-1].isalpha():
+            return self.ids_of(chunk[:-1]) + self.marks[chunk[-1]]
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def look_up(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some chunks in a row, and how many each chunk has."""
+        if self.table.start.n + len(keys) > self.table.entries:
+            self.table.clear()
+        rows = self.table.find(keys)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            distinct, first, again = np.unique(keys[new], return_index=True, return_inverse=True)
+            at = new[first]
+            lists = [self.ids_of(raw[a:b].decode("utf-8", "surrogatepass")) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            rows[new] = self.table.add(distinct, lists)[again]
+        length = self.table.length.data[rows]
+        before = np.cumsum(length) - length
+        return self.table.ids.data[np.repeat(self.table.start.data[rows] - before, length) + np.arange(length.sum())], length
+
+    def encode(self, texts: Sequence[str | None], end: int | None = None) -> Encoded:
+        """Ids of each text, with the id ``end`` after it if given; a null text has none of its own."""
+        parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", dtype=np.uint8)
+        offsets = np.cumsum([1] + [len(p) + 1 for p in parts])
+        # Capitals fold, but not where a special token may stand, which is matched before folding.
+        folded = data if any(b"<|" in p for p in parts) else _LOWER[data]
+        raw = folded.tobytes()
+        starts, ends, keys = hash_runs(folded, _SEPARATOR)
+        got = [self.look_up(keys[i:i + BATCH], starts[i:i + BATCH], ends[i:i + BATCH], raw) for i in range(0, len(keys), BATCH)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(x for x, _ in got)])
+        upto = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in got)])))
+        bounds = upto[np.searchsorted(starts, offsets)]
+        if end is not None:
+            ids = np.insert(ids, bounds[1:], end)
+            bounds = bounds + np.arange(len(bounds))
+        return Encoded(ids, bounds)
+
+
+def encoder(path: str | None = None) -> Encoder:
     """One encoder per Python worker and vocabulary."""
     path = vocabulary_path(path)
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 

@@ -53,8 +53,19 @@ def test_replacement_fills_the_gap():
 def test_chunked_ids_equal_whole_text_ids():
     enc = tokens.encoder()
     texts = ["Hello, World! It's  fine\n\nnow.", "ΑΣ Σ. İstanbul Å K ㄱㅏ naïve café 12ab x_y", "<|endoftext|> a<|endoftext|>b \t t\x0bv\xa0n '' . ,", "你好，世界。 😀 ﬁ ǅ ß ẞ", "x" * 5000, " ", "\n"]
-    for t, data in zip(texts, enc.encode(texts), strict=True):
-        assert list(array("I", data)) == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    got = enc.encode(texts)
+    for i, t in enumerate(texts):
+        assert got.text(i).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_small_table_changes_nothing(monkeypatch):
+    texts = [f"word{i} and {'x' * (i % 90)} again, word{i // 2}. <|ENDOFTEXT|>" for i in range(400)] + [None, "", "a\n\nb  c "]
+    enc = tokens.Encoder(tokens.vocabulary_path())
+    want = enc.encode(texts, tokens.END_ID)
+    monkeypatch.setattr(tokens, "BATCH", 50)
+    monkeypatch.setattr(tokens, "ENTRIES", 80)
+    got = tokens.Encoder(tokens.vocabulary_path()).encode(texts, tokens.END_ID)
+    assert got.ids.tolist() == want.ids.tolist() and got.bounds.tolist() == want.bounds.tolist()
 
 
 def test_pack_documents(docs, monkeypatch):
@@ -66,7 +77,7 @@ def test_pack_documents(docs, monkeypatch):
     enc = tokens.encoder()
     want = Counter()
     for i, t in rows:
-        ids = list(array("I", enc.encode([t])[0])) + [1]
+        ids = enc.encode([t], tokens.END_ID).ids.tolist()
         for k in range(0, len(ids), 64):
             want[i, k // 64, k, len(ids[k:k + 64]), zlib.crc32(array("I", ids[k:k + 64]).tobytes())] += 1
     assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == want

@@ -39,7 +39,7 @@ def test_run_equals_stages_by_hand(spark, corpus):
     texts = [(i, t) for i, t in texts if i in heads]
     want, enc = Counter(), tokens.encoder()
     for i, t in texts:
-        ids = array("I", [*array("I", enc.encode([t])[0]), tokens.END_ID])
+        ids = array("I", enc.encode([t], tokens.END_ID).ids.tolist())
         for k in range(0, len(ids), packing.CAPACITY):
             want[i, k // packing.CAPACITY, len(ids[k:k + packing.CAPACITY]), zlib.crc32(ids[k:k + packing.CAPACITY].tobytes())] += 1
     got = corpus_pipeline.run(spark, sf)

@@ -1,4 +1,3 @@
-from array import array
 from collections import Counter
 
 import numpy as np
@@ -18,7 +17,7 @@ def test_permutation_is_a_bijection():
 def wanted(rows):
     enc, out = tokens.encoder(), Counter()
     for i, t in rows:
-        ids = [*array("I", enc.encode([t])[0]), tokens.END_ID]
+        ids = enc.encode([t], tokens.END_ID).ids.tolist()
         for k in range(0, len(ids), shards.LENGTH):
             out[-1 if i is None else i, k // shards.LENGTH, tuple(ids[k:k + shards.LENGTH])] += 1
     return out
