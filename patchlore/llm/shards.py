@@ -20,9 +20,7 @@ empty table writes no shard; further columns are ignored.
 
 from __future__ import annotations
 
-import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +40,8 @@ SHARDS_PER_TASK = 4
 KEY = 0x5EED
 ROUNDS = 6
 ROWS_PER_BLOCK = 100_000
-HEADER = "<qii"
-HEADER_BYTES = struct.calcsize(HEADER)
-STRIDE = HEADER_BYTES + 2 * LENGTH
+RECORD = np.dtype([("doc", "<i8"), ("piece", "<i4"), ("n", "<i4"), ("ids", "<u2", (LENGTH,))])
+STRIDE = RECORD.itemsize
 
 
 def permute(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
@@ -67,18 +64,14 @@ def permute(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def sequences_of(ids: int) -> int:
-    return -(-(ids + 1) // LENGTH)
-
-
 def numbered(docs: DataFrame, vocabulary: str | None) -> tuple[DataFrame, int]:
     """(_id, _key, copies, pieces, first) for each distinct (id, text), and the number of sequences."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
             texts = b.column(2).to_pylist()
-            n = [sequences_of(len(d) // 4) for lo, hi in slices(texts) for d in enc.encode(texts[lo:hi])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["_id", "_key", "pieces"])
+            n = [-(-np.diff(enc.encode(texts[lo:hi], END_ID).bounds) // LENGTH) for lo, hi in slices(texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], names=["_id", "_key", "pieces"])
 
     counts = cut(docs.select("_id", "_key", "_text").mapInArrow(count, "_id long, _key long, pieces long"), "counts")
     rows = counts.count()
@@ -96,22 +89,24 @@ def numbered(docs: DataFrame, vocabulary: str | None) -> tuple[DataFrame, int]:
 
 def records(docs: DataFrame, size: int, key: int, vocabulary: str | None) -> DataFrame:
     """(slot, record) of every sequence of ``docs`` (_id, _text, first)."""
-    pad = bytes(2 * LENGTH)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
-            ids, texts, first = (b.column(i).to_pylist() for i in range(3))
+            ids, first = (b.column(i).fill_null(-1).to_numpy() for i in (0, 2))
+            texts = b.column(1).to_pylist()
             for lo, hi in slices(texts):
-                at: list[int] = []
-                out: list[bytes] = []
-                for doc, data, start in zip(ids[lo:hi], enc.encode(texts[lo:hi]), first[lo:hi], strict=True):
-                    two = np.append(np.frombuffer(data, dtype="<u4"), np.uint32(END_ID)).astype("<u2").tobytes()
-                    for piece, k in enumerate(range(0, len(two), 2 * LENGTH)):
-                        part = two[k:k + 2 * LENGTH]
-                        at.append(start + piece)
-                        out.append(struct.pack(HEADER, -1 if doc is None else doc, piece, len(part) // 2) + part + pad[len(part):])
-                yield pa.RecordBatch.from_arrays([pa.array(permute(np.array(at), size, key)), pa.array(out, pa.binary())], names=["slot", "record"])
+                got = enc.encode(texts[lo:hi], END_ID)
+                sizes = np.diff(got.bounds)
+                pieces = -(-sizes // LENGTH)
+                owner = np.repeat(np.arange(hi - lo), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                used = np.minimum(sizes[owner] - piece * LENGTH, LENGTH)
+                out = np.zeros(len(owner), dtype=RECORD)
+                out["doc"], out["piece"], out["n"] = ids[lo:hi][owner], piece, used
+                out["ids"][np.arange(LENGTH) < used[:, None]] = got.ids  # both run through texts and pieces in order
+                slots = permute(first[lo:hi][owner] + piece, size, key)
+                ends = pa.py_buffer(np.arange(len(out) + 1, dtype=np.int32) * STRIDE)
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.Array.from_buffers(pa.binary(), len(out), [None, ends, pa.py_buffer(out.tobytes())])], names=["slot", "record"])
 
     return docs.select("_id", "_text", "first").mapInArrow(run, "slot long, record binary")
 
@@ -139,7 +134,9 @@ def write_shards(docs: DataFrame, folder: str, key: int = KEY, vocabulary: str |
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, base = fs.FileSystem.from_uri(folder)
-        shard_, parts, done = None, [], []
+        shard_: int | None = None
+        parts: list[bytes] = []
+        done: list[tuple[int, int]] = []
 
         def close() -> None:
             if shard_ is not None:
@@ -148,14 +145,16 @@ def write_shards(docs: DataFrame, folder: str, key: int = KEY, vocabulary: str |
                     for p in parts:
                         f.write(p)
                 to.move(draft, f"{base}/{shard_name(shard_)}")
-                done.append((shard_, len(parts)))
+                done.append((shard_, sum(map(len, parts)) // STRIDE))
 
         for b in batches:
-            for slot, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if slot // SHARD_SLOTS != shard_:
+            shards_ = b.column(0).to_numpy() // SHARD_SLOTS
+            edges = np.flatnonzero(np.append(True, shards_[1:] != shards_[:-1]))
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(shards_)], strict=True):
+                if shards_[lo] != shard_:
                     close()
-                    shard_, parts = slot // SHARD_SLOTS, []
-                parts.append(record)
+                    shard_, parts = int(shards_[lo]), []
+                parts.append(b"".join(b.column(1).slice(lo, hi - lo).to_pylist()))
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in (0, 1)], names=["shard", "n"])
 
@@ -181,8 +180,8 @@ def read_from(folder: str, slot: int = 0, stop: int | None = None) -> Iterator[t
         with files.open_input_file(name) as f:
             f.seek(slot % SHARD_SLOTS * STRIDE)
             while (stop is None or slot < stop) and len(data := f.read(STRIDE)) == STRIDE:
-                doc, piece, n = struct.unpack_from(HEADER, data)
-                yield slot, doc, piece, np.frombuffer(data, dtype="<u2", offset=HEADER_BYTES, count=n)
+                r = np.frombuffer(data, dtype=RECORD)[0]
+                yield slot, int(r["doc"]), int(r["piece"]), r["ids"][:r["n"]]
                 slot += 1
         if slot % SHARD_SLOTS:
             return
@@ -194,12 +193,11 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shard = int(path.rsplit("-", 1)[1].split(".")[0])
-                out = []
-                for i, at in enumerate(range(0, len(data), STRIDE)):
-                    doc, piece, n = struct.unpack_from(HEADER, data, at)
-                    ids = array("H", data[at + HEADER_BYTES:at + HEADER_BYTES + 2 * n])
-                    out.append((shard * SHARD_SLOTS + i, shard, doc, piece, n, zlib.crc32(array("I", ids).tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)],
+                r = np.frombuffer(data, dtype=RECORD)
+                wide = r["ids"].astype("<u4")
+                crc = [zlib.crc32(x[:n]) for x, n in zip(wide, r["n"].tolist(), strict=True)]
+                slots = shard * SHARD_SLOTS + np.arange(len(r))
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(r), shard)), pa.array(r["doc"].copy()), pa.array(r["piece"].copy()), pa.array(r["n"].astype(np.int64)), pa.array(crc, pa.int64())],
                                                  names=["slot", "shard", "doc_id", "piece", "length", "ids_crc32"])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder).select("path", "content")
