@@ -23,22 +23,24 @@ def bands(spark, *stamps):
 
 
 def test_sweeps(spark, plans):
-    assert bands(spark, "2022-01-01 10:00", "2022-01-01 10:30", "2022-01-01 11:30") == [1, 1, 1]
-    assert bands(spark, "2022-01-01 10:00", "2022-01-01 18:00") == [1, 2]
-    assert bands(spark, "2022-01-01 10:00", "2022-01-01 12:00", "2022-01-01 14:01") == [1, 1, 2]
-    assert bands(spark, "2022-01-01 23:45", "2022-01-02 00:30") == [1, 2]
-    ten = sorted(bands(spark, *[f"2022-01-{d:02d} 10:00" for d in range(1, 11)]))
-    assert ten[0] == 1 and ten[-1] == 4 and set(ten) == {1, 2, 3, 4}
-    assert bands(spark, None, None, None, None) == [1, 2, 3, 4]
+    assert bands(spark, "2019-05-06 08:05", "2019-05-06 10:05", "2019-05-06 12:05", "2019-05-06 14:06") == [1, 1, 1, 2]
+    assert bands(spark, "2019-05-06 22:10", "2019-05-07 00:01", "2019-05-07 00:02") == [1, 2, 2]
+    assert bands(spark, "2019-05-06 01:00", "2019-05-06 09:00", "2019-05-06 17:00", "2019-05-09 17:00") == [1, 2, 3, 4]
+    weekly = [f"2019-{m:02d}-{d:02d} 06:30" for m in (7, 8) for d in (3, 10, 17, 24)]
+    assert bands(spark, *weekly) == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert bands(spark, *[None] * 8) == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert bands(spark, None) == [1]
 
 
 def test_clock_going_back_opens_no_sweep_within_a_day(spark):
-    assert bands(spark, "2022-01-01 10:00", "2022-01-01 09:00", "2022-01-01 10:30") == [1, 1, 1]
+    assert bands(spark, "2019-05-06 16:40", "2019-05-06 13:00", "2019-05-06 14:59") == [1, 1, 1]
 
 
 def test_stale_writer_and_labels(spark):
-    d = spark.createDataFrame([(1643752260.0, c) for c in ["2022-02-01T19:00:00Z", "2022-02-02T08:00:00Z", "not a date", None]], "at double, c string")
-    assert [r[0] for r in d.select(is_stale_writer(F.col("at"), F.col("c"))).collect()] == [True, False, False, False]
+    noon = dt.datetime(2019, 5, 6, 12, tzinfo=dt.timezone.utc).timestamp()
+    made = ["2019-05-06T11:59:59Z", "2019-05-06T12:00:00Z", "2019-05-06T13:30:00+02:00", "2019-05-06", "soon", None]
+    d = spark.createDataFrame([(i, noon, c) for i, c in enumerate(made)], "i int, at double, c string")
+    assert [r[1] for r in rows(d.select("i", is_stale_writer(F.col("at"), F.col("c"))))] == [True, False, True, True, False, False]
     ts = lambda s: F.lit(s).cast("timestamp_ntz")
     one = lambda a, b: spark.range(1).select(when_range(ts(a), ts(b))).first()[0]
     assert one("2024-06-03 14:02:00", "2024-06-03 14:02:30") == "Jun 3 · 14:02"
@@ -47,7 +49,7 @@ def test_stale_writer_and_labels(spark):
 
 
 def test_band_ranges_need_every_time(spark):
-    c = log(spark, "2022-01-01 10:00", "2022-01-02 10:00").withColumn("band", F.lit(1)).withColumn("message", F.lit("x"))
+    c = log(spark, "2019-05-06 10:00", "2019-05-08 10:00").withColumn("band", F.lit(1)).withColumn("message", F.lit("x"))
     lost = c.withColumn("pr_id", F.lit("q")).withColumn("ts", F.when(F.col("ord") == 1, F.col("ts")))
     assert [r[0] for r in rows(tl.band_ranges(c.unionByName(lost)), "pr_id")] == ["p"]
 
