@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlore.llm import gru
-from patchlore.llm.registry import query, table
-from patchlore.llm.tokens import slices
+from patchlore.llm.registry import beside, fields, query, table
+from patchlore.llm.tokens import held, text_slices
 
 SAMPLE_DOCS = 300     # documents per language that the network is fitted on, about
 SAMPLE_WORDS = 60     # words of each of them, spread over the text
@@ -132,48 +132,41 @@ class WordLabels:
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
 
-_workers: dict[str, WordLabels] = {}
-
-
-def labels_for(key: str, model: dict[str, np.ndarray]) -> WordLabels:
-    """The table of this worker for one trained network."""
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = WordLabels(model)
-    return _workers[key]
-
-
 def model_key(model: dict[str, np.ndarray]) -> str:
     return "-".join(f"{zlib.crc32(v.tobytes()):08x}" for _, v in sorted(model.items()))
 
 
 def identify(docs: DataFrame, langs: list[str], model: dict[str, np.ndarray] | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
+    """``docs`` with ``lang_pred`` and ``score`` (in place of columns of these names); only the text is looked at."""
+    return beside(docs, p=predictor(langs, model)(F.col(text_col))).select(*fields(docs, "lang_pred", "score"), "p.lang_pred", "p.score")
+
+
+def predictor(langs: list[str], model: dict[str, np.ndarray] | None) -> Callable[[Column], Column]:
+    """Text column -> struct of language and score."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return lambda text: F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     key = model_key(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table_ = labels_for(key, model)
+        table_ = held(("language", key), lambda: WordLabels(model))
         for series in batches:
-            texts = series.tolist()
             found: list[tuple[str, float]] = []
-            for lo, hi in slices(texts):
-                part = [t if t and LETTER.search(t) else None for t in texts[lo:hi]]
+            for _, texts in text_slices(pa.array(series, pa.string())):
+                part = [t if t and LETTER.search(t) else None for t in texts]
                 probs = table_.documents(part)
                 best = probs.argmax(axis=1)
                 found += [(langs[k], min(1.0, float(p[k]))) if t else ("und", 0.0) for t, k, p in zip(part, best, probs, strict=True)]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", predict(F.col(text_col))).select(*[F.col(c) for c in docs.columns], F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    return predict
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Pipeline stage: train on ``docs`` itself and keep the texts whose language is clear."""
     langs, model = train(docs.filter(~held_out(F.col("doc_id"))))
-    got = identify(docs, langs, model)
-    return got.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    got = beside(docs, p=predictor(langs, model)(F.col("text")))
+    return got.filter((F.col("p.lang_pred") != "und") & (F.col("p.score") >= least)).select(*fields(docs))
 
 
 @query("op2_language_id")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlore.llm.quality import let
-from patchlore.llm.registry import query, table
+from patchlore.llm.registry import beside, query, table
 from patchlore.session import cut
 
 RATIO = 0.1           # a line on more than this share of the host's pages is boilerplate
@@ -43,7 +43,7 @@ def line_frequencies(docs: DataFrame, host: str = "source", text: str = "text",
     """(_host, _h, pages, host_pages) of the lines on at least ``min_pages`` pages of their host."""
     per_page = page_lines(docs, host, text).distinct()
     counts = cut(per_page.groupBy("_host", "_h").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages), "line-counts")
-    totals = docs.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.countDistinct(F.xxhash64(text)).alias("host_pages"))
+    totals = docs.filter(F.col(host).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.countDistinct(F.xxhash64(text)).alias("host_pages"))
     fan = fan_of(counts, "_host")
     return counts.withColumn("_salt", F.pmod(F.col("_h"), F.lit(fan))).join(copies(totals, fan), ["_host", "_salt"]).drop("_salt")
 
@@ -72,17 +72,18 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """
     bad = cut(boilerplate(docs, ratio, host, text, min_pages), "boilerplate")
     fan = fan_of(docs.filter(F.col(host).isNotNull()), host)
-    salted = docs.withColumns({"_host": F.col(host), "_salt": F.pmod(F.xxhash64(*docs.columns), F.lit(fan))})
+    salted = beside(docs, _host=F.col(host), _salt=F.pmod(F.xxhash64(text, host), F.lit(fan)), _lines=F.split(F.col(text), "\n", -1))
     joined = salted.join(copies(bad, fan), ["_host", "_salt"], "left")
 
-    def clean(lines: Column) -> Column:
-        hashes = F.transform(lines, line_hash)
-        return let(F.array_intersect(hashes, F.col("_bad")), lambda hit: F.when(F.size(hit) > 0, F.filter(lines, lambda x: ~F.coalesce(F.array_contains(hit, line_hash(x)), F.lit(False)))))
+    def clean(at: Column) -> Column:
+        hashes = F.transform(at, line_hash)
+        return let(F.array_intersect(hashes, F.col("_bad")), lambda hit: F.when(F.size(hit) > 0, F.filter(at, lambda x: ~F.coalesce(F.array_contains(hit, line_hash(x)), F.lit(False)))))
 
-    found = joined.withColumn("_rest", F.when(F.col("_bad").isNotNull(), let(F.split(F.col(text), "\n", -1), clean)))
-    new = F.when(F.col("_rest").isNull(), F.col(text)).otherwise(F.array_join("_rest", "\n"))
-    gone = F.coalesce(F.size(F.split(F.col(text), "\n", -1)) - F.size("_rest"), F.lit(0)).cast("long")
-    return found.select(*[new.alias(text) if c == text else F.col(c) for c in docs.columns], F.when(F.col("_rest").isNull(), 0).otherwise(gone).cast("long").alias("lines_dropped"))
+    found = joined.withColumn("_rest", F.when(F.col("_bad").isNotNull() & F.col("_lines").isNotNull(), let(F.col("_lines"), clean)))
+    new = F.when(F.col("_rest").isNull(), F.col("row").getField(text)).otherwise(F.array_join("_rest", "\n"))
+    dropped = F.when(F.col("_rest").isNull(), 0).otherwise(F.size("_lines") - F.size("_rest")).cast("long")
+    out = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != "lines_dropped"]
+    return found.select(*out, dropped.alias("lines_dropped"))
 
 
 SQL = f"""

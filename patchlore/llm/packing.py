@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from patchlore.llm.registry import query, table
-from patchlore.llm.tokens import END_ID, encoder, slices
+from patchlore.llm.tokens import END_ID, encoder, text_slices
 from patchlore.session import cut
 
 CAPACITY = 4096
@@ -39,12 +39,12 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                got = enc.encode(texts[lo:hi], END_ID)
+            ids = batch.column(0).to_pylist()
+            for lo, texts in text_slices(batch.column(1)):
+                got = enc.encode(texts, END_ID)
                 data = memoryview(got.ids.astype("<u4")).cast("B")
                 out: list[tuple] = []
-                for doc, a, b in zip(ids[lo:hi], got.bounds[:-1].tolist(), got.bounds[1:].tolist(), strict=True):
+                for doc, a, b in zip(ids[lo:lo + len(texts)], got.bounds[:-1].tolist(), got.bounds[1:].tolist(), strict=True):
                     for k, at in enumerate(range(a, b, capacity)):
                         stop = min(at + capacity, b)
                         out.append((doc, k, at - a, stop - at, zlib.crc32(data[4 * at:4 * stop])))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchlore.llm.registry import query, table
+from patchlore.llm.tokens import text_slices
 from patchlore.llm.tree import Tree, train_tree
 
 # Elements whose inside is never text of the page.
@@ -210,11 +211,13 @@ LABELLED = [
     (6, 0.0, 0, 0.0, 5, 1.0, 0, 0, 1, 0, 0, 0), (30, 0.0, 5, 1.0, 10, 0.0, 0, 0, 1, 0, 0, 0), (4, 1.0, 0, 0.0, 4, 1.0, 0, 0, 1, 0, 0, 0),
     (15, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0), (5, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 1, 0, 0), (100, 0.0, 9, 0.0, 7, 0.0, 0, 0, 1, 0, 0, 0),
     (4, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 1, 0), (3, 1.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0, 1, 0), (5, 0.8, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
+    (2, 1.0, 0, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 0), (1, 1.0, 9, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), (6, 1.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 0),
+    (3, 1.0, 50, 0.0, 5, 1.0, 0, 0, 0, 0, 1, 0), (9, 0.9, 0, 0.0, 45, 0.1, 0, 0, 0, 0, 0, 0), (4, 0.75, 12, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0),
     (2, 0.0, 5, 1.0, 4, 1.0, 0, 0, 0, 0, 0, 0), (30, 0.7, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0, 0), (14, 0.5, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0),
     (25, 0.0, 3, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1), (45, 0.1, 25, 0.0, 70, 0.05, 0, 0, 0, 0, 0, 1), (70, 0.05, 45, 0.1, 12, 0.0, 0, 0, 0, 0, 0, 1),
     (12, 0.0, 70, 0.05, 30, 0.0, 0, 0, 0, 0, 0, 1), (16, 0.0, 5, 1.0, 5, 1.0, 0, 0, 0, 0, 0, 1), (110, 0.2, 4, 1.0, 2, 0.0, 0, 0, 0, 0, 0, 1),
     (7, 0.0, 2, 1.0, 25, 0.0, 0, 0, 0, 1, 0, 1), (4, 0.0, 70, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 1), (3, 0.0, 5, 1.0, 4, 1.0, 0, 0, 0, 1, 0, 0),
-    (4, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 1), (2, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1), (6, 0.0, 40, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 0),
+    (4, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 1), (2, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1), (3, 0.0, 40, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 0), (7, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 1),
     (5, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1), (80, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1), (12, 0.0, 4, 1.0, 60, 0.0, 1, 0, 0, 0, 0, 0),
     (40, 0.0, 60, 0.0, 5, 0.0, 1, 0, 0, 0, 0, 0), (5, 1.0, 60, 0.0, 6, 1.0, 1, 0, 0, 0, 0, 0), (6, 0.0, 5, 0.0, 60, 0.0, 1, 0, 0, 1, 0, 0),
 ]
@@ -239,7 +242,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks_of(h) if h else [] for h in batch.column(2).to_pylist()]
+            found = [blocks_of(h) if h else [] for _, part in text_slices(batch.column(2)) for h in part]
             sizes = [len(b) for b in found]
             full = [features(b) for b in found if b]
             keep = tree.predict(np.concatenate(full)) >= 0.5 if full else np.zeros(0, dtype=bool)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchlore.llm.registry import query, table
-from patchlore.llm.tokens import slices
+from patchlore.llm.tokens import held, text_slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -133,12 +133,12 @@ class Transducer:
                         cost[j], last[j], start[j] = c, piece, i
             if text[i] not in self.id_of and base + FALLBACK < cost[i + 1]:
                 cost[i + 1], last[i + 1], start[i + 1] = base + FALLBACK, None, i
-        ids: list[int] = []
+        back: list[int] = []
         while n:
             piece = last[n]
-            ids[:0] = [self.byte_id[b] for b in text[start[n]:n].encode()] if piece is None else [self.id_of[piece]]
+            back += [self.byte_id[b] for b in reversed(text[start[n]:n].encode())] if piece is None else [self.id_of[piece]]
             n = start[n]
-        return array("I", ids).tobytes()
+        return array("I", reversed(back)).tobytes()
 
     def segment(self, text: str) -> bytes:
         """Shortest path of a segment, part by part where no piece can cross."""
@@ -186,14 +186,10 @@ class Encoder(dict):
         return text[1:] if self.machine.prefix and text[:1] == " " else text
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
+    """One encoder per Python worker and model."""
     path = model_path(path)
-    if path not in _encoders:
-        _encoders[path] = Encoder(Transducer(path))
-    return _encoders[path]
+    return held(("pieces", path), lambda: Encoder(Transducer(path)))
 
 
 def encode_texts(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:
@@ -228,17 +224,16 @@ def round_trips(docs: DataFrame, model: str | None = None, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, texts in text_slices(b.column(1)):
                 n, crc, size, same = [], [], [], []
-                for t in texts[lo:hi]:
+                for t in texts:
                     data = enc.encode(t)
                     back = None if data is None else enc.decode(memoryview(data).cast("I"))
                     n.append(None if data is None else len(data) // 4)
                     crc.append(None if data is None else zlib.crc32(data))
                     size.append(None if back is None else len(back))
                     same.append(back == (None if t is None else t.replace(MARK, " ")))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(size, pa.int64()), pa.array(same)],
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(size, pa.int64()), pa.array(same)],
                                                  names=["doc_id", "n_ids", "ids_crc32", "n_decoded", "exact"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

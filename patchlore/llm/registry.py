@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def beside(docs: DataFrame, **made: Column) -> DataFrame:
+    """Computed columns next to ``row``, the untouched input row: no name of the input can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in made.items()])
+
+
+def fields(docs: DataFrame, *but: str) -> list[Column]:
+    """The input columns of ``beside(docs, ...)``, without those named."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns if c not in but]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

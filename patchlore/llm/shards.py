@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from patchlore.llm.icws import mix
 from patchlore.llm.neardup import small
 from patchlore.llm.registry import query, table
-from patchlore.llm.tokens import END_ID, encoder, slices
+from patchlore.llm.tokens import END_ID, encoder, text_slices
 from patchlore.session import cut, new_path
 
 LENGTH = 512
@@ -69,8 +69,7 @@ def numbered(docs: DataFrame, vocabulary: str | None) -> tuple[DataFrame, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            n = [-(-np.diff(enc.encode(texts[lo:hi], END_ID).bounds) // LENGTH) for lo, hi in slices(texts)]
+            n = [-(-np.diff(enc.encode(texts, END_ID).bounds) // LENGTH) for _, texts in text_slices(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], names=["_id", "_key", "pieces"])
 
     counts = cut(docs.select("_id", "_key", "_text").mapInArrow(count, "_id long, _key long, pieces long"), "counts")
@@ -93,9 +92,9 @@ def records(docs: DataFrame, size: int, key: int, vocabulary: str | None) -> Dat
         enc = encoder(vocabulary)
         for b in batches:
             ids, first = (b.column(i).fill_null(-1).to_numpy() for i in (0, 2))
-            texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                got = enc.encode(texts[lo:hi], END_ID)
+            for lo, texts in text_slices(b.column(1)):
+                hi = lo + len(texts)
+                got = enc.encode(texts, END_ID)
                 sizes = np.diff(got.bounds)
                 pieces = -(-sizes // LENGTH)
                 owner = np.repeat(np.arange(hi - lo), pieces)

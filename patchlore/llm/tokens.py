@@ -9,11 +9,14 @@ looks up all chunks of many texts at once.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import TypeVar
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from patchlore.llm.icws import hash_runs
 
@@ -27,7 +30,7 @@ _SEPARATOR[[10, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_encoders: dict[str, Encoder] = {}
+T = TypeVar("T")
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -171,18 +174,25 @@ class Encoder:
 def encoder(path: str | None = None) -> Encoder:
     """One encoder per Python worker and vocabulary."""
     path = vocabulary_path(path)
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
-def slices(texts: Sequence[str | None], characters: int = 1 << 20):
-    """Index ranges of ``texts`` that hold about so many characters each."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= characters:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    return held(("tokens", path), lambda: Encoder(path))
+
+
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks: one table or model at a time, the last one asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def text_slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about ``size`` bytes each, with the place of the first: only one run at a time becomes Python text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, side="right")))
+        yield lo, column.slice(lo, hi - lo).to_pylist()
+        lo = hi

@@ -50,9 +50,7 @@ def test_held_out_accuracy_and_odd_rows(docs):
     assert langs == ["aa", "bb", "cc"]
     got = language.identify(table, langs, model)
     assert got.columns[-2:] == ["lang_pred", "score"]
-    by_id = {}
-    for r in got.select("doc_id", "lang_pred", got.score.alias("s") if False else got["lang_pred"]).collect():
-        by_id[r[0]] = r[1]
+    by_id = {r.doc_id: r.lang_pred for r in got.collect()}
     held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert len(held) > 50 and sum(by_id[i] == lang for i, lang in held) / len(held) > 0.97
     assert [by_id[i] for i in (1000, 1001, 1002, 1003, None)] == ["und", "und", "und", "aa", "bb"]

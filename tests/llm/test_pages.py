@@ -13,12 +13,15 @@ FULL = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 <aside><p>A long side text that looks quite like an article but is not one, whatever it says.</p></aside><footer>&copy; us</footer></body></html>"""
 
 
+ARTICLE = "Head & line First bold linked words. Second’s text. After the break point one point two"
+
+
 def text(html):
     return pages.main_text(html, pages.train())
 
 
 def test_article_only():
-    assert text(FULL) == "Head & line First bold linked words. Second’s text. After the break point one point two"
+    assert text(FULL) == ARTICLE
 
 
 def test_page_without_article_element():
@@ -51,5 +54,5 @@ def test_tree_splits_where_it_should():
 def test_extract(spark):
     rows = [(1, "u1", FULL, 9), (1, "u1", FULL, 9), (2, None, None, 9), (None, "u3", "<article>x y</article>", 9)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int"))
-    assert sorted(((r.page_id, r.url, r.text[:4], r.n_chars) for r in got.collect()), key=str) == sorted([(1, "u1", "Head", 85), (1, "u1", "Head", 85), (2, None, "", 0), (None, "u3", "x y", 3)], key=str)
+    assert sorted(((r.page_id, r.url, r.text[:4], r.n_chars) for r in got.collect()), key=str) == sorted([(1, "u1", "Head", len(ARTICLE)), (1, "u1", "Head", len(ARTICLE)), (2, None, "", 0), (None, "u3", "x y", 3)], key=str)
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
