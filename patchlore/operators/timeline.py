@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patchlore.functions.text import is_merge_message
 from patchlore.functions.times import when_range
 from patchlore.plans.scan import by_width, group_max, group_sum, islands, number_rows, row_before, running_sum, scan
-from patchlore.plans.size import settle
 from patchlore.plans.skew import salted_join
 from patchlore.session import cut
 
@@ -19,7 +18,10 @@ BANDS = 4
 
 
 def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    """Microseconds on the clock of the log itself: no session time zone, no clock change."""
+    clock = F.col(ts).cast("timestamp_ntz")
+    seconds = F.datediff(clock, F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.hour(clock).cast("long") * 3_600 + F.minute(clock).cast("long") * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), clock) * 1_000_000).cast("long")
 
 
 def sweep_ids(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "ts", order: str = "ord",
@@ -34,7 +36,7 @@ def sweep_ids(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "t
     d = scan(d, keys, [order], {"_was": row_before(F.col("_now"))}, by_width(order, width), reverse=True)
     opens = (F.col("_was").isNull() | (F.col("_was.day") != F.col("_now.day"))
              | (F.col("_now.t") - F.col("_was.t") > F.lit(int(gap_hours * 3600 * 1_000_000))))
-    d = settle(d.withColumn("_open", opens.cast("long")).drop("_now", "_was"), commits)
+    d = cut(d.withColumn("_open", opens.cast("long")).drop("_now", "_was"), "opens")
     return scan(d, keys, [order], {"sweep": running_sum(F.col("_open"))}, by_width(order, width), reverse=True).drop("_open")
 
 
@@ -58,7 +60,7 @@ def order_bands(commits: DataFrame, keys: Sequence[str] = ("pr_id",), order: str
 def commit_bands(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "ts", order: str = "ord",
                  gap_hours: float = SWEEP_GAP_HOURS, width: int | None = None) -> DataFrame:
     """Sweep bands, or order bands where the oldest commit has no time."""
-    d = settle(sweep_ids(commits, keys, ts, order, gap_hours, width), commits)
+    d = cut(sweep_ids(commits, keys, ts, order, gap_hours, width), "sweeps")
     timed = F.struct(F.col(order).alias("o"), F.col(ts).isNotNull().alias("timed"))
     d = scan(d, keys, [order], {"_n": group_max(F.col("sweep")), "_m": group_sum(F.lit(1).cast("long")), "_oldest": group_max(timed)},
              by_width(order, width))

@@ -4,7 +4,7 @@ A plain window sorts a whole group in one task. Here a group is cut into
 blocks along its order; each block is scanned on its own, the block summaries
 (one row per block) are scanned per group, and the carry is added back. A group
 of one block has no carry, so for ordinary groups the carry table is empty and
-adaptive execution broadcasts it.
+adaptive execution broadcasts it. There is one plan for every size of input.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from patchlore.plans.size import is_small, settle
-from patchlore.plans.skew import all_of, hot_keys, mark_hot
+from patchlore.plans.skew import hot_keys, mark_hot
+from patchlore.session import cut
 
 BLOCK_ROWS = 1 << 18
 
@@ -68,28 +68,35 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
          reverse: bool = False, split_hot_only: bool = False) -> DataFrame:
     """Add one column per step, computed over ``keys`` in ``order``.
 
-    ``block`` must grow with the first order column. With ``split_hot_only`` it
-    is used for hot keys only (for sparse orders such as time), which costs one
-    map-side combined count of the keys. An input small enough for one task is
-    scanned by a plain window. Keys must not be null: plain equality lets the
-    carry join reuse the partitioning of the window.
+    ``block`` must grow with the first order column; rows without a block (null
+    order) form the first one, as they sort. With ``split_hot_only`` it is used
+    for hot keys only (for sparse orders such as time), which costs one map-side
+    combined count of the keys. Null keys are one group like any other: groups
+    are told apart by a struct of the keys, which is never null, so that plain
+    equality lets the carry join reuse the partitioning of the window.
     """
     keys = list(keys)
-    if is_small(df):
-        return _plain(df, keys, order, steps, reverse)
+    group = [F.struct(*keys).alias("_g")] if keys else []
+    first = F.lit(-(1 << 63)).cast("long")
+    piece = F.coalesce(block.cast("long"), first)
     if split_hot_only:
-        df = mark_hot(df, keys, hot_keys(df, keys))
-        df = df.withColumn("_blk", F.when(F.col("_hot"), block.cast("long")).otherwise(F.lit(0).cast("long"))).drop("_hot")
+        hot = hot_keys(df, keys)
+        if hot is None:
+            d = df.withColumn("_blk", first)
+        else:
+            d = mark_hot(df, keys, hot).withColumn("_blk", F.when(F.col("_fan").isNotNull(), piece).otherwise(first)).drop("_fan")
     else:
-        df = df.withColumn("_blk", block.cast("long"))
+        d = df.withColumn("_blk", piece)
+    d = d.select("*", *group)
+    on = ["_g"] if keys else []
 
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     rank = F.struct(*order)
-    rows = Window.partitionBy(*keys, "_blk").orderBy(*sort)
-    whole = Window.partitionBy(*keys, "_blk")
-    blocks = Window.partitionBy(*keys).orderBy(F.col("_blk").desc() if reverse else F.col("_blk"))
+    rows = Window.partitionBy(*on, "_blk").orderBy(*sort)
+    whole = Window.partitionBy(*on, "_blk")
+    blocks = Window.partitionBy(*on).orderBy(F.col("_blk").desc() if reverse else F.col("_blk"))
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    all_blocks = Window.partitionBy(*keys)
+    all_blocks = Window.partitionBy(*on)
 
     local, summary, carry = {}, [], []
     for i, (name, s) in enumerate(steps.items()):
@@ -114,15 +121,12 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
             summary.append(agg(s.value).alias(part))
             carry.append(agg(part).over(all_blocks).alias(got))
 
-    scanned = df.select("*", *[c.alias(n) for n, c in local.items()])
-    sums = df.groupBy(*keys, "_blk").agg(*summary)
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_blk").alias("_kb"),
-                       F.count("*").over(all_blocks).alias("_nb"), *carry)
+    scanned = d.select("*", *[c.alias(n) for n, c in local.items()])
+    sums = d.groupBy(*on, "_blk").agg(*summary)
+    sums = sums.select(*on, "_blk", F.count("*").over(all_blocks).alias("_nb"), *carry)
     sums = sums.filter(F.col("_nb") > 1).drop("_nb")
-
-    match = all_of([F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.col("_blk") == F.col("_kb")])
-    joined = scanned.join(sums, match, "left")
-    out = [F.col(c) for c in df.columns if c != "_blk"]
+    joined = scanned.join(sums, on + ["_blk"], "left")
+    out = [F.col(c) for c in df.columns]
     for i, (name, s) in enumerate(steps.items()):
         mine, got = F.col(name), F.col(f"_c{i}")
         if s.kind == "sum":
@@ -137,19 +141,6 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
     return joined.select(*out)
 
 
-def _plain(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mapping[str, Step], reverse: bool) -> DataFrame:
-    rows = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() if reverse else F.col(c).asc() for c in order])
-    whole = Window.partitionBy(*keys)
-    out = []
-    for name, s in steps.items():
-        frame = rows.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
-        col = {"sum": lambda: F.coalesce(F.sum(s.value).over(frame), F.lit(0)), "max": lambda: F.max(s.value).over(frame),
-               "last": lambda: F.last(s.value, ignorenulls=True).over(frame), "gmax": lambda: F.max(s.value).over(whole),
-               "gmin": lambda: F.min(s.value).over(whole), "gsum": lambda: F.sum(s.value).over(whole)}[s.kind]()
-        out.append(col.alias(name))
-    return df.select("*", *out)
-
-
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str = "rn",
                 reverse: bool = False, split_hot_only: bool = False) -> DataFrame:
     """Row number (from 1) per key, without sorting a whole hot key in one task."""
@@ -162,6 +153,6 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Col
     marked = scan(df.withColumn("_v", F.struct(value.alias("v"))), keys, order,
                   {"_prev": row_before(F.col("_v"))}, block, reverse, split_hot_only)
     starts = F.when(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col("_v.v")), 1).otherwise(0)
-    marked = settle(marked.withColumn("_start", starts.cast("long")).drop("_prev", "_v"), df)
+    marked = cut(marked.withColumn("_start", starts.cast("long")).drop("_prev", "_v"), "starts")
     out = scan(marked, keys, order, {name: running_sum(F.col("_start"))}, block, reverse, split_hot_only)
     return out.drop("_start")

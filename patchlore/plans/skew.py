@@ -1,4 +1,9 @@
-"""Joins and group splits that hold when one key owns a large share of the rows."""
+"""Joins and group splits that hold when one key owns a large share of the rows.
+
+Which keys are hot is found by counting rows, whatever the size of the input; a
+table without a hot key is joined as it is. Each hot key is split into as many
+pieces as its rows ask for.
+"""
 
 from __future__ import annotations
 
@@ -6,43 +11,47 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from patchlore.plans.size import is_small
+from patchlore.session import cut
 
-HOT_ROWS = 1_000_000  # a key with more rows than this is split
-HOT_KEYS = 10_000     # at most this many keys are split; any other key holds < 1/10000 of the rows
-FAN = 64              # pieces a hot key is split into
+HOT_ROWS = 1_000_000  # a key with more rows than this is split into pieces of about this many
 
 
 def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("patchlore.hot.rows", str(HOT_ROWS)))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The heaviest keys, at most HOT_KEYS rows, so the result is safe to broadcast.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """(keys, _fan) of every key with more than ``hot_rows`` rows, null keys too; None if there is none.
 
-    The count combines map-side. Keys beyond the limit are lighter than every
-    listed one and stay unsplit, which changes speed only, never the result.
+    The count combines map-side. The list is a written table of at most
+    rows / hot_rows lines, so Spark knows its size and broadcasts it or not.
     """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    heavy = counted.filter(F.col("_n") > hot_rows(df.sparkSession))
-    return heavy.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
+    limit = hot_rows(df.sparkSession)
+    heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    hot = cut(heavy.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("long").alias("_fan")), "hot")
+    return None if hot.isEmpty() else hot
 
 
-def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(hot), list(keys), "left")
+def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
+    """Add ``_fan``, null for keys that are not hot."""
+    if hot is None:
+        return df.withColumn("_fan", F.lit(None).cast("long"))
+    named = hot.select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], "_fan")
+    same = all_of([F.col(k).eqNullSafe(F.col(f"_hk{i}")) for i, k in enumerate(keys)])
+    return df.join(named, same, "left").drop(*[f"_hk{i}" for i in range(len(keys))])
 
 
 def salt_many(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Spread the rows of each hot key over FAN salts."""
+    """Spread the rows of each hot key over its pieces."""
     payload = [c for c in df.columns if c not in keys] or list(keys)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*payload), F.lit(FAN))).otherwise(F.lit(0))
-    return mark_hot(df, keys, hot).withColumn("_salt", salt.cast("int")).drop("_hot")
+    salt = F.when(F.col("_fan").isNotNull(), F.pmod(F.xxhash64(*payload), F.col("_fan"))).otherwise(F.lit(0))
+    return mark_hot(df, keys, hot).withColumn("_salt", salt.cast("long")).drop("_fan")
 
 
 def salt_copies(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Give the other side one copy per salt, for hot keys only."""
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(FAN - 1))).otherwise(F.array(F.lit(0)))
-    return mark_hot(df, keys, hot).withColumn("_salt", F.explode(salts)).drop("_hot")
+    """Give the other side one copy per piece, for hot keys only."""
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_fan"), F.lit(1).cast("long")) - 1)
+    return mark_hot(df, keys, hot).withColumn("_salt", F.explode(salts)).drop("_fan")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", probe: DataFrame | None = None,
@@ -54,11 +63,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     ``on``), so a chain of joins need not be run twice to find its hot keys.
     """
     on = list(on)
-    base = left if probe is None else probe
-    if is_small(base):
-        return left.join(right, on, how)
     heavy = list(probe_on or on)
-    hot = hot_keys(base, heavy)
+    hot = hot_keys(left if probe is None else probe, heavy)
+    if hot is None:
+        return left.join(right, on, how)
     joined = salt_many(left, heavy, hot).join(salt_copies(right, heavy, hot), on + ["_salt"], how)
     return joined.drop("_salt")
 

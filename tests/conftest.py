@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from patchlore.session import build_session  # noqa: E402
 
-LARGE = {"patchlore.small.bytes": "0", "patchlore.hot.rows": "3", "patchlore.block.rows": "3"}
+LARGE = {"patchlore.hot.rows": "3", "patchlore.block.rows": "3"}
 
 
 @pytest.fixture(scope="session")
@@ -19,7 +19,7 @@ def spark():
 
 @pytest.fixture(params=["small", "large"])
 def plans(request, spark):
-    """Run a test with the plans for small inputs and again with those for large ones."""
+    """Run a test as it is and again with tiny blocks and hot keys, so that groups are split."""
     if request.param == "large":
         for k, v in LARGE.items():
             spark.conf.set(k, v)
