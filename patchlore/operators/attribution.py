@@ -26,7 +26,8 @@ def _match_nth(lines: DataFrame, written: DataFrame, keys: list[str], newest_fir
     """(keys, path, idx, by): n-th line of a text in a file to the n-th commit line of that text."""
     same = keys + ["path", "_h"]
     want = number_rows(lines, same, ["idx"], by_width("idx"), "_nth")
-    have = number_rows(written, same, ["ord", "line_idx"], by_width("ord"), "_nth", reverse=not newest_first)
+    # one text may fill a large part of a much edited file: then each commit is a block of its own
+    have = number_rows(written, same, ["ord", "line_idx"], F.col("ord"), "_nth", reverse=not newest_first, split_hot_only=True)
     have = have.select(*same, "_nth", F.col("sha").alias("by"))
     return want.join(have, same + ["_nth"]).select(*keys, "path", "idx", "by")
 
@@ -35,7 +36,16 @@ def _hashed(df: DataFrame, kind: str) -> DataFrame:
     return df.filter(F.col("kind") == kind).withColumn("_h", F.md5(F.col("text").cast("binary")))
 
 
-def attribute_additions(lines: DataFrame, written: DataFrame, blame: DataFrame | None = None, keys: Sequence[str] = PR) -> DataFrame:
+def _current_paths(written: DataFrame, renames: DataFrame | None, keys: list[str]) -> DataFrame:
+    """A commit before a rename wrote under the old path: old paths of ``renames`` (keys, path, old_path) become the new one."""
+    if renames is None:
+        return written
+    r = renames.select(*keys, F.col("old_path").alias("path"), F.col("path").alias("_new"))
+    return salted_join(written, r, keys + ["path"], "left").withColumn("path", F.coalesce("_new", "path")).drop("_new")
+
+
+def attribute_additions(lines: DataFrame, written: DataFrame, blame: DataFrame | None = None, keys: Sequence[str] = PR,
+                        renames: DataFrame | None = None) -> DataFrame:
     """(keys, path, idx, by) of added lines: blame first, else the newest commit adding the same text.
 
     ``lines`` has (keys, path, idx, kind, new, text); ``written`` the lines of
@@ -52,21 +62,16 @@ def attribute_additions(lines: DataFrame, written: DataFrame, blame: DataFrame |
         adds = cut(adds.join(b, keys + ["path", "new"], "left"), "adds")
         known = adds.filter(F.col("by").isNotNull()).select(*keys, "path", "idx", "by")
         adds = adds.filter(F.col("by").isNull()).drop("by")
-    found = _match_nth(adds.drop("new"), _hashed(written, "add").drop("text", "kind"), keys, newest_first=True)
+    made = _current_paths(_hashed(written, "add").drop("text", "kind"), renames, keys)
+    found = _match_nth(adds.drop("new"), made, keys, newest_first=True)
     return found if known is None else known.unionByName(found)
 
 
 def attribute_deletions(lines: DataFrame, written: DataFrame, renames: DataFrame | None = None, keys: Sequence[str] = PR) -> DataFrame:
     """(keys, path, idx, by) of removed lines: the earliest commit whose own diff removes that text.
-
-    A commit before a rename removed the line under the old path, so old paths
-    of ``renames`` (keys, path, old_path) count as the new one.
     """
     keys = list(keys)
-    gone = _hashed(written, "del").drop("text", "kind")
-    if renames is not None:
-        r = renames.select(*keys, F.col("old_path").alias("path"), F.col("path").alias("_new"))
-        gone = salted_join(gone, r, keys + ["path"], "left").withColumn("path", F.coalesce("_new", "path")).drop("_new")
+    gone = _current_paths(_hashed(written, "del").drop("text", "kind"), renames, keys)
     dels = _hashed(lines, "del").select(*keys, "path", "idx", "_h")
     return _match_nth(dels, gone, keys, newest_first=False)
 
@@ -75,7 +80,7 @@ def attribute_lines(lines: DataFrame, written: DataFrame, commits: DataFrame, bl
                     renames: DataFrame | None = None, keys: Sequence[str] = PR) -> DataFrame:
     """Add ``by`` to every changed line; lines no commit explains go to the newest commit."""
     keys = list(keys)
-    by = attribute_additions(lines, written, blame, keys).unionByName(attribute_deletions(lines, written, renames, keys))
+    by = attribute_additions(lines, written, blame, keys, renames).unionByName(attribute_deletions(lines, written, renames, keys))
     head = commits.groupBy(*keys).agg(F.min_by("sha", "ord").alias("_head")) if keys else commits.agg(F.min_by("sha", "ord").alias("_head"))
     d = lines.join(by, keys + ["path", "idx"], "left")
     if keys:
@@ -144,7 +149,7 @@ def build_threads(comments: DataFrame, keys: Sequence[str] = PR, created: Column
     ``created`` (epoch seconds) orders replies; a reply to an unknown root is dropped.
     """
     keys = list(keys)
-    at = F.unix_timestamp(F.col("created").cast("timestamp")) if created is None else created
+    at = F.unix_timestamp(F.try_to_timestamp(F.col("created").cast("string"))) if created is None else created
     c = comments.withColumn("_at", at.cast("long"))
     roots = c.filter(F.col("in_reply_to").isNull()).withColumn("thread_id", F.col("id")).withColumn("pos", F.lit(0).cast("long"))
     replies = c.filter(F.col("in_reply_to").isNotNull()).withColumn("thread_id", F.col("in_reply_to"))

@@ -173,14 +173,15 @@ def site_context(sites: DataFrame, source: DataFrame, keys: Sequence[str] = ("pr
     """(keys, line, text, ctx, ctx_start): each distinct site with the source lines around it.
 
     A site asks for its seven lines by an equi join, so no range scan is needed.
+    A site whose file or line is not there keeps an empty text.
     """
     keys = list(keys)
     near = F.explode(F.sequence(F.col(line) - CONTEXT_LINES, F.col(line) + CONTEXT_LINES))
     asked = sites.select(*keys, line).distinct().select(*keys, F.col(line).alias("_at"), near.alias(line))
-    got = asked.join(source.select(*keys, line, text), keys + [line])
+    got = asked.join(source.select(*keys, line, text, F.lit(True).alias("_there")), keys + [line], "left")
     own = F.max(F.when(F.col(line) == F.col("_at"), source_line(F.col(text))))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(line).alias("l"), context_line(F.col(text)).alias("t"))))
-    d = got.groupBy(*keys, "_at").agg(F.coalesce(own, F.lit("")).alias("text"), rows.alias("_rows"), F.min(line).alias("ctx_start"))
+    rows = F.array_sort(F.collect_list(F.when(F.col("_there"), F.struct(F.col(line).alias("l"), context_line(F.col(text)).alias("t")))))
+    d = got.groupBy(*keys, "_at").agg(F.coalesce(own, F.lit("")).alias("text"), rows.alias("_rows"), F.coalesce(F.min(F.when(F.col("_there"), F.col(line))), F.greatest(F.min(line), F.lit(1))).alias("ctx_start"))
     return d.select(*keys, F.col("_at").alias(line), "text", F.transform("_rows", lambda x: x["t"]).alias("ctx"), "ctx_start")
 
 

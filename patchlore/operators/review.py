@@ -249,14 +249,16 @@ def collect_threads(drafts: DataFrame, threads: DataFrame, keys: Sequence[str] =
         *keys, F.col("id").cast("string").alias("id"), "path", F.col("line").cast("long").alias("line"), "side", "body", "author",
         F.when(F.col("reply_to").isNotNull(), reply).otherwise(F.concat(spot, F.when(F.col("side") == "LEFT", " (removed)").otherwise(""))).alias("anchor"),
         F.col("reply_to").cast("string").alias("reply_to"), F.lit(True).alias("mine"), sent.alias("sent"),
-        F.unix_micros(F.col("created").cast("timestamp")).alias("_at"))
+        F.unix_micros(F.try_to_timestamp(F.col("created").cast("string"))).alias("_at"))
     theirs = threads.select(
         *keys, F.coalesce(F.col("id").cast("string"), "anchor", F.lit("")).alias("id"), anchor_path(F.coalesce("anchor", F.lit(""))).alias("path"),
         F.when(anchor_line(F.col("anchor")) > 0, anchor_line(F.col("anchor"))).alias("line"), F.lit("RIGHT").alias("side"), "body", "author",
         F.coalesce("anchor", F.lit("")).alias("anchor"), F.lit(None).cast("string").alias("reply_to"), F.lit(False).alias("mine"),
         F.lit(True).alias("sent"), F.col("ord").cast("long").alias("_at"))
     d = mine.unionByName(theirs).withColumn("_sec", F.when(~F.col("mine"), 2).when(F.col("sent"), 1).otherwise(0))
-    block = F.col("_sec") * F.lit(1 << 40) + F.floor(F.col("_at") / F.when(F.col("mine"), F.lit(3_600_000_000)).otherwise(F.lit(1 << 18)))
+    # a second of own notes or one thread is a block; a missing time sorts first within its section
+    at = F.floor(F.col("_at") / F.when(F.col("mine"), F.lit(1_000_000)).otherwise(F.lit(1)))
+    block = F.col("_sec") * F.lit(1 << 50) + F.coalesce(at, F.lit(-(1 << 49)))
     return number_rows(d, keys, ["_sec", "_at", "id"], block, "pos", split_hot_only=True).drop("_sec", "_at")
 
 
@@ -291,22 +293,22 @@ def unsent_items(items: DataFrame, exported: DataFrame, keys: Sequence[str] = PR
 
 
 def review_payload(unsent: DataFrame, keys: Sequence[str] = PR, stamp: str = STAMP, part_rows: int = PART_ROWS) -> DataFrame:
-    """(keys, part, body, comments): what to post, at most ``part_rows`` ids per row.
+    """(keys, part, body, comments): what to post, at most ``part_rows`` comments per row.
 
     A group without a fresh comment posts no review. A group larger than one
-    part posts several, so none is ever cut short.
+    part posts several, so none is ever cut short; the ids of its replies are
+    dealt over the stamps of these parts in turn.
     """
     keys = list(keys)
     d = unsent.withColumn("_rep", F.col("is_reply").cast("int"))
-    block = F.col("_rep") * F.lit(1 << 45) + by_width("pos")
-    d = number_rows(d, keys, ["_rep", "pos"], block, "_n")
-    d = d.withColumn("part", F.floor((F.col("_n") - 1) / F.lit(part_rows)))
+    d = number_rows(d, keys + ["_rep"], ["pos"], by_width("pos"), "_n")
+    fresh_parts = unsent.filter(~F.col("is_reply")).groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("_parts"))
+    d = salted_join(d, fresh_parts, keys)
+    d = d.withColumn("part", F.when(F.col("is_reply"), F.pmod(F.col("_n") - 1, F.col("_parts"))).otherwise(F.floor((F.col("_n") - 1) / F.lit(part_rows))))
     fresh = F.struct(F.col("_n").alias("n"), "path", F.when(F.col("side") == "LEFT", "LEFT").otherwise("RIGHT").alias("side"), "line", "body")
     per = d.groupBy(*keys, "part").agg(
         F.array_sort(F.collect_list(F.when(~F.col("is_reply"), fresh))).alias("comments"),
         F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_ids"), F.count_if(~F.col("is_reply")).alias("n"))
-    any_fresh = unsent.filter(~F.col("is_reply")).select(*keys).distinct()
-    per = per.join(any_fresh, keys, "left_semi")
     ids = F.array_join(F.transform("_ids", lambda x: x["id"]), ",")
     note = F.concat(F.lit("Review notes — "), F.col("n").cast("string"), F.lit(" comment"), F.when(F.col("n") == 1, "").otherwise("s"),
                     F.lit(f"\n<!-- {stamp}: "), ids, F.lit(" -->"))

@@ -113,8 +113,9 @@ def module_graph(imports: DataFrame, reexports: DataFrame, files: DataFrame, can
     return ok(imports), ok(reexports)
 
 
-def first_defs(defs: DataFrame, keys: Sequence[str] = ("pr_id",), order: Sequence[str] = ("def_id",)) -> DataFrame:
-    """First definition of a name in a file."""
+def first_defs(defs: DataFrame, keys: Sequence[str] = ("pr_id",), order: Sequence[str] | None = None) -> DataFrame:
+    """First definition of a name in a file, by default the one that starts first."""
+    order = order or (("start", "def_id") if "start" in defs.columns else ("def_id",))
     pick = F.min(F.struct(*order, F.col("def_id").alias("_id"))).alias("p")
     return defs.groupBy(*keys, "file", "name").agg(pick).select(*keys, "file", "name", F.col("p._id").alias("def_id"))
 
@@ -160,7 +161,7 @@ def resolve_export(wanted: DataFrame, top_defs: DataFrame, reexports: DataFrame,
 
 
 def resolve_uses(uses: DataFrame, defs: DataFrame, imports: DataFrame, reexports: DataFrame, keys: Sequence[str] = ("pr_id",),
-                 order: Sequence[str] = ("def_id",), default_name: Column | None = None) -> DataFrame:
+                 order: Sequence[str] | None = None, default_name: Column | None = None) -> DataFrame:
     """Add ``def_id`` and ``rule`` (local, import, namespace, unique; null if unresolved).
 
     Rules apply in that order; an import that names nothing, or a member access

@@ -38,7 +38,7 @@ def parse_commit_log(logs: DataFrame, log: str = "log") -> DataFrame:
     parents = F.filter(F.split(cell(1), " "), lambda x: x != "")
     return d.select("pr_id", cell(0).alias("sha"), parents.alias("parents"), cell(2).alias("author"),
                     F.expr("try_cast(coalesce(get(split(_r, '\\t'), 3), '') AS BIGINT)").alias("at"),
-                    part(0).alias("day"), F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz").alias("ts"),
+                    part(0).alias("day"), F.when(part(1).rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$"), part(1).try_cast("timestamp_ntz")).alias("ts"),
                     part(2).alias("time"), cell(5).alias("message"), (F.col("_i").cast("long") + 1).alias("ord"))
 
 

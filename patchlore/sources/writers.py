@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from patchlore import schema
-from patchlore.plans.skew import salted_join
+from patchlore.plans.skew import all_of, salted_join
+from patchlore.session import cut
 
 PART_ROWS = 50_000   # rows of a section in one document part
 SLICE_ROWS = 5_000   # lines of one file in one slice
@@ -81,12 +83,23 @@ def write_dataset(tables: Mapping[str, DataFrame], path: str, part_rows: int = P
 
 
 def export_outbox(payload: DataFrame, replies: DataFrame, path: str) -> None:
-    """Append reviews and replies still to be sent; sending them is not this engine's work."""
+    """Append reviews and replies still to be sent; sending them is not this engine's work.
+
+    What the outbox holds already is left out, so a repeated run adds nothing.
+    """
     keys = ["pr_id"]
     reviews = payload.select(*keys, F.lit("review").alias("what"), F.lit(None).cast("string").alias("reply_to"), "body", "comments")
     answers = replies.filter("is_reply").select(*keys, F.lit("reply").alias("what"), F.col("reply_to").cast("string").alias("reply_to"), "body",
                                                 F.lit(None).cast(payload.schema["comments"].dataType).alias("comments"))
-    reviews.unionByName(answers).write.mode("append").parquet(path)
+    rows = reviews.unionByName(answers)
+    try:
+        held = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    except AnalysisException:  # no outbox yet
+        held = None
+    if held is not None:
+        same = all_of([F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("pr_id", "what", "reply_to", "body")])
+        rows = cut(rows.alias("n").join(held.alias("h"), same, "left_anti"), "unsent")
+    rows.write.mode("append").parquet(path)
 
 
 def reconcile_refs(prs: DataFrame, upstream: DataFrame) -> DataFrame:

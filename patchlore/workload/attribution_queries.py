@@ -120,12 +120,12 @@ def facts_input(spark, sf):
     folder = F.when(F.col("l_suppkey") % 25 == 3, "tests/f").otherwise("src/f")
     uses = li.select(F.col("l_partkey").alias("def_id"), F.concat(folder, F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("file"))
     kind = F.when(F.col("p_size") % 7 == 0, "interface").when(F.col("p_size") % 7 == 1, "typeAlias").otherwise("function")
-    entries = t.table(spark, sf, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("entry_id"), kind.alias("kind"), (F.col("p_partkey") % 10 == 0).alias("seed"))
+    entries = t.table(spark, sf, "part").select(F.col("p_partkey").alias("entry_id"), kind.alias("kind"), (F.col("p_partkey") % 10 == 0).alias("seed"))
     return entries, uses
 
 
-FACTS = """us AS (SELECT l_partkey AS entry_id, CASE WHEN l_suppkey % 25 = 3 THEN 'tests/f' ELSE 'src/f' END || l_suppkey || '.ts' AS file FROM lineitem WHERE l_partkey % 3 <> 0),
-en AS (SELECT p_partkey AS entry_id, CASE p_size % 7 WHEN 0 THEN 'interface' WHEN 1 THEN 'typeAlias' ELSE 'function' END AS kind, p_partkey % 10 = 0 AS seed FROM part WHERE p_partkey % 3 <> 0),
+FACTS = """us AS (SELECT l_partkey AS entry_id, CASE WHEN l_suppkey % 25 = 3 THEN 'tests/f' ELSE 'src/f' END || l_suppkey || '.ts' AS file FROM lineitem),
+en AS (SELECT p_partkey AS entry_id, CASE p_size % 7 WHEN 0 THEN 'interface' WHEN 1 THEN 'typeAlias' ELSE 'function' END AS kind, p_partkey % 10 = 0 AS seed FROM part),
 fa AS (SELECT entry_id, count(*) || ' references at head' AS relation, NULL AS file, false AS negative FROM us GROUP BY entry_id
   UNION ALL SELECT DISTINCT entry_id, 'covered by test', file, false FROM us WHERE starts_with(file, 'tests/')
   UNION ALL SELECT entry_id, 'no direct test references', NULL, true FROM en WHERE entry_id NOT IN (SELECT entry_id FROM us WHERE starts_with(file, 'tests/')))
@@ -205,19 +205,15 @@ def thread_state(spark, sf):
 
 
 LEFT = SLICED + """,
-mb AS (SELECT p_partkey AS entry_id, p_brand AS comp_id FROM part WHERE p_partkey % 4 <> 1),
+mb AS (SELECT p_partkey AS entry_id, p_brand AS comp_id FROM part),
 cp AS (SELECT DISTINCT comp_id, path FROM es JOIN mb USING (entry_id)),
 lo AS (SELECT cp.comp_id, hl.path, hl.idx, hl.kind FROM hl JOIN cp USING (path) WHERE hl.kind <> 'ctx' AND NOT EXISTS (
    SELECT 1 FROM es JOIN mb USING (entry_id) WHERE mb.comp_id = cp.comp_id AND es.path = hl.path AND es.idx = hl.idx))
 """
 
 
-def some_members(spark, sf):
-    return t.comp_entries(spark, sf).filter("entry_id % 4 <> 1")
-
-
 def leftovers(spark, sf, d):
-    return at.leftover_lines(d, sliced(spark, sf, d), some_members(spark, sf), NOKEY)
+    return at.leftover_lines(d, sliced(spark, sf, d), t.comp_entries(spark, sf), NOKEY)
 
 
 @query("leftover_lines", with_views("s_diff_lines s_def_spans", LEFT + "SELECT comp_id, path, count(*) AS lines, min(idx) AS first_idx, count(*) FILTER (kind = 'add') AS \"add\" FROM lo GROUP BY ALL"))
@@ -227,12 +223,11 @@ def leftover_lines(spark, sf):
 
 
 @query("leftover_context", with_views("s_diff_lines s_def_spans", LEFT + """,
-sp AS (SELECT * FROM lo WHERE idx % 40 = 0),
-ky AS (SELECT DISTINCT comp_id, path, idx + k AS idx FROM sp, range(-2, 3) r(k))
+ky AS (SELECT DISTINCT comp_id, path, idx + k AS idx FROM lo, range(-2, 3) r(k))
 SELECT comp_id, path, count(*) AS rows, count(*) FILTER (kind = 'add') AS "add", count(*) FILTER (kind = 'del') AS del FROM ky JOIN hl USING (path, idx) GROUP BY ALL"""))
 def leftover_context(spark, sf):
     d = lines(spark, sf)
-    w = at.context_window(leftovers(spark, sf, d).filter("idx % 40 = 0"), d, NOKEY)
+    w = at.context_window(leftovers(spark, sf, d), d, NOKEY)
     return w.groupBy("comp_id", "path").agg(F.count("*").alias("rows"), F.count_if(F.col("kind") == "add").alias("add"), F.count_if(F.col("kind") == "del").alias("del"))
 
 

@@ -175,12 +175,11 @@ def collect_edges(spark, sf):
 @query("site_context", """WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
 SELECT file, line, left(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), 160) AS text, greatest(1, line - 3) AS ctx_start,
   (SELECT string_agg(left(regexp_replace(b.text, '[\\s\\p{Z}]+$', ''), 200), chr(10) ORDER BY b.line) FROM l b WHERE b.file = a.file AND b.line BETWEEN a.line - 3 AND a.line + 3) AS ctx
-FROM l a WHERE line % 5 = 1""")
+FROM l a""")
 def site_context(spark, sf):
     d = t.table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     source = d.select("file", (F.col("i").cast("long") + 1).alias("line"), "text")
-    sites = source.filter("line % 5 = 1").select("file", "line")
-    out = g.site_context(sites, source, ["file"])
+    out = g.site_context(source.select("file", "line"), source, ["file"])
     return out.withColumn("ctx", F.array_join("ctx", "\n"))
 
 
@@ -274,12 +273,12 @@ def cross_counts(spark, sf):
 
 
 @query("layer_ranks", with_views("s_edges", """
-up AS (SELECT a, b FROM s_edges WHERE a < b),
+up AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM s_edges),
 lp AS (SELECT p_partkey AS entry_id, CAST(0 AS BIGINT) AS d FROM part UNION SELECT up.b, lp.d + 1 FROM lp JOIN up ON up.a = lp.entry_id)
 SELECT 0 AS comp_id, entry_id, max(d) AS "rank" FROM lp GROUP BY entry_id"""))
 def layer_ranks(spark, sf):
     part = t.table(spark, sf, "part").select(F.lit(0).alias("comp_id"), F.col("p_partkey").alias("entry_id"))
-    up = t.edges(spark, sf).filter("a < b").withColumn("comp_id", F.lit(0))
+    up = t.edges(spark, sf).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("comp_id"))
     return g.layer_ranks(part, up, NOKEY)
 
 

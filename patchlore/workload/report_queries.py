@@ -111,7 +111,7 @@ def component_rail(spark, sf):
     return rp.component_rail(walk, ctx, marks, marks).drop("pr_id")
 
 
-ENTRY_PATHS = "SELECT DISTINCT l_partkey AS entry_id, l_suppkey AS path FROM lineitem WHERE l_partkey % 8 = 0"
+ENTRY_PATHS = "SELECT DISTINCT l_partkey AS entry_id, l_suppkey AS path FROM lineitem"
 
 
 @query("component_totals", with_views("s_diff_lines s_comp_entries", f"""
@@ -121,7 +121,7 @@ SELECT comp_id, count(*) AS files, CAST(sum(a) AS BIGINT) AS "add", CAST(sum(d)
 def component_totals(spark, sf):
     li = entry_lines(spark, sf)
     deltas = li.groupBy("path").agg(F.count_if(F.col("kind") == "add").alias("add"), F.count_if(F.col("kind") == "del").alias("del"))
-    return rp.component_totals(deltas, li.filter("entry_id % 8 = 0"), t.comp_entries(spark, sf), NOKEY)
+    return rp.component_totals(deltas, li, t.comp_entries(spark, sf), NOKEY)
 
 
 def entry_lines(spark, sf):
@@ -129,10 +129,10 @@ def entry_lines(spark, sf):
     return t.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entry_id"), F.col("l_suppkey").alias("path"), kind.alias("kind"))
 
 
-@query("file_objects", """SELECT l_suppkey AS path, l_partkey AS entry_id, any_value(CASE WHEN p_partkey % 3 <> 0 THEN p_brand END) AS comp_id,
+@query("file_objects", """SELECT l_suppkey AS path, l_partkey AS entry_id, any_value(p_brand) AS comp_id,
   count(*) FILTER (l_returnflag = 'A') AS "add", count(*) FILTER (l_returnflag = 'R') AS del FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""")
 def file_objects(spark, sf):
-    return rp.file_objects(entry_lines(spark, sf), t.comp_entries(spark, sf).filter("entry_id % 3 <> 0"), NOKEY)
+    return rp.file_objects(entry_lines(spark, sf), t.comp_entries(spark, sf), NOKEY)
 
 
 @query("context_group", """WITH c AS (SELECT p_brand AS comp_id, p_partkey AS pos, 'f' || (p_partkey % 17) || '.ts' AS name FROM part WHERE p_partkey % 10 <> 0),

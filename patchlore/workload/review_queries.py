@@ -301,11 +301,12 @@ def unsent_items(spark, sf):
 
 
 @query("review_payload", with_views("s_comments", UNSENT + """,
-nm AS (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY is_reply, CAST(id AS BIGINT)) AS n FROM us)
-SELECT pr_id, (n - 1) // 7 AS part, count(*) FILTER (NOT is_reply) AS n,
+fp AS (SELECT pr_id, (count(*) + 6) // 7 AS parts FROM us WHERE NOT is_reply GROUP BY pr_id),
+nm AS (SELECT *, row_number() OVER (PARTITION BY pr_id, is_reply ORDER BY CAST(id AS BIGINT)) AS n FROM us JOIN fp USING (pr_id))
+SELECT pr_id, CASE WHEN is_reply THEN (n - 1) % parts ELSE (n - 1) // 7 END AS part, count(*) FILTER (NOT is_reply) AS n,
   'Review notes — ' || count(*) FILTER (NOT is_reply) || ' comment' || CASE count(*) FILTER (NOT is_reply) WHEN 1 THEN '' ELSE 's' END || chr(10) || '<!-- review-threads: ' || string_agg(id, ',' ORDER BY CAST(id AS BIGINT)) || ' -->' AS body,
   coalesce(string_agg('f' || conv_id || ':' || turn || ':' || CASE WHEN turn % 4 = 0 THEN 'LEFT' ELSE 'RIGHT' END || ':b' || id, ' ' ORDER BY n) FILTER (NOT is_reply), '') AS comments
-FROM nm WHERE pr_id IN (SELECT pr_id FROM us WHERE NOT is_reply) GROUP BY 1, 2"""))
+FROM nm GROUP BY 1, 2"""))
 def review_payload(spark, sf):
     d = rv.review_payload(cut(unsent(spark, sf), "unsent"), part_rows=7)
     one = F.transform("comments", lambda c: F.concat_ws(":", c["path"], c["line"].cast("string"), c["side"], c["body"]))

@@ -66,11 +66,13 @@ def def_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part points to the part that follows it in the last order in which another one does."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
     li = table(spark, sf, "lineitem").select("l_orderkey", *order)
     nxt = scan(li, ["l_orderkey"], order, {"b": row_before(F.col("l_partkey"))}, by_width("l_linenumber"), reverse=True)
-    keep = nxt.filter((F.col("l_quantity") == 1) & F.col("b").isNotNull() & (F.col("b") != F.col("l_partkey")))
-    return cut(keep.select(F.col("l_partkey").alias("a"), "b").distinct(), "edges")
+    other = nxt.filter(F.col("b").isNotNull() & (F.col("b") != F.col("l_partkey")))
+    last = other.groupBy(F.col("l_partkey").alias("a")).agg(F.max(F.struct("l_orderkey", "l_linenumber", "b")).alias("m"))
+    return cut(last.select("a", "m.b"), "edges")
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,10 +159,10 @@ def defs(spark: SparkSession, sf: str) -> DataFrame:
 
 def imports(spark: SparkSession, sf: str) -> DataFrame:
     n = supplier_count(spark, sf)
-    li = table(spark, sf, "lineitem").filter((F.col("l_partkey") % 4 == 0) & (F.col("l_suppkey") % 3 != 0))
-    li = li.select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 1499).alias("name"),
-                   F.when(F.col("l_partkey") % 8 == 0, F.col("l_partkey") % n)
-                   .otherwise((F.col("l_suppkey") * 7 + 3) % n).alias("module"))
+    file = F.col("o_custkey") % n
+    li = table(spark, sf, "orders").select(
+        file.alias("file"), (F.col("o_orderkey") % 1499).alias("name"),
+        F.when(F.col("o_orderkey") % 8 == 0, F.col("o_orderkey") % n).otherwise((file * 7 + 3) % n).alias("module"))
     kind = F.when(F.col("name") % 7 == 0, "namespace").when(F.col("name") % 7 == 1, "default").otherwise("named")
     return (li.groupBy("file", "name").agg(F.min("module").alias("module"))
             .select("file", F.col("name").alias("local_name"), F.col("name").alias("imported"), "module", kind.alias("kind")))
@@ -199,12 +201,12 @@ SELECT path, def_id, p_brand AS component, 1 + (k - 1) * 30 AS start_line,
 FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY def_id) AS k
       FROM (SELECT p_partkey % (SELECT count(*) FROM supplier) AS path, p_partkey AS def_id, p_brand, p_size FROM part))""",
     "s_edges": """
-SELECT DISTINCT a, b FROM (
-  SELECT l_partkey AS a, l_quantity AS q,
+SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY l_orderkey DESC, l_linenumber DESC, b DESC) AS k FROM (
+  SELECT l_partkey AS a, l_orderkey, l_linenumber,
          lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
            l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS b
   FROM lineitem) t
-WHERE b IS NOT NULL AND a <> b AND q = 1""",
+WHERE b IS NOT NULL AND a <> b) u WHERE k = 1""",
     "s_seeds": "SELECT p_partkey AS id, p_partkey AS seed_ord FROM part WHERE p_partkey % 10 = 0",
     "s_files": """
 SELECT d.doc_id, concat(CASE d.doc_id % 3 WHEN 0 THEN 'lib/gen/' WHEN 1 THEN 'src/' ELSE '' END,
@@ -242,10 +244,10 @@ SELECT p_partkey % (SELECT count(*) FROM supplier) AS file, p_partkey % 1499 AS
     "s_imports": """
 SELECT file, name AS local_name, name AS imported, min(module) AS module,
        CASE name % 7 WHEN 0 THEN 'namespace' WHEN 1 THEN 'default' ELSE 'named' END AS kind
-FROM (SELECT l_suppkey AS file, l_partkey % 1499 AS name,
-             CASE WHEN l_partkey % 8 = 0 THEN l_partkey % (SELECT count(*) FROM supplier)
-                  ELSE (l_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) END AS module
-      FROM lineitem WHERE l_partkey % 4 = 0 AND l_suppkey % 3 <> 0) t
+FROM (SELECT o_custkey % (SELECT count(*) FROM supplier) AS file, o_orderkey % 1499 AS name,
+             CASE WHEN o_orderkey % 8 = 0 THEN o_orderkey % (SELECT count(*) FROM supplier)
+                  ELSE (o_custkey % (SELECT count(*) FROM supplier) * 7 + 3) % (SELECT count(*) FROM supplier) END AS module
+      FROM orders) t
 GROUP BY file, name""",
     "s_reexports": """
 SELECT s_suppkey AS file, (s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) AS module, '*' AS exported
