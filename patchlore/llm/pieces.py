@@ -28,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -194,8 +195,6 @@ def encoder(path: str | None = None) -> Encoder:
 
 def encode_texts(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``ids`` (array of int)."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         enc = encoder(model)
@@ -206,8 +205,6 @@ def encode_texts(docs: DataFrame, model: str | None = None, text_col: str = "tex
 
 def decode_ids(docs: DataFrame, model: str | None = None, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """``docs`` with the text of each id list."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         enc = encoder(model)

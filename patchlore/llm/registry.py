@@ -27,8 +27,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 _shipped: set[str] = set()
 
 
+#: Rows in an Arrow batch between the JVM and Python, unless the session names another number than Spark's 10,000: texts are long.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application: Python tasks import from it."""
+    """Prepare a session for Python tasks: small Arrow batches, and this package on the executors, once per application."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

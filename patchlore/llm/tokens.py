@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from patchlore.llm.icws import hash_runs
 
 VOCABULARY = "word_bpe_49k.json"
-ENTRIES = 1_500_000
+ENTRIES = 1_000_000
 BATCH = 500_000       # chunks looked up at once, at most ENTRIES
 END_ID = 1
 
