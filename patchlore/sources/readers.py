@@ -102,7 +102,7 @@ def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     out = {name: d.select("pr_id", F.inline(name)) for name in schema.SECTIONS if name != "files"}
     out["prs"] = d.filter(F.col("pr").isNotNull()).select("pr_id", "pr.*")
     f = d.select("pr_id", F.inline("files"))
-    out["files"] = f.select("pr_id", "path", "old_path", "delta").distinct()
+    out["files"] = f.select("pr_id", "path", "old_path", "delta", "pos").distinct()
     out["diff_lines"] = f.select("pr_id", "path", F.inline("lines"))
     return out
 

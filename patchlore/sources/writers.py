@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlore import schema
 from patchlore.plans.skew import all_of, salted_join
@@ -13,6 +13,8 @@ from patchlore.session import cut
 
 PART_ROWS = 50_000   # rows of a section in one document part
 SLICE_ROWS = 5_000   # lines of one file in one slice
+BUCKETS = 256        # folders of a dataset, whatever the number of requests
+ORDER = ("ord", "pos", "line_idx", "idx")  # columns that order the list of a section
 
 
 def _parts(rows: DataFrame, part_rows: int) -> DataFrame:
@@ -26,9 +28,15 @@ def _section(rows: DataFrame, name: str, part_rows: int) -> DataFrame:
     fields = [f.split(":")[0] for f in _fields(schema.SECTIONS[name])]
     kind = schema.SECTIONS[name]
     have = [F.col(f) if f in rows.columns else F.lit(None).alias(f) for f in fields]
-    d = rows.select("pr_id", F.struct(*have).alias("_row"))
+    first = F.struct(*[F.col(c) for c in ORDER if c in rows.columns and c in fields], F.lit(0))
+    d = rows.select("pr_id", first.alias("_o"), F.struct(*have).alias("_row"))
     d = _parts(d.withColumn("_h", F.xxhash64("_row")), part_rows)
-    return d.groupBy("pr_id", "part").agg(F.collect_list("_row").cast(kind).alias(name))
+    return d.groupBy("pr_id", "part").agg(_sorted(F.struct("_o", "_row")).cast(kind).alias(name))
+
+
+def _sorted(pair: Column) -> Column:
+    """Rows of a part in the order of their first field; rows without an order by their content."""
+    return F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["_row"])
 
 
 def _fields(kind: str) -> list[str]:
@@ -48,11 +56,12 @@ def _file_section(files: DataFrame, lines: DataFrame, part_rows: int, slice_rows
     row = F.struct(*[(F.col(c) if c in lines.columns else F.lit(None)).alias(c) for c in ("idx", "kind", "old", "new", "text", "band", "by", "conflict")])
     d = lines.select("pr_id", "path", F.floor((F.col("idx") - 1) / F.lit(slice_rows)).alias("_s"), row.alias("_l"))
     d = d.groupBy("pr_id", "path", "_s").agg(F.array_sort(F.collect_list("_l")).alias("lines"))
-    d = salted_join(d, files.select("pr_id", "path", "old_path", "delta"), ["pr_id", "path"], "left", probe=lines)
+    pos = F.col("pos") if "pos" in files.columns else F.lit(None)
+    d = salted_join(d, files.select("pr_id", "path", "old_path", "delta", pos.cast("long").alias("pos")), ["pr_id", "path"], "left", probe=lines)
     n = lines.groupBy("pr_id").agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("_p"))
     d = salted_join(d, n, ["pr_id"], probe=lines).withColumn("part", F.pmod(F.xxhash64("path", "_s"), F.col("_p")))
-    one = F.struct("path", "old_path", "delta", "lines")
-    return d.groupBy("pr_id", "part").agg(F.collect_list(one).cast(schema.SECTIONS["files"]).alias("files"))
+    one = F.struct(F.struct("pos", "path", "_s").alias("_o"), F.struct("path", "old_path", "delta", "pos", "lines").alias("_row"))
+    return d.groupBy("pr_id", "part").agg(_sorted(one).cast(schema.SECTIONS["files"]).alias("files"))
 
 
 def dataset_documents(tables: Mapping[str, DataFrame], part_rows: int = PART_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -76,10 +85,21 @@ def dataset_documents(tables: Mapping[str, DataFrame], part_rows: int = PART_ROW
 
 def write_dataset(tables: Mapping[str, DataFrame], path: str, part_rows: int = PART_ROWS, mode: str = "overwrite",
                   slice_rows: int = SLICE_ROWS) -> None:
-    """One folder per request holding its document; only the requests given are replaced."""
-    doc = dataset_documents(tables, part_rows, slice_rows)
-    doc = doc.withColumn("request", F.col("pr_id")).repartition("pr_id", "part")
-    doc.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("request").json(path)
+    """Documents in a fixed number of folders; only the requests given are replaced.
+
+    A folder that holds one of them is written again together with the other
+    requests in it.
+    """
+    doc = dataset_documents(tables, part_rows, slice_rows).withColumn("bucket", F.pmod(F.crc32(F.col("pr_id").cast("binary")), F.lit(BUCKETS)).cast("int"))
+    try:
+        old = doc.sparkSession.read.schema(f"{schema.DOCUMENT}, bucket INT").json(path).filter(F.col("pr_id").isNotNull())
+    except AnalysisException:  # a new dataset
+        old = None
+    if old is not None and mode == "overwrite":
+        doc = cut(doc, "documents")
+        others = old.join(doc.select("bucket").distinct(), "bucket", "left_semi").join(doc.select("pr_id").distinct(), "pr_id", "left_anti")
+        doc = cut(doc.unionByName(others, allowMissingColumns=True), "documents")
+    doc.repartition("bucket", "pr_id", "part").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
 
 
 def export_outbox(payload: DataFrame, replies: DataFrame, path: str) -> None:

@@ -94,3 +94,37 @@ def test_checks_without_conclusion_fail(spark, plans):
                               "pr_id string, run_id long, name string, status string, conclusion string")
     got = rows(rp.check_snapshot(r), "pr_id", "total", "failing", "running", "state", "names")
     assert got == [("p", 3, 1, 1, "failing", ["a"]), ("q", 1, 0, 1, "running", []), ("s", 1, 0, 0, "passing", [])]
+
+
+def test_additions_before_a_rename_keep_their_commit(spark):
+    lines = spark.createDataFrame([("p", "new.c", 1, "add", 1, "kept line"), ("p", "new.c", 2, "add", 2, "late line")], "pr_id string, path string, idx long, kind string, new long, text string")
+    written = spark.createDataFrame([("p", "old.c", "c1", 2, 1, "add", "kept line"), ("p", "new.c", "c2", 1, 1, "add", "late line")], "pr_id string, path string, sha string, ord long, line_idx long, kind string, text string")
+    commits = spark.createDataFrame([("p", "c2", 1), ("p", "c1", 2)], "pr_id string, sha string, ord long")
+    renames = spark.createDataFrame([("p", "new.c", "old.c")], "pr_id string, path string, old_path string")
+    assert rows(at.attribute_lines(lines, written, commits, renames=renames), "idx", "by") == [(1, "c1"), (2, "c2")]
+
+
+def test_unreadable_and_missing_times(spark, plans):
+    c = spark.createDataFrame([("p", 1, None, "2020-01-01T00:00:00Z"), ("p", 2, 1, "soon"), ("p", 3, 1, None), ("p", 4, 1, "2020-01-02T00:00:00Z")], "pr_id string, id long, in_reply_to long, created string")
+    assert rows(at.build_threads(c), "pos", "id") == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    d = spark.createDataFrame([("p", i, "f", 1, "RIGHT", "b", "a", t, None, None, x) for i, t, x in ((1, "soon", None), (2, "2020-01-01T00:00:00Z", None), (3, None, "sent"), (4, "2020-01-01T00:00:00Z", "sent"))],
+                              "pr_id string, id long, path string, line long, side string, body string, author string, created string, reply_to string, reply_to_author string, exported_at string")
+    none = spark.createDataFrame([], "pr_id string, ord long, id long, anchor string, author string, body string")
+    assert rows(rv.collect_threads(d, none), "pos", "id") == [(1, "1"), (2, "2"), (3, "3"), (4, "4")]
+
+
+def test_replies_open_no_review_of_their_own(spark, plans):
+    items = [("p", str(i), i, f"f{i}", i, None, "b", None if i <= 3 else "1") for i in range(1, 10)] + [("q", "20", 20, "f", 1, None, "b", "7")]
+    d = spark.createDataFrame(items, "pr_id string, id string, pos long, path string, line long, side string, body string, reply_to string").withColumn("is_reply", F.col("reply_to").isNotNull())
+    got = rv.review_payload(d, part_rows=2).collect()
+    assert sorted((r.pr_id, r.part, len(r.comments)) for r in got) == [("p", 0, 2), ("p", 1, 1)]
+    stamped = [r.body.split(": ")[1].split(" --")[0].split(",") for r in got]
+    assert sorted(x for ids in stamped for x in ids) == [str(i) for i in range(1, 10)]
+
+
+def test_sites_without_source_stay(spark):
+    from patchlore.operators import graph as g
+    sites = spark.createDataFrame([("p", "f", 2), ("p", "gone", 5)], "pr_id string, file string, line long")
+    source = spark.createDataFrame([("p", "f", i, f"  line {i}") for i in range(1, 4)], "pr_id string, file string, line long, text string")
+    got = {(r.file, r.line): (r.text, r.ctx) for r in g.site_context(sites, source).collect()}
+    assert got == {("f", 2): ("line 2", ["  line 1", "  line 2", "  line 3"]), ("gone", 5): ("", [])}

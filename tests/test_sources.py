@@ -53,6 +53,9 @@ def test_documents_come_back_whole(spark, plans, part_rows, parts):
     back = rd.read_dataset(spark, path)
     assert rows(back["diff_lines"], "pr_id", "path", "idx", "kind", "old", "new", "text") == rows(lines)
     assert rows(back["commits"], "sha", "ord") == [(f"c{i}", i) for i in range(5)]
+    if parts == 1:
+        doc = rd.read_documents(spark, path).first()
+        assert [c.ord for c in doc.commits] == [0, 1, 2, 3, 4] and [x.path for x in doc.files] == ["f"] * 4
     assert rows(back["files"], "path", "delta") == [("f", "+8 −0")] and rows(back["prs"], "number", "title") == [("1", "title")]
     assert [s.line for s in back["edges"].first().sites] == [4]
     with open(path + "/broken.json", "w") as f:
@@ -80,3 +83,32 @@ def test_work_folder_comes_from_the_session():
     assert os.path.isdir(own) and work_dir(FakeSession("local[2]")) == own
     with pytest.raises(ValueError):
         work_dir(FakeSession("yarn"))
+
+
+def test_every_section_comes_back(spark):
+    s = spark.createDataFrame
+    tables = {"prs": s([("p", "t")], "pr_id string, title string"), "commits": s([("p", "c2", 1, ["c1", "c0"], "Mon", "08:15"), ("p", "c1", 2, [], "Sun", "21:00")], "pr_id string, sha string, ord long, parents array<string>, day string, time string"),
+              "written": s([("p", "f", "c1", 2, i, "add", f"t{i}") for i in range(3)], "pr_id string, path string, sha string, ord long, line_idx long, kind string, text string"),
+              "checks": s([("p", 4, "unit", "completed", "failure")], "pr_id string, run_id long, name string, status string, conclusion string"),
+              "extra_files": s([("p", "x.ts", "new", 1)], "pr_id string, path string, delta string, pos long"), "method": s([("p", 2, "b"), ("p", 1, "a")], "pr_id string, pos long, text string"),
+              "initial_component": s([("p", "k")], "pr_id string, comp_id string")}
+    path = new_path(spark, "docs")
+    wr.write_dataset(tables, path)
+    for i in range(wr.BUCKETS // 32):  # other requests, some of them in the same folder
+        wr.write_dataset({"prs": s([(f"q{i}-{k}", "other") for k in range(64)], "pr_id string, title string")}, path)
+    back = rd.read_dataset(spark, path)
+    for name, table in tables.items():
+        got = back[name].filter("pr_id = 'p'")
+        assert rows(got, *table.columns) == rows(table), name
+    assert [m.text for m in rd.read_documents(spark, path).filter("pr_id = 'p'").first().method] == ["a", "b"]
+    assert back["prs"].count() == 1 + 64 * (wr.BUCKETS // 32)
+
+
+def test_outbox_takes_nothing_twice(spark):
+    s = spark.createDataFrame
+    payload = s([("p", 0, 1, "note", [])], "pr_id string, part long, n long, body string, comments array<string>")
+    replies = s([("p", "r1", "t1", "yes", True), ("p", "r2", "t1", "no", False)], "pr_id string, id string, reply_to string, body string, is_reply boolean")
+    path = new_path(spark, "outbox")
+    for _ in range(3):
+        wr.export_outbox(payload, replies, path)
+    assert rows(spark.read.parquet(path), "what", "body") == [("reply", "yes"), ("review", "note")]

@@ -76,3 +76,8 @@ def test_def_ids_drop_unusable_names(spark):
     d = spark.createDataFrame([("f", "x", "const", 0, 1), ("f", "undefined", "const", 2, 3), ("f", "ok", "class", 9, 12), ("f", "fn", "function", 4, 8)],
                               "file string, name string, kind string, start long, end long")
     assert rows(sy.with_def_ids(d, []), "def_id") == [("f#fn#function#0",), ("f#ok#class#1",)]
+
+
+def test_first_definition_is_the_one_that_starts_first(spark):
+    d = spark.createDataFrame([("p", "f.ts", "foo", "f.ts#foo#const#10", 100), ("p", "f.ts", "foo", "f.ts#foo#const#2", 20)], "pr_id string, file string, name string, def_id string, start long")
+    assert rows(sy.first_defs(d), "def_id") == [("f.ts#foo#const#2",)]

@@ -73,3 +73,12 @@ def test_blocked_scan_equals_plain_windows(spark, plans):
         want = d.select("*", F.coalesce(F.sum("v").over(upto), F.lit(0)).alias("s"), F.max("v").over(before).alias("x"), F.last("v", True).over(upto).alias("l"),
                         F.lag("i").over(w).alias("b"), F.max("v").over(Window.partitionBy("k")).alias("t"))
         assert rows(got) == rows(want)
+
+
+def test_null_keys_and_times_are_numbered_like_others(spark, plans):
+    data = [(k, None if i % 4 == 0 else i, i) for k in (None, "a", "b") for i in range(12)]
+    d = spark.createDataFrame(data, "k string, t long, id long")
+    got = sc.number_rows(d, ["k"], ["t", "id"], F.col("t"), "rn", split_hot_only=True)
+    for key in (None, "a", "b"):
+        mine = got.filter(F.col("k").eqNullSafe(F.lit(key))).orderBy("rn").collect()
+        assert [r.rn for r in mine] == list(range(1, 13)) and [r.id for r in mine[:3]] == [0, 4, 8]
