@@ -130,13 +130,13 @@ def review_summary(reviewers: DataFrame, states: DataFrame, seen: DataFrame, rea
     n_ids = ids.groupBy(*keys).agg(F.count("*").alias("ids"))
     fresh = new_since_checkpoint(ids, counts, states, seen, keys)
     marks = is_read(fresh, read, keys).groupBy(*on).agg(F.count_if(~F.col("read")).alias("unread"), F.count_if(F.col("fresh") > 0).alias("back"))
-    every = salted_join(real.select(*keys, "sha"), states.select(*on), keys)
-    since = every.join(seen.select(*on, "sha"), on + ["sha"], "left_anti").groupBy(*on).agg(F.count("*").alias("since"))
+    seen = seen.select(*on, "sha").distinct()
     lines = new_line_count(entry_counts, states, seen, keys, per_id=False)
     d = reviewers.select(*on).join(totals, keys).join(n_ids, keys, "left")
     d = d.join(branch_rewritten(states, seen, commits, keys), on, "left")
-    d = d.join(marks, on, "left").join(since, on, "left").join(lines, on, "left")
-    d = d.withColumn("_has", F.col("seen").isNotNull()).na.fill(0, ["ids", "unread", "back", "since", "new_lines", "seen", "known"])
+    d = d.join(marks, on, "left").join(lines, on, "left")
+    # commits not seen are all commits but the seen ones still on the branch: no reviewer meets every commit
+    d = d.withColumn("_has", F.col("seen").isNotNull()).withColumn("since", F.when(F.col("_has"), F.col("commits") - F.col("known"))).na.fill(0, ["ids", "unread", "back", "since", "new_lines", "seen", "known"])
     status = (F.when(~F.col("_has"), "none").when(F.col("rewritten"), "rewritten").when(F.col("since") > 0, "new")
               .when(F.col("unread") > 0, "unread").otherwise("read"))
     return d.select(*on, "commits", "ids", status.alias("status"), "unread", "back", "since", "new_lines")

@@ -27,6 +27,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     rows / hot_rows lines, so Spark knows its size and broadcasts it or not.
     """
     limit = hot_rows(df.sparkSession)
+    if df.count() <= limit:  # no key can have more; a written table knows its rows
+        return None
     heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
     hot = cut(heavy.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("long").alias("_fan")), "hot")
     return None if hot.isEmpty() else hot

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,14 +30,14 @@ _local_dirs: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
+    """Folder every executor can reach, from ``spark.checkpoint.dir`` or ``setCheckpointDir``.
 
-    Only a local session without that setting gets a temporary folder: on a
+    Only a session that runs in one process gets a temporary folder: on a
     cluster a machine-local path would lose the data together with its executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         app = spark.sparkContext.applicationId
         if app not in _local_dirs:
@@ -46,7 +47,13 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/patchlore/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/patchlore/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_cuts(spark: SparkSession) -> bool:
+    """Delete what ``cut`` and the queries of this application have written, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/patchlore/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -116,3 +116,11 @@ def test_outgoing_cross_link_overrides_incoming(spark, plans):
     members = spark.createDataFrame([("c1", "a", 1), ("c1", "b", 1), ("c2", "z", 2)], "comp_id string, entry_id string, comp_ord int")
     got = rows(g.cross_component_links(edges, members, keys=[]), "comp_id", "target", "entry_id", "into")
     assert got == [("c1", "c2", "a", False), ("c1", "c2", "b", True), ("c2", "c1", "z", False)]
+
+
+def test_a_long_cycle_needs_no_round_per_entry(spark):
+    n = 300
+    members = spark.createDataFrame([("k", i) for i in range(n)], "comp_id string, entry_id long")
+    inner = spark.createDataFrame([("k", i, (i + 1) % 290) for i in range(290)] + [("k", 289, 290), ("k", 290, 291), ("k", 295, 296), ("k", 296, 297)], "comp_id string, a long, b long")
+    got = {e: r for e, r in rows(g.layer_ranks(members, inner, []), "entry_id", "rank")}
+    assert {got[i] for i in range(292)} == {n} and [got[i] for i in (295, 296, 297, 299)] == [0, 1, 2, 0]

@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from patchlore.session import new_path, work_dir
+from patchlore.session import cut, new_path, remove_cuts, work_dir
 from patchlore.sources import readers as rd, writers as wr
 from tests.conftest import rows
 
@@ -72,9 +72,9 @@ def test_refs_of_a_differing_upstream_are_dropped(spark):
 
 
 class FakeSession:
-    def __init__(self, master, folder=None):
+    def __init__(self, master, folder=None, checkpoints=None):
         self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = SimpleNamespace(master=master, applicationId="app-1")
+        self.sparkContext = SimpleNamespace(master=master, applicationId="app-1", getCheckpointDir=lambda: checkpoints)
 
 
 def test_work_folder_comes_from_the_session():
@@ -83,6 +83,15 @@ def test_work_folder_comes_from_the_session():
     assert os.path.isdir(own) and work_dir(FakeSession("local[2]")) == own
     with pytest.raises(ValueError):
         work_dir(FakeSession("yarn"))
+    with pytest.raises(ValueError):
+        work_dir(FakeSession("local-cluster[2,1,1024]"))
+    assert work_dir(FakeSession("yarn", None, "hdfs:///set")) == "hdfs:///set"
+
+
+def test_cuts_are_removed_on_request(spark):
+    kept = cut(spark.range(3))
+    assert kept.count() == 3 and remove_cuts(spark)
+    assert not os.path.exists(os.path.dirname(new_path(spark, "x")))
 
 
 def test_every_section_comes_back(spark):
