@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from patchlore.operators.timeline import SWEEP_GAP_HOURS
@@ -26,7 +27,7 @@ def sweeps_stream(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str
     return per.select(*keys, "day", F.col("w.start").alias("first_ts"), "commits")
 
 
-def review_ageing_stream(pushes: DataFrame, states: DataFrame, seen: DataFrame, keys: Sequence[str] = ("pr_id",)) -> DataFrame:
+def review_ageing_stream(pushes: DataFrame, states: DataFrame, seen: DataFrame, keys: Sequence[str] = ("pr_id",), pieces: int = SALTS) -> DataFrame:
     """(reviewer, keys, id, reviewed_at, fresh): changed lines by unseen commits, in update mode.
 
     ``pushes`` streams (keys, id, by, kind); ``states`` and ``seen`` are tables,
@@ -36,30 +37,36 @@ def review_ageing_stream(pushes: DataFrame, states: DataFrame, seen: DataFrame,
     """
     keys = list(keys)
     p = pushes.filter((F.col("kind") != "ctx") & F.col("by").isNotNull())
-    # streams have no runtime skew handling: the few state rows are copied over
-    # fixed salts, so that the pushes of one busy request meet them in many tasks
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    # streams have no runtime skew handling: the few rows of state and seen commits are
+    # copied over ``pieces`` salts, so that the pushes of one busy request, or of one
+    # busy commit, meet them in many tasks
+    copies = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_salt")
     marked = states.filter(F.col("reviewed_at") > 0).select("reviewer", *keys, "reviewed_at", copies)
-    d = p.withColumn("_salt", F.pmod(F.xxhash64("by", "id"), F.lit(SALTS)).cast("int")).join(marked, keys + ["_salt"]).drop("_salt")
-    known = seen.select("reviewer", *keys, F.col("sha").alias("by"))
-    d = d.join(known, ["reviewer", *keys, "by"], "left_anti")
+    d = p.withColumn("_salt", F.pmod(F.xxhash64("by", "id"), F.lit(pieces)).cast("int")).join(marked, keys + ["_salt"])
+    known = seen.select("reviewer", *keys, F.col("sha").alias("by"), copies)
+    d = d.join(known, ["reviewer", *keys, "by", "_salt"], "left_anti")
     return d.groupBy("reviewer", *keys, "id", "reviewed_at").agg(F.count("*").alias("fresh"))
 
 
 def outbox_stream(items: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "ts", late: str = "7 days") -> DataFrame:
-    """Each (keys, id) once; repeats within ``late`` of the first are dropped."""
+    """Each (keys, id) once; repeats within ``late`` of the first are dropped.
+
+    The state is bounded by ``late``; ``run_outbox`` drops repeats of any age.
+    """
     d = items.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return d.dropDuplicatesWithinWatermark([*keys, "id"])
 
 
-def run_available(stream: DataFrame, mode: str, name: str) -> str:
+def run_available(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> str:
     """Run a stream over what has arrived; returns the folder of its output table.
 
     Append writes rows once. Update and complete write each micro-batch to its
-    own sub-folder, replaced when the batch is retried; see ``latest``.
+    own sub-folder, replaced when the batch is retried; see ``latest``. With
+    ``folder`` a later run goes on where the last one ended.
     """
     spark = stream.sparkSession
-    out, log = new_path(spark, name), new_path(spark, f"{name}-log")
+    out = new_path(spark, name) if folder is None else f"{folder}/{name}"
+    log = new_path(spark, f"{name}-log") if folder is None else f"{folder}/{name}-log"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", out).start()
@@ -71,6 +78,28 @@ def run_available(stream: DataFrame, mode: str, name: str) -> str:
     return out
 
 
+def run_outbox(items: DataFrame, folder: str, keys: Sequence[str] = ("pr_id",)) -> str:
+    """Append the (keys, id) of ``items`` that the outbox has not had, however long ago; returns its folder.
+
+    Each micro-batch is compared with the rows of the others and has a folder of
+    its own, so a retried batch replaces itself and nothing is sent twice.
+    """
+    out, on = f"{folder}/outbox", [*keys, "id"]
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(on)
+        try:
+            sent = batch.sparkSession.read.parquet(out).filter(F.col("batch") != batch_id).select(*on)
+        except AnalysisException:  # nothing sent yet
+            sent = None
+        if sent is not None:
+            fresh = fresh.join(sent, on, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    items.writeStream.option("checkpointLocation", f"{folder}/outbox-log").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    return out
+
+
 def latest(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Newest row per key of an update-mode table (column ``batch``)."""
     rest = [c for c in table.columns if c not in keys and c != "batch"]
