@@ -13,10 +13,12 @@ from patchlore.plans.scan import by_width, islands, last_value, number_rows, sca
 from patchlore.plans.skew import salted_join
 from patchlore.session import cut
 
-# What makes a test file, kinds no test exercises, and the negative fact.
+# What makes a test file, kinds no test exercises, and the sentences of the facts.
 TEST_PATH = "test|spec"
 UNTESTABLE_KINDS = ["typeAlias", "interface"]
 NO_TEST_FACT = "no direct test references"
+REFERENCES_FACT = " references at head"
+TEST_FACT = "covered by test"
 LEFTOVER_CONTEXT = 2
 
 PR = ("pr_id",)
@@ -127,10 +129,10 @@ def trace_facts(entries: DataFrame, uses: DataFrame, keys: Sequence[str] = PR) -
     per_file = uses.groupBy(*keys, F.col("def_id").alias("entry_id"), "file").agg(F.count("*").alias("n"))
     per_file = cut(salted_join(per_file, e, keys + ["entry_id"], "left_semi"), "used")
     refs = per_file.groupBy(*keys, "entry_id").agg(F.sum("n").alias("n"))
-    refs = refs.select(*keys, "entry_id", F.concat(F.col("n").cast("string"), F.lit(" references at head")).alias("relation"),
+    refs = refs.select(*keys, "entry_id", F.concat(F.col("n").cast("string"), F.lit(REFERENCES_FACT)).alias("relation"),
                        F.lit(None).cast("string").alias("file"), F.lit(False).alias("negative"))
     tests = per_file.filter(F.col("file").rlike(TEST_PATH))
-    cover = tests.select(*keys, "entry_id", F.lit("covered by test").alias("relation"), "file", F.lit(False).alias("negative"))
+    cover = tests.select(*keys, "entry_id", F.lit(TEST_FACT).alias("relation"), "file", F.lit(False).alias("negative"))
     none = e.join(tests.select(*keys, "entry_id").distinct(), keys + ["entry_id"], "left_anti")
     none = none.select(*keys, "entry_id", F.lit(NO_TEST_FACT).alias("relation"), F.lit(None).cast("string").alias("file"), F.lit(True).alias("negative"))
     return refs.unionByName(cover).unionByName(none)

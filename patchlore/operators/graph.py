@@ -13,7 +13,7 @@ from patchlore.plans.scan import by_width, number_rows
 from patchlore.plans.skew import salted_join
 from patchlore.session import cut
 
-# Limits that define the results.
+# Limits and sentences that define the results.
 MAX_HOPS = 3
 SITE_CAP = 3
 CONTEXT_LINES = 3
@@ -22,6 +22,10 @@ SHOWN_ENTRIES = 16
 NAMED_SEEDS = 6
 NAMED_CALLERS = 5
 NAMED_REASONS = 2
+ORIGIN_HEAD = "derived from changed symbols "
+ORIGIN_TAIL = " · def−use edges · 3-hop reach"
+REACHED_BY = "Unchanged. Reached by "
+PULLED_IN = "Unchanged. Pulled in from changed code nearby."
 
 PR = ("pr_id",)
 
@@ -121,7 +125,7 @@ def component_origin(seeds: DataFrame, keys: Sequence[str] = PR, comp: str = "co
     """How a component was formed: the first six seed names and the number of others."""
     d = names_and_rest(seeds, list(keys) + [comp], ["seed_ord"], NAMED_SEEDS)
     more = F.when(F.col("total") > NAMED_SEEDS, F.concat(F.lit(" and "), (F.col("total") - NAMED_SEEDS).cast("string"), F.lit(" more"))).otherwise("")
-    text = F.concat(F.lit("derived from changed symbols "), F.array_join("names", ", "), more, F.lit(" · def−use edges · 3-hop reach"))
+    text = F.concat(F.lit(ORIGIN_HEAD), F.array_join("names", ", "), more, F.lit(ORIGIN_TAIL))
     return d.select(*keys, comp, text.alias("origin"))
 
 
@@ -341,5 +345,5 @@ def reach_reason(edges: DataFrame, entries_: DataFrame, keys: Sequence[str] = PR
     joined = (F.when(rest > 0, F.concat(F.array_join("names", ", "), F.lit(" and "), rest.cast("string"), F.lit(" more.")))
               .otherwise(F.concat(F.array_join("names", " and "), F.lit("."))))
     plain = entries_.filter(~F.col("seed")).select(*keys, "entry_id")
-    out = plain.join(d.withColumn("_why", F.concat(F.lit("Unchanged. Reached by "), joined)), keys + ["entry_id"], "left")
-    return out.select(*keys, "entry_id", F.coalesce("_why", F.lit("Unchanged. Pulled in from changed code nearby.")).alias("reason"))
+    out = plain.join(d.withColumn("_why", F.concat(F.lit(REACHED_BY), joined)), keys + ["entry_id"], "left")
+    return out.select(*keys, "entry_id", F.coalesce("_why", F.lit(PULLED_IN)).alias("reason"))

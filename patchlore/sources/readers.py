@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlore import schema
+from patchlore.functions.text import pr_ref
 
 # Which files are sources and which folders never are.
 SOURCE_GLOB = "*.{ts,tsx}"
@@ -42,6 +43,13 @@ def parse_commit_log(logs: DataFrame, log: str = "log") -> DataFrame:
                     part(2).alias("time"), cell(5).alias("message"), (F.col("_i").cast("long") + 1).alias("ord"))
 
 
+def read_pr_refs(refs: DataFrame, ref: str = "ref") -> tuple[DataFrame, DataFrame]:
+    """References to requests, and the unreadable rest with a reason, for a quarantine table."""
+    d = refs.withColumn("_r", pr_ref(F.col(ref)))
+    bad = d.filter(F.col("_r.number").isNull()).drop("_r").withColumn("reason", F.lit("not a reference to a request"))
+    return d.filter(F.col("_r.number").isNotNull()).select(*refs.columns, "_r.*"), bad
+
+
 def read_comments(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Review comments of landed API pages (pr_id, payload)."""
     d = payloads.select("pr_id", F.explode(F.from_json(payload, schema.COMMENTS_JSON)).alias("c"))

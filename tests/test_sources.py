@@ -121,3 +121,17 @@ def test_outbox_takes_nothing_twice(spark):
     for _ in range(3):
         wr.export_outbox(payload, replies, path)
     assert rows(spark.read.parquet(path), "what", "body") == [("reply", "yes"), ("review", "note")]
+
+
+def test_unreadable_references_go_to_quarantine(spark):
+    d = spark.createDataFrame([(1, "box/trie#7"), (2, "no reference"), (3, None)], "id int, ref string")
+    good, bad = rd.read_pr_refs(d)
+    assert rows(good, "id", "owner", "repo", "number") == [(1, "box", "trie", "7")]
+    assert rows(bad, "id", "reason") == [(2, "not a reference to a request"), (3, "not a reference to a request")]
+
+
+def test_outer_folders_of_a_listing_do_not_matter(spark, tmp_path):
+    for p in ("node_modules/x/a.ts", "b.ts"):
+        os.makedirs(tmp_path / "deep" / os.path.dirname(p), exist_ok=True)
+        (tmp_path / "deep" / p).write_text("")
+    assert rows(rd.list_source_files(spark, str(tmp_path / "deep"))) == [("b.ts", "")]
