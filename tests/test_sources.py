@@ -133,5 +133,5 @@ def test_unreadable_references_go_to_quarantine(spark):
 def test_outer_folders_of_a_listing_do_not_matter(spark, tmp_path):
     for p in ("node_modules/x/a.ts", "b.ts"):
         os.makedirs(tmp_path / "deep" / os.path.dirname(p), exist_ok=True)
-        (tmp_path / "deep" / p).write_text("")
-    assert rows(rd.list_source_files(spark, str(tmp_path / "deep"))) == [("b.ts", "")]
+        (tmp_path / "deep" / p).write_text("let x;")
+    assert rows(rd.list_source_files(spark, str(tmp_path / "deep"))) == [("b.ts", "let x;")]
