@@ -17,23 +17,24 @@ PATCH_KEYS = ("pr_id", "sha")
 
 
 def patch_rows(patches: DataFrame, keys: Sequence[str] = PATCH_KEYS, patch: str = "patch") -> DataFrame:
-    """One row per patch line with its file, hunk state and old/new numbers.
+    """One row per line of a patch's files with its file, hunk state and old/new numbers.
 
-    A patch is one column value, so the windows over it are bounded by the size
-    of a row; they share one shuffle on ``keys`` and one sort.
+    A patch falls apart into its files inside the row; the windows then run over
+    one file each, and share one shuffle and one sort.
     """
     keys = list(keys)
-    rows = patches.select(*keys, F.posexplode(F.split(patch, "\n", -1)).alias("pos", "raw"))
+    files = F.split(F.concat(F.lit("\n"), F.col(patch)), r"\n(?=diff --git)", -1)  # the first part is what precedes any file
+    per_file = patches.select(*keys, F.posexplode(files).alias("_f", "_text")).filter(F.col("_f") > 0)
+    rows = per_file.select(*keys, F.col("_f").cast("long").alias("file_seq"), F.posexplode(F.split("_text", "\n", -1)).alias("pos", "raw"))
     rows = rows.withColumn("is_file", F.col("raw").startswith("diff --git"))
     rows = rows.withColumn("is_hunk", ~F.col("is_file") & F.col("raw").rlike(HUNK_HEADER))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("file_seq", F.sum(F.col("is_file").cast("long")).over(w))
+    w = Window.partitionBy(*keys, "file_seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marker = F.when(F.col("is_file"), False).when(F.col("is_hunk"), True)
     rows = rows.withColumn("in_hunk", F.coalesce(F.last(marker, ignorenulls=True).over(w), F.lit(False)))
     sign = F.substring("raw", 1, 1)
     header = F.col("is_file") | F.col("is_hunk") | (~F.col("in_hunk") & F.col("raw").rlike(r"^(\+\+\+|---) "))
     kind = F.when(sign == "+", "add").when(sign == "-", "del").when(sign == " ", "ctx")
-    rows = rows.withColumn("kind", F.when((F.col("file_seq") > 0) & ~header, kind))
+    rows = rows.withColumn("kind", F.when(~header, kind))
     count = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), 1).otherwise(0).cast("long")).over(w)
     rows = rows.withColumns({"n_old": count("del", "ctx"), "n_new": count("add", "ctx"), "n_line": count("add", "del", "ctx")})
     hunk_at = lambda i: F.regexp_extract("raw", HUNK_HEADER, i).cast("long")
