@@ -32,7 +32,7 @@ def test_counts_equal_brute_force(docs):
 
 
 def test_verdicts(docs):
-    good = " ".join(f"the house number {i} of this street was built in {1900 + i}." for i in range(12))
+    good = " ".join(f"the {c}lan of {c}mor was in {c}tal." for c in "abcdefghijklm")
     rows = [(1, good), (2, " ".join(w + "%%%" for w in good.split())), (3, " | ".join(f"kqz{i}" for i in range(80))), (4, good.replace(" ", ""))]
     assert {r.doc_id: r.kept for r in quality.apply_rules(docs(rows)).collect()} == {1: True, 2: False, 3: False, 4: False}
 
