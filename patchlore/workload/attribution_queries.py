@@ -72,6 +72,21 @@ def attribute_lines(spark, sf):
     return attributed(spark, sf).select("path", "idx", "kind", "by")
 
 
+@query("attribute_lines_by_request", with_views("s_diff_lines", MATCH + """
+SELECT path % 3 AS pr_id, path, idx, kind,
+  CASE WHEN kind <> 'ctx' THEN coalesce(by_."by", (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 3 = dl.path % 3)) END AS "by"
+FROM dl LEFT JOIN by_ USING (path, idx)"""))
+def attribute_lines_by_request(spark, sf):
+    """Three requests, each with a newest commit of its own; half of the commits wrote under the files' old paths."""
+    d = lines(spark, sf).withColumn("pr_id", F.col("path") % 3)
+    old = F.when(F.col("sha") % 2 == 0, F.col("path") + 1000000).otherwise(F.col("path"))
+    own = written(d).withColumn("pr_id", F.col("path") % 3).withColumn("path", old)
+    renames = d.select("pr_id", "path").distinct().withColumn("old_path", F.col("path") + 1000000)
+    made = commits(spark, sf).withColumn("pr_id", F.col("sha") % 3)
+    got = at.attribute_lines(d, own, made, blame(d).withColumn("pr_id", F.col("path") % 3), renames)
+    return got.select("pr_id", "path", "idx", "kind", "by")
+
+
 STAMPED = MATCH + """,
 sl AS (SELECT al.*, coalesce("by" % 10 = 0, false) AS conflict, CASE WHEN "by" % 10 <> 0 THEN "by" % 4 + 1 END AS band FROM al)
 """

@@ -65,6 +65,18 @@ def flood_fill(spark, sf):
     return g.flood_fill(t.seeds(spark, sf), g.adjacency(t.edges(spark, sf), NOKEY), NOKEY)
 
 
+@query("flood_fill_by_request", with_views("s_edges s_seeds", """
+adj AS (SELECT a % 3 AS pr_id, a AS s, b AS d FROM s_edges UNION SELECT a % 3, b, a FROM s_edges),
+h AS (SELECT r.pr_id, id AS seed, id AS node, 0 AS hop FROM s_seeds, (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS pr_id) r
+      UNION SELECT h.pr_id, seed, adj.d, hop + 1 FROM h JOIN adj ON adj.pr_id = h.pr_id AND adj.s = node WHERE hop < 3)
+SELECT pr_id, seed, node, min(hop) AS hop FROM h GROUP BY ALL"""))
+def flood_fill_by_request(spark, sf):
+    """Three requests with the same symbols and seeds but other links."""
+    pairs = g.adjacency(t.edges(spark, sf).withColumn("pr_id", F.col("a") % 3))
+    seeds = t.seeds(spark, sf).withColumn("pr_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+    return g.flood_fill(seeds, pairs)
+
+
 @query("fill_starters", with_views("s_edges s_seeds", STARTERS + "SELECT id FROM st"))
 def fill_starters(spark, sf):
     return g.fill_starters(t.seeds(spark, sf), g.adjacency(t.edges(spark, sf), NOKEY), NOKEY).select("id")
