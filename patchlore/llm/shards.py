@@ -40,6 +40,7 @@ SHARDS_PER_TASK = 4
 KEY = 0x5EED
 ROUNDS = 6
 ROWS_PER_BLOCK = 100_000
+ENTRIES = 2_000_000    # chunks a worker keeps from the counting pass to the writing pass
 RECORD = np.dtype([("doc", "<i8"), ("piece", "<i4"), ("n", "<i4"), ("ids", "<u2", (LENGTH,))])
 STRIDE = RECORD.itemsize
 
@@ -67,7 +68,7 @@ def permute(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
 def numbered(docs: DataFrame, vocabulary: str | None) -> tuple[DataFrame, int]:
     """(_id, _key, copies, pieces, first) for each distinct (id, text), and the number of sequences."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, ENTRIES)
         for b in batches:
             n = [-(-np.diff(enc.encode(texts, END_ID).bounds) // LENGTH) for _, texts in text_slices(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], names=["_id", "_key", "pieces"])
@@ -89,7 +90,7 @@ def numbered(docs: DataFrame, vocabulary: str | None) -> tuple[DataFrame, int]:
 def records(docs: DataFrame, size: int, key: int, vocabulary: str | None) -> DataFrame:
     """(slot, record) of every sequence of ``docs`` (_id, _text, first)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, ENTRIES)
         for b in batches:
             ids, first = (b.column(i).fill_null(-1).to_numpy() for i in (0, 2))
             for lo, texts in text_slices(b.column(1)):

@@ -84,7 +84,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.keys[:] = 0
-        self.start, self.length, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
+        self.start, self.length, self.ids = Grown(np.uint32), Grown(np.uint32), Grown(np.uint32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where it is not known."""
@@ -119,13 +119,13 @@ class ChunkTable:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
-        self.table = ChunkTable(ENTRIES)
+        self.table = ChunkTable(entries or ENTRIES)
         self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
 
     def ids_of(self, chunk: str) -> list[int]:
@@ -148,9 +148,9 @@ class Encoder:
             at = new[first]
             lists = [self.ids_of(raw[a:b].decode("utf-8", "surrogatepass")) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             rows[new] = self.table.add(distinct, lists)[again]
-        length = self.table.length.data[rows]
+        length = self.table.length.data[rows].astype(np.int64)
         before = np.cumsum(length) - length
-        return self.table.ids.data[np.repeat(self.table.start.data[rows] - before, length) + np.arange(length.sum())], length
+        return self.table.ids.data[np.repeat(self.table.start.data[rows].astype(np.int64) - before, length) + np.arange(length.sum())], length
 
     def encode(self, texts: Sequence[str | None], end: int | None = None) -> Encoded:
         """Ids of each text, with the id ``end`` after it if given; a null text has none of its own."""
@@ -171,10 +171,10 @@ class Encoder:
         return Encoded(ids, bounds)
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
+def encoder(path: str | None = None, entries: int | None = None) -> Encoder:
+    """One encoder per Python worker, vocabulary and table size."""
     path = vocabulary_path(path)
-    return held(("tokens", path), lambda: Encoder(path))
+    return held(("tokens", path, entries), lambda: Encoder(path, entries))
 
 
 _held: dict[tuple, object] = {}
