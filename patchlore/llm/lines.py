@@ -5,6 +5,9 @@ host; lines above a boilerplate ratio are dropped from every page of that host.
 A page counts once by content: an exact copy of a page is the same page, so a
 group of copies does not turn its own article into boilerplate.
 
+``op7_line_dedup`` and its SQL use RATIO and MIN_PAGES; the pipeline uses
+REPEATED, which was chosen from measured line frequencies (README).
+
 Defined results: null text stays null; empty and blank lines are never counted
 or dropped; a null host is a host of its own whose lines are all kept; repeated
 rows are repeated in the output; an empty table gives an empty table.
@@ -12,6 +15,8 @@ rows are repeated in the output; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlore.llm.quality import let
@@ -22,6 +27,30 @@ RATIO = 0.1           # a line on more than this share of the host's pages is bo
 MIN_PAGES = 5         # and on at least so many pages
 ROWS_PER_TASK = 50_000
 BLANKS = " \t\r"
+SHORT_WORDS, SHORT_CHARS = 3, 30   # a line of at most so many words and fewer characters is short
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Boilerplate is on more than ``ratio`` of the host's pages and on at least ``pages`` of them; short lines, which texts share by chance, by numbers of their own."""
+    ratio: float
+    pages: int
+    short_ratio: float | None = None   # None: short lines as all others
+    short_pages: int | None = None
+
+    @property
+    def tells_short(self) -> bool:
+        return self.short_ratio is not None or self.short_pages is not None
+
+    def least_pages(self) -> Column:
+        return F.lit(self.pages) if self.short_pages is None else F.when(F.col("_short"), self.short_pages).otherwise(self.pages)
+
+    def least_share(self) -> Column:
+        return F.lit(self.ratio) if self.short_ratio is None else F.when(F.col("_short"), self.short_ratio).otherwise(self.ratio)
+
+
+# Three pages, so that small hosts lose clear repeats too; two pages that share a line may as well be two versions of one page.
+REPEATED = Rule(0.01, 3, 0.02, 5)
 
 
 def trimmed(line: Column) -> Column:
@@ -33,16 +62,22 @@ def line_hash(line: Column) -> Column:
     return F.when(F.length(trimmed(line)) > 0, F.xxhash64(trimmed(line)))
 
 
-def page_lines(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """One row per non-blank line: host, page content key, line hash."""
+def short_line(line: Column) -> Column:
+    own = trimmed(line)
+    return (F.length(own) < SHORT_CHARS) & (F.substring_index(own, " ", SHORT_WORDS) == own)
+
+
+def page_lines(docs: DataFrame, host: str, text: str, tells_short: bool = False) -> DataFrame:
+    """One row per non-blank line: host, page content key, line hash, is it short."""
     split = docs.filter(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.xxhash64(text).alias("_page"), F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
-    return split.select("_host", "_page", line_hash(F.col("_line")).alias("_h")).filter(F.col("_h").isNotNull())
+    short = short_line(F.col("_line")) if tells_short else F.lit(False)
+    return split.select("_host", "_page", line_hash(F.col("_line")).alias("_h"), short.alias("_short")).filter(F.col("_h").isNotNull())
 
 
-def line_frequencies(docs: DataFrame, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES) -> DataFrame:
-    """(_host, _h, pages, host_pages) of the lines on at least ``min_pages`` pages of their host."""
-    per_page = page_lines(docs, host, text).distinct()
-    counts = cut(per_page.groupBy("_host", "_h").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages), "line-counts")
+def line_frequencies(docs: DataFrame, host: str, text: str, rule: Rule) -> DataFrame:
+    """(_host, _h, _short, pages, host_pages) of the lines on at least the rule's number of pages of their host."""
+    per_page = page_lines(docs, host, text, rule.tells_short).distinct()
+    counts = cut(per_page.groupBy("_host", "_h", "_short").agg(F.count("*").alias("pages")).filter(F.col("pages") >= rule.least_pages()), "line-counts")
     totals = docs.filter(F.col(host).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.countDistinct(F.xxhash64(text)).alias("host_pages"))
     fan = fan_of(counts, "_host")
     return counts.withColumn("_salt", F.pmod(F.col("_h"), F.lit(fan))).join(copies(totals, fan), ["_host", "_salt"]).drop("_salt")
@@ -58,19 +93,19 @@ def copies(df: DataFrame, fan: int) -> DataFrame:
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES) -> DataFrame:
-    """(_host, _bad): the line hashes above the ratio. A host has at most lines per page / ratio of them."""
-    over = line_frequencies(docs, host, text, min_pages).filter(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
+def boilerplate(docs: DataFrame, rule: Rule, host: str = "source", text: str = "text") -> DataFrame:
+    """(_host, _bad): the line hashes above the ratio. A host has at most lines per page / ratio of them, however many pages it has."""
+    over = line_frequencies(docs, host, text, rule).filter(F.col("pages") > rule.least_share() * F.col("host_pages"))
     return over.groupBy("_host").agg(F.collect_set("_h").alias("_bad"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with cleaned text and a column ``lines_dropped``.
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, rule: Rule | None = None) -> DataFrame:
+    """``docs`` with cleaned text and a column ``lines_dropped``; by ``rule``, or else by one ratio and number of pages for all lines.
 
     The written table of hosts is joined to the pages: Spark broadcasts it while
     its files are small and otherwise shuffles by host, hot hosts in pieces.
     """
-    bad = cut(boilerplate(docs, ratio, host, text, min_pages), "boilerplate")
+    bad = cut(boilerplate(docs, rule or Rule(ratio, min_pages), host, text), "boilerplate")
     fan = fan_of(docs.filter(F.col(host).isNotNull()), host)
     salted = beside(docs, _host=F.col(host), _salt=F.pmod(F.xxhash64(text, host), F.lit(fan)), _lines=F.split(F.col(text), "\n", -1))
     joined = salted.join(copies(bad, fan), ["_host", "_salt"], "left")
