@@ -5,14 +5,16 @@ its word count and link density, those of its neighbours, and what its enclosing
 tags say; a decision tree trained on the labelled blocks below tells content
 from the rest. Pages are independent, so the work is one Arrow map over the scan.
 
-Defined results: null or empty html gives the empty text; markup that never
-closes runs to the end of the page; repeated rows are extracted once each;
+Defined results: null or empty html gives the empty text; comments and
+raw-text elements that never close run to the end of the page, other elements
+without text of the page hide only what lies before their own end tag; repeated rows are extracted once each;
 whole pages of any length are read; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -25,8 +27,12 @@ from patchlore.llm.registry import query, table
 from patchlore.llm.tokens import text_slices
 from patchlore.llm.tree import Tree, train_tree
 
-# Elements whose inside is never text of the page.
-RAW = "script style noscript template svg math canvas audio video object iframe select datalist textarea title head map".split()
+# Elements whose inside is never text of the page. Markup inside RAW is not markup and ends with the page at the latest;
+# HIDDEN hide what lies before their end tag, without one only the tag itself. The head needs no rule: what it
+# may hold is in one of these or void, and anything else begins the body, also where its tags are omitted.
+RAW = set("script style textarea title".split())
+HIDDEN = set("noscript template svg math canvas audio video object iframe select datalist map".split())
+FOREIGN = set("svg math".split())   # here '/>' closes an element
 # Elements that end the block before and after them.
 BLOCK = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option output p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,9 +56,10 @@ ARTICLE_WORDS = set("article post story entry content main body text".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>", re.S | re.I)
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+FOREIGN_END = re.compile(r"</(?:svg|math)(?=[\s/>])", re.I)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -98,6 +105,46 @@ def role_of(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     return tag in FURNITURE_TAGS and not (tag == "header" and in_article), False
 
 
+def tags_of(html: str) -> list[tuple[int, int, str, bool, str]]:
+    """Start, end, name, is it an end tag and attributes of each tag in order; what is no text of the page is one entry, without a name unless it is a title."""
+    found: list[tuple[int, int, str, bool, str]] = []
+    unclosed: list[tuple[str, int]] = []   # hidden element, its place in ``found``
+    count: Counter[str] = Counter()
+    endless: set[str] = set()              # raw elements without any further end tag
+    at = 0
+    while m := TOKEN.search(html, at):
+        start, at = m.span()
+        tag, attrs = (m["tag"] or "").lower(), m["attrs"] or ""
+        if attrs and not (attrs[0].isspace() or attrs[0] == "/") or tag not in RAW and tag not in HIDDEN:
+            found.append((start, at, tag, bool(m["end"]), attrs))
+        elif m["end"]:
+            if count[tag]:
+                while True:
+                    name, i = unclosed.pop()
+                    count[name] -= 1
+                    if name == tag:
+                        break
+                start = found[i][0]
+                del found[i:]
+            found.append((start, at, "", True, ""))
+        elif tag in HIDDEN:
+            if not (tag in FOREIGN and attrs.endswith("/")):
+                unclosed.append((tag, len(found)))
+                count[tag] += 1
+            found.append((start, at, "", False, ""))
+        else:
+            inside = count["svg"] + count["math"] > 0
+            if not (inside and attrs.endswith("/")):
+                end = None if tag in endless else RAW_END[tag].search(html, at)
+                if end is None:
+                    endless.add(tag)
+                    at = at if inside else len(html)
+                elif not (inside and FOREIGN_END.search(html, at, end.start())):
+                    at = end.end()
+            found.append((start, at, tag if tag == "title" else "", False, ""))
+    return found
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks of a page in order, white space collapsed, character references decoded."""
     blocks: list[Block] = []
@@ -130,19 +177,17 @@ def blocks_of(html: str) -> list[Block]:
         items -= tag == "li"
 
     at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            text(html[at:m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"]:
-                flush() if m["raw"].lower() in ("head", "title") else None
+    for start, end, tag, closing, attrs in tags_of(html):
+        if start > at:
+            text(html[at:start])
+        at = end
+        if tag in ("head", "title"):
+            flush()
+        if tag in ("", "head", "title"):
             continue
-        tag = tag.lower()
         if tag in BLOCK:
             flush()
-        if m["end"]:
+        if closing:
             # Close the innermost such element and all that it left open; paragraphs and inline tags never close an outer container.
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == tag:
@@ -152,7 +197,7 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 if tag not in CONTAINERS and open_[i][0] in CONTAINERS:
                     break
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+        elif tag not in VOID and not attrs.endswith("/"):
             if tag in CLOSES:
                 stop = CLOSES[tag]
                 for i in range(len(open_) - 1, -1, -1):
@@ -163,7 +208,7 @@ def blocks_of(html: str) -> list[Block]:
                         break
                     if open_[i][0] in CONTAINERS:
                         break
-            f, a = role_of(tag, m["attrs"], article > 0)
+            f, a = role_of(tag, attrs, article > 0)
             open_.append((tag, f, a))
             furniture += f
             article += a

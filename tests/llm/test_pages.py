@@ -38,6 +38,27 @@ def test_broken_markup():
     assert text("<article>" + "<p>word</p>" * 20_000) == " ".join(["word"] * 20_000)
 
 
+def test_omitted_end_tags_lose_no_text():
+    assert text("<html><head><meta><title>x</title><body><p>main text") == "main text"
+    assert text("<html><head><title>x</title><p>main text") == "main text"
+    assert text("<head class=sidebar><title>x</title><style>p{}</style>main text") == "main text"
+    for tag in sorted(pages.HIDDEN):
+        assert text(f"<article><p>before</p><{tag} id=a><p>after</p></article>") == "before after"
+        assert text(f"<article><p>before</p><{tag} id=a><p>after</p><{tag}>gone</{tag}><p>end</p></article>") == "before after end"
+        assert text(f"<article><p>a<{tag}><{tag}>b</{tag}><p>c</p></{tag}>d</article>") == "ad"
+    for tag in ("svg", "math"):
+        assert text(f"<article><p>before</p><{tag} viewBox='0 0 1 1' /><p>after</p><{tag}>x</{tag}><p>end</article>") == "before after end"
+    assert text("<article><svg><style/><title>t</title><script href=x /><text>t</text></svg><p>after</article>") == "after"
+    assert text("<article><svg><style>p{}</svg><p>after</p><style>q{}</style></article>") == "after"
+
+
+def test_raw_text_runs_to_its_end_tag_or_the_page_end():
+    for tag in ("script", "style", "textarea", "title"):
+        assert text(f"<article><p>kept</p><{tag}>gone</p><svg>") == "kept"
+        assert text(f"<article><p>kept</p><{tag}>x </svg> <p>y</{tag.upper()} ><p>end</article>") == "kept end"
+    assert text("<svg>" * 20_000 + "</video>" * 20_000 + "<article>word</article>") == "word"
+
+
 def test_labelled_blocks_are_learned():
     rows = np.array(pages.LABELLED, dtype=float)
     tree = pages.train()
