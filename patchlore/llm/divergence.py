@@ -32,6 +32,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from patchlore.llm.registry import query, ship, table
@@ -116,7 +117,7 @@ def joint_prices(left: np.ndarray, right: np.ndarray, left_totals: list[int], ri
     """Sums of f over the given terms: of every left group against every right one, and the other way round."""
     there = np.zeros((len(left_totals), len(right_totals)), dtype=np.int64)
     back = there.T.copy()
-    spans = [(0, len(left))] if len(left) else []
+    spans = [(0, len(left))] if left.size and right.size else []  # a block of groups may be empty
     while spans:
         lo, hi = spans.pop()
         if hi - lo > 1 and max(column_count(left[lo:hi]), column_count(right[lo:hi])) > COLUMNS:
@@ -136,9 +137,9 @@ def price_block(block: pa.Table) -> pa.Table:
     """Prices of one block of terms for one pair of group blocks; rows without a term list the groups."""
     lang = block.column("lang")[0].as_py()
     diagonal = block.column("left_block")[0].as_py() == block.column("right_block")[0].as_py()
-    listed = block.filter(pa.compute.is_null(block.column("term")))
+    listed = block.filter(pc.is_null(block.column("term")))
     terms, here = listed.column("terms")[0].as_py(), listed.column("here")[0].as_py()
-    rows = block.filter(pa.compute.is_valid(block.column("term")))
+    rows = block.filter(pc.is_valid(block.column("term")))
     code = rows.column("term").combine_chunks().dictionary_encode()
     index, seen = code.indices.to_numpy(), len(code.dictionary)
     n = rows.column("n").to_numpy()
@@ -146,7 +147,7 @@ def price_block(block: pa.Table) -> pa.Table:
     order[np.argsort(np.bincount(index, weights=n, minlength=seen), kind="stable")] = np.arange(seen)
     sides = []
     for side in (0, 1) if not diagonal else (0,):
-        mine = listed.filter(pa.compute.equal(listed.column("side"), side))
+        mine = listed.filter(pc.equal(listed.column("side"), side))
         names = mine.column("source").to_pylist()
         at = {s: i for i, s in enumerate(names)}
         own = rows.column("side").to_numpy() == side
