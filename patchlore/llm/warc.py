@@ -354,10 +354,16 @@ def register(spark: SparkSession) -> None:
 
 
 def read_archives(spark: SparkSession, folder: str, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Records of the archives in ``folder``, all columns or only those named."""
+    """Records of the archives in ``folder``, all columns or only those named.
+
+    Spark keeps a Python reader with the predicates last pushed to it and asks
+    anew only if a query has any; the first filter, true for every record, sees
+    to that, so that one table can be queried by different predicates.
+    """
     register(spark)
-    schema = SCHEMA if columns is None else ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] in columns)
-    return spark.read.format("warc").schema(schema).load(folder)
+    asked = [c.split()[0] for c in SCHEMA.split(", ") if columns is None or c.split()[0] in columns]
+    schema = ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] in (*asked, "content_length"))
+    return spark.read.format("warc").schema(schema).load(folder).filter("content_length >= 0").select(*asked)
 
 
 def write_archives(records: DataFrame, folder: str, compression: str = "none") -> None:
