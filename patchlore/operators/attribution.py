@@ -10,7 +10,7 @@ from patchlore.functions.text import parent_dir
 from patchlore.operators.diff import with_head_line
 from patchlore.plans.intervals import LINE_BIN, points_in_spans
 from patchlore.plans.scan import by_width, islands, last_value, number_rows, scan
-from patchlore.plans.skew import salted_join
+from patchlore.plans.skew import skew_join
 from patchlore.session import cut
 
 # What makes a test file, kinds no test exercises, and the sentences of the facts.
@@ -43,7 +43,7 @@ def _current_paths(written: DataFrame, renames: DataFrame | None, keys: list[str
     if renames is None:
         return written
     r = renames.select(*keys, F.col("old_path").alias("path"), F.col("path").alias("_new"))
-    return salted_join(written, r, keys + ["path"], "left").withColumn("path", F.coalesce("_new", "path")).drop("_new")
+    return skew_join(written, r, keys + ["path"], "left").withColumn("path", F.coalesce("_new", "path")).drop("_new")
 
 
 def attribute_additions(lines: DataFrame, written: DataFrame, blame: DataFrame | None = None, keys: Sequence[str] = PR,
@@ -86,7 +86,7 @@ def attribute_lines(lines: DataFrame, written: DataFrame, commits: DataFrame, bl
     head = commits.groupBy(*keys).agg(F.min_by("sha", "ord").alias("_head")) if keys else commits.agg(F.min_by("sha", "ord").alias("_head"))
     d = lines.join(by, keys + ["path", "idx"], "left")
     if keys:
-        d = salted_join(d, head, keys, "left", probe=lines)
+        d = skew_join(d, head, keys, "left")
         fallback = F.col("_head")
     else:
         fallback = head.scalar()
@@ -99,7 +99,7 @@ def stamp_lines(lines: DataFrame, commits: DataFrame, keys: Sequence[str] = PR)
     ``commits`` has (keys, sha, band, parents); two parents make a merge.
     """
     c = commits.select(*keys, F.col("sha").alias("by"), F.col("band").alias("_band"), (F.size("parents") >= 2).alias("_merge"))
-    d = salted_join(lines, c, list(keys) + ["by"], "left")
+    d = skew_join(lines, c, list(keys) + ["by"], "left")
     merge = F.coalesce("_merge", F.lit(False))
     return d.withColumn("conflict", merge).withColumn("band", F.when(~merge, F.col("_band"))).drop("_band", "_merge")
 
@@ -127,7 +127,7 @@ def trace_facts(entries: DataFrame, uses: DataFrame, keys: Sequence[str] = PR) -
     keys = list(keys)
     e = entries.select(*keys, "entry_id")
     per_file = uses.groupBy(*keys, F.col("def_id").alias("entry_id"), "file").agg(F.count("*").alias("n"))
-    per_file = cut(salted_join(per_file, e, keys + ["entry_id"], "left_semi"), "used")
+    per_file = cut(skew_join(per_file, e, keys + ["entry_id"], "left_semi"), "used")
     refs = per_file.groupBy(*keys, "entry_id").agg(F.sum("n").alias("n"))
     refs = refs.select(*keys, "entry_id", F.concat(F.col("n").cast("string"), F.lit(REFERENCES_FACT)).alias("relation"),
                        F.lit(None).cast("string").alias("file"), F.lit(False).alias("negative"))
@@ -155,7 +155,7 @@ def build_threads(comments: DataFrame, keys: Sequence[str] = PR, created: Column
     c = comments.withColumn("_at", at.cast("long"))
     roots = c.filter(F.col("in_reply_to").isNull()).withColumn("thread_id", F.col("id")).withColumn("pos", F.lit(0).cast("long"))
     replies = c.filter(F.col("in_reply_to").isNotNull()).withColumn("thread_id", F.col("in_reply_to"))
-    replies = salted_join(replies, roots.select(*keys, "thread_id"), keys + ["thread_id"], "left_semi")
+    replies = skew_join(replies, roots.select(*keys, "thread_id"), keys + ["thread_id"], "left_semi")
     replies = number_rows(replies, keys + ["thread_id"], ["_at", "id"], F.floor(F.col("_at") / 3600), "pos", split_hot_only=True)
     return roots.unionByName(replies.select(*roots.columns)).drop("_at")
 
@@ -166,7 +166,7 @@ def assign_threads(roots: DataFrame, line_owners: DataFrame, keys: Sequence[str]
     ``roots`` has (keys, path, line), ``line_owners`` (keys, path, new, entry_id).
     """
     own = line_owners.filter(F.col("new").isNotNull()).select(*keys, "path", F.col("new").alias("line"), "entry_id")
-    return salted_join(roots, own, list(keys) + ["path", "line"], "left")
+    return skew_join(roots, own, list(keys) + ["path", "line"], "left")
 
 
 def stale_threads(threads: DataFrame, versions: DataFrame, keys: Sequence[str] = ("pr_id", "path", "line")) -> DataFrame:
@@ -185,7 +185,7 @@ def stale_threads(threads: DataFrame, versions: DataFrame, keys: Sequence[str] =
     seen = scan(both, keys, ["at", "_is"], {"_before": last_value(F.col("_v"))}, hour, split_hot_only=True)
     seen = seen.filter(F.col("_is") == 1).select(*keys, "thread_id", F.col("at").alias("created"), F.col("_before.text").alias("before"))
     now = versions.groupBy(*keys).agg(F.max(F.struct("at", "sha", "text")).alias("_now"))
-    d = salted_join(seen, now, keys, probe=threads).filter(F.col("_now.at") > F.col("created"))
+    d = skew_join(seen, now, keys).filter(F.col("_now.at") > F.col("created"))
     return d.select(*keys, "thread_id", "created", "before", F.col("_now.text").alias("after"),
                     F.col("_now.sha").alias("sha"), F.col("_now.at").alias("at"))
 
@@ -211,11 +211,11 @@ def leftover_lines(lines: DataFrame, entry_lines: DataFrame, members: DataFrame,
     """(keys, comp_id, path, idx, kind): changed lines, in files a component's entries touch, that none of them claims."""
     keys = list(keys)
     m = members.select(*keys, "comp_id", "entry_id")
-    claimed = salted_join(entry_lines, m, keys + ["entry_id"])
+    claimed = skew_join(entry_lines, m, keys + ["entry_id"])
     claimed = cut(claimed.select(*keys, "comp_id", "path", "kind", _side(old).alias("_o"), _side(new).alias("_n")).distinct(), "claimed")
     paths = claimed.select(*keys, "comp_id", "path").distinct()
     changed = lines.filter(F.col("kind") != "ctx").select(*keys, "path", "idx", "kind", _side(old).alias("_o"), _side(new).alias("_n"))
-    d = salted_join(changed, paths, keys + ["path"])
+    d = skew_join(changed, paths, keys + ["path"])
     d = d.join(claimed, keys + ["comp_id", "path", "kind", "_o", "_n"], "left_anti")
     return d.select(*keys, "comp_id", "path", "idx", "kind")
 

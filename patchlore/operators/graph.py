@@ -10,7 +10,7 @@ from patchlore.functions.text import context_line, source_line
 from patchlore.plans import loops
 from patchlore.plans.intervals import CHAR_BIN, LINE_BIN, points_in_spans, spans_hit
 from patchlore.plans.scan import by_width, number_rows
-from patchlore.plans.skew import salted_join
+from patchlore.plans.skew import skew_join
 from patchlore.session import cut
 
 # Limits and sentences that define the results.
@@ -46,7 +46,7 @@ def enclosing_def(uses: DataFrame, spans: DataFrame, keys: Sequence[str] = ("pr_
     spots = uses.select(*keys, at).distinct()
     inside = points_in_spans(spots, spans.select(*keys, start, end, def_id), keys, at, start, end, width)
     owner = inside.groupBy(*keys, at).agg(F.max_by(def_id, F.struct(F.col(start), -F.col(end))).alias(def_id))
-    return salted_join(uses, owner, keys + [at])
+    return skew_join(uses, owner, keys + [at])
 
 
 def adjacency(references: DataFrame, keys: Sequence[str] = PR, a: str = "a", b: str = "b") -> DataFrame:
@@ -87,7 +87,7 @@ def merge_fills(starters: DataFrame, pairs: DataFrame, keys: Sequence[str] = PR,
     links = loops.prepare(pairs, keys, ready=True)
     dist = cut(loops.distance(starters.select(*keys, F.col("id").alias("src")), links, hops), "dist")
     near = dist.filter(F.col("dist") < hops).select(*keys, "src")
-    inner = salted_join(pairs, near, keys + ["src"])
+    inner = skew_join(pairs, near, keys + ["src"])
     inner = inner.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b"))
     linked = loops.prepare(loops.both_ways(inner, keys), keys, dist.select(*keys, "src"))
     return loops.components(linked).select(*keys, F.col("src").alias("node"), F.col("label").alias("comp"))
@@ -141,7 +141,7 @@ def display_surface(seeds: DataFrame, pairs: DataFrame, refs: DataFrame, keys: S
     shown = top.select(*group, "id", "refs", F.lit(0).alias("tier"), "rank")
     counts = shown.groupBy(*group).agg(F.count("*").alias("_have"))
     owned = seeds.select(*group, F.col("id").alias("src"), "seed_ord")
-    near = salted_join(pairs, owned, keys + ["src"]).groupBy(*group, "dst").agg(F.min("seed_ord").alias("seed_ord"))
+    near = skew_join(pairs, owned, keys + ["src"]).groupBy(*group, "dst").agg(F.min("seed_ord").alias("seed_ord"))
     near = near.withColumnRenamed("dst", "id").join(shown.select(*group, "id"), group + ["id"], "left_anti")
     near = near.join(refs, keys + ["id"])
     near = first_of(near, group, [F.desc("refs"), F.asc("seed_ord"), F.asc("id")], SHOWN_ENTRIES)
@@ -198,8 +198,8 @@ def edge_kinds(edges: DataFrame, entries_: DataFrame, keys: Sequence[str] = PR)
 
     An end may be a hub; its single entry row is then copied over the salts.
     """
-    d = salted_join(edges, _end(entries_, keys, "a"), list(keys) + ["a"], "left")
-    d = salted_join(d, _end(entries_, keys, "b"), list(keys) + ["b"], "left", probe=edges)
+    d = skew_join(edges, _end(entries_, keys, "a"), list(keys) + ["a"], "left")
+    d = skew_join(d, _end(entries_, keys, "b"), list(keys) + ["b"], "left")
     a, b = F.coalesce("seed_a", F.lit(False)), F.coalesce("seed_b", F.lit(False))
     kind = F.when(a & b, "co").when(b, "risk").when(a, "out").otherwise("quiet")
     return d.withColumn("kind", kind).drop("seed_a", "seed_b")
@@ -209,8 +209,8 @@ def edges_of(edges: DataFrame, entries_: DataFrame, keys: Sequence[str] = PR) ->
     """Each known entry with its edges: (keys, entry_id, direction, other, edge columns)."""
     keys = list(keys)
     known = entries_.select(*keys, F.col("entry_id").alias("a"), F.lit(True).alias("_ka"))
-    d = salted_join(edges, known, keys + ["a"], "left")
-    d = salted_join(d, known.withColumnsRenamed({"a": "b", "_ka": "_kb"}), keys + ["b"], "left", probe=edges)
+    d = skew_join(edges, known, keys + ["a"], "left")
+    d = skew_join(d, known.withColumnsRenamed({"a": "b", "_ka": "_kb"}), keys + ["b"], "left")
     ends = F.array(F.struct(F.col("a").alias("entry_id"), F.lit("out").alias("direction"), F.col("b").alias("other")),
                    F.struct(F.col("b").alias("entry_id"), F.lit("in").alias("direction"), F.col("a").alias("other")))
     d = d.filter(F.col("_ka") & F.col("_kb")).drop("_ka", "_kb").withColumn("_e", F.explode(ends))
@@ -221,8 +221,8 @@ def internal_edges(edges: DataFrame, members: DataFrame, keys: Sequence[str] = P
     """Edges with both ends in a component, once per such component."""
     keys = list(keys)
     m = members.select(*keys, "comp_id", "entry_id")
-    d = salted_join(edges, m.withColumnRenamed("entry_id", "a"), keys + ["a"])
-    return salted_join(d, m.withColumnRenamed("entry_id", "b"), keys + ["comp_id", "b"], probe=edges, probe_on=keys + ["b"])
+    d = skew_join(edges, m.withColumnRenamed("entry_id", "a"), keys + ["a"])
+    return skew_join(d, m.withColumnRenamed("entry_id", "b"), keys + ["comp_id", "b"])
 
 
 def trace_edges(traces: DataFrame, members: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
@@ -234,8 +234,8 @@ def trace_edges(traces: DataFrame, members: DataFrame, keys: Sequence[str] = PR)
     keys = list(keys)
     m = members.select(*keys, "comp_id", "entry_id", F.col("pos").alias("_mp"))
     t = traces.filter(F.col("object").isNotNull()).withColumnRenamed("component", "comp_id")
-    d = salted_join(t, m, keys + ["comp_id", "entry_id"])
-    d = salted_join(d, m.select(*keys, "comp_id", F.col("entry_id").alias("object")), keys + ["comp_id", "object"], probe=t)
+    d = skew_join(t, m, keys + ["comp_id", "entry_id"])
+    d = skew_join(d, m.select(*keys, "comp_id", F.col("entry_id").alias("object")), keys + ["comp_id", "object"])
     pair = keys + ["comp_id", F.least("entry_id", "object").alias("lo"), F.greatest("entry_id", "object").alias("hi")]
     best = F.min(F.struct("_mp", "pos", F.col("entry_id").alias("a"), F.col("object").alias("b"), "relation")).alias("p")
     return d.groupBy(*pair).agg(best).select(*keys, "comp_id", "p.a", "p.b", F.col("p.relation").alias("rel"))
@@ -258,16 +258,16 @@ def cross_component_links(edges: DataFrame, members: DataFrame, traces: DataFram
     home = component_of(m, keys, order)
     sides = []
     for mine, other, into in (("a", "b", False), ("b", "a", True)):
-        inside = salted_join(edges.select(*keys, "a", "b"), m.select(*keys, "comp_id", F.col("entry_id").alias(mine)), keys + [mine])
+        inside = skew_join(edges.select(*keys, "a", "b"), m.select(*keys, "comp_id", F.col("entry_id").alias(mine)), keys + [mine])
         gone = m.select(*keys, "comp_id", F.col("entry_id").alias(other))
-        gone = salted_join(inside, gone, keys + ["comp_id", other], "left_anti", probe=edges, probe_on=keys + [other])
+        gone = skew_join(inside, gone, keys + ["comp_id", other], "left_anti")
         there = home.select(*keys, F.col("entry_id").alias(other), F.col("comp_id").alias("target"))
-        d = salted_join(gone, there, keys + [other], probe=edges)
+        d = skew_join(gone, there, keys + [other])
         sides.append(d.select(*keys, "comp_id", "target", F.col(mine).alias("entry_id"), F.lit(into).alias("into")))
     links = sides[0].unionByName(sides[1])
     if traces is not None:
         t = traces.filter(F.col("component").isNotNull()).select(*keys, "entry_id", F.col("component").alias("target"))
-        t = salted_join(t, m.select(*keys, "comp_id", "entry_id"), keys + ["entry_id"]).filter(F.col("target") != F.col("comp_id"))
+        t = skew_join(t, m.select(*keys, "comp_id", "entry_id"), keys + ["entry_id"]).filter(F.col("target") != F.col("comp_id"))
         links = links.unionByName(t.select(*keys, "comp_id", "target", "entry_id", F.lit(False).alias("into")))
     return links.groupBy(*keys, "comp_id", "target", "entry_id").agg(F.min("into").alias("into"))
 
@@ -283,7 +283,7 @@ def layer_ranks(members: DataFrame, inner: DataFrame, keys: Sequence[str] = PR)
     """
     keys = list(keys) + ["comp_id"]
     size = members.groupBy(*keys).agg(F.count("*").alias("passes"))
-    nodes = salted_join(members.select(*keys, F.col("entry_id").alias("src")), size, keys)
+    nodes = skew_join(members.select(*keys, F.col("entry_id").alias("src")), size, keys)
     pairs = inner.filter(F.col("a") != F.col("b")).select(*keys, F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
     return loops.longest_path(nodes, loops.prepare(pairs, keys)).withColumnRenamed("src", "entry_id")
 
@@ -317,9 +317,9 @@ def risk_report(inner: DataFrame, entries_: DataFrame, keys: Sequence[str] = PR)
 
 def _callers(edges: DataFrame, entries_: DataFrame, keys: list[str], callee_changed: bool, caller_changed: bool) -> DataFrame:
     caller = entries_.select(*keys, F.col("entry_id").alias("a"), F.col("name").alias("name"), F.col("seed").alias("_sa"))
-    d = salted_join(edges, caller, keys + ["a"]).filter(F.col("_sa") == caller_changed)
+    d = skew_join(edges, caller, keys + ["a"]).filter(F.col("_sa") == caller_changed)
     callee = entries_.select(*keys, F.col("entry_id").alias("b"), F.col("seed").alias("_sb"))
-    return salted_join(d, callee, keys + ["b"], probe=edges).filter(F.col("_sb") == callee_changed).withColumnRenamed("b", "entry_id")
+    return skew_join(d, callee, keys + ["b"]).filter(F.col("_sb") == callee_changed).withColumnRenamed("b", "entry_id")
 
 
 def untouched_callers(edges: DataFrame, entries_: DataFrame, keys: Sequence[str] = PR, order: str = "edge_ord") -> DataFrame:

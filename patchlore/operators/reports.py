@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from patchlore.functions.text import base_name, is_merge_message, parent_dir
 from patchlore.operators.graph import first_of, names_and_rest
 from patchlore.plans.scan import by_width, number_rows
-from patchlore.plans.skew import salted_join
+from patchlore.plans.skew import skew_join
 from patchlore.session import cut
 
 # List lengths and the conclusions that do not fail a check.
@@ -31,7 +31,7 @@ def component_commits(touches: DataFrame, commits: DataFrame, members: DataFrame
     Touches shrink to (component, commit) pairs before they meet the commits.
     """
     keys = list(keys)
-    pairs = salted_join(touches, members.select(*keys, "comp_id", "entry_id"), keys + ["entry_id"])
+    pairs = skew_join(touches, members.select(*keys, "comp_id", "entry_id"), keys + ["entry_id"])
     pairs = pairs.select(*keys, "comp_id", "sha").distinct()
     return pairs.join(_real(commits), keys + ["sha"])
 
@@ -74,7 +74,7 @@ def overview(commits: DataFrame, components: DataFrame, threads: DataFrame, line
 
 def feed_entries(touches: DataFrame, members: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
     """(keys, sha, comp_id, entry_id, pos): entries of each component a commit touches."""
-    return salted_join(touches, members.select(*keys, "comp_id", "entry_id", "pos"), list(keys) + ["entry_id"])
+    return skew_join(touches, members.select(*keys, "comp_id", "entry_id", "pos"), list(keys) + ["entry_id"])
 
 
 def feeds(entries: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
@@ -118,7 +118,7 @@ def component_rail(walk: DataFrame, context: DataFrame, marks: DataFrame, review
     sizes = stops.join(other, keys + ["comp_id"], "full").na.fill(0, ["stops", "unchanged"])
     ticked = walk.select(*keys, "comp_id", "id").join(marks.filter("read").select("reviewer", *keys, "id"), keys + ["id"])
     ticked = ticked.groupBy("reviewer", *keys, "comp_id").agg(F.count("*").alias("read"))
-    every = salted_join(sizes, reviewers.select("reviewer", *keys).distinct(), keys, probe=walk)
+    every = skew_join(sizes, reviewers.select("reviewer", *keys).distinct(), keys)
     d = every.join(ticked, ["reviewer", *keys, "comp_id"], "left").na.fill(0, ["read"])
     return d.select("reviewer", *keys, "comp_id", "stops", "read", "unchanged")
 
@@ -126,7 +126,7 @@ def component_rail(walk: DataFrame, context: DataFrame, marks: DataFrame, review
 def component_totals(file_deltas: DataFrame, entry_paths: DataFrame, members: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
     """Added and removed lines over the whole of each file a component's entries touch."""
     keys = list(keys)
-    pairs = salted_join(entry_paths.select(*keys, "entry_id", "path").distinct(), members.select(*keys, "comp_id", "entry_id"), keys + ["entry_id"])
+    pairs = skew_join(entry_paths.select(*keys, "entry_id", "path").distinct(), members.select(*keys, "comp_id", "entry_id"), keys + ["entry_id"])
     pairs = pairs.select(*keys, "comp_id", "path").distinct()
     return pairs.join(file_deltas, keys + ["path"]).groupBy(*keys, "comp_id").agg(
         F.count("*").alias("files"), F.sum("add").alias("add"), F.sum("del").alias("del"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patchlore.functions.text import anchor_line, anchor_path, base_name, is_merge_message
 from patchlore.plans.intervals import points_in_spans
 from patchlore.plans.scan import by_width, number_rows, running_max, scan
-from patchlore.plans.skew import salted_join
+from patchlore.plans.skew import skew_join
 from patchlore.session import cut
 
 # Share of known commits below which a branch counts as rewritten,
@@ -39,8 +39,8 @@ def mark_reviewed(marks: DataFrame, commits: DataFrame, ids: DataFrame, keys: Se
     who = marks.select("reviewer", *keys, "reviewed_at")
     if not keys:
         raise ValueError("review state needs a group key")
-    seen = salted_join(real.select(*keys, "sha"), who, list(keys))
-    read = salted_join(ids, who, list(keys))
+    seen = skew_join(real.select(*keys, "sha"), who, list(keys))
+    read = skew_join(ids, who, list(keys))
     return seen.select("reviewer", *keys, "sha"), read.select("reviewer", *keys, "id")
 
 
@@ -52,9 +52,9 @@ def written_counts(id_lines: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
 
 def _unseen(counts: DataFrame, states: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of commits each reviewer of a group has not seen."""
-    d = salted_join(counts, states, keys)
+    d = skew_join(counts, states, keys)
     known = seen.select("reviewer", *keys, F.col("sha").alias("by"))
-    return salted_join(d, known, ["reviewer", *keys, "by"], "left_anti", probe=counts, probe_on=[*keys, "by"])
+    return skew_join(d, known, ["reviewer", *keys, "by"], "left_anti")
 
 
 def new_since_checkpoint(ids: DataFrame, counts: DataFrame, states: DataFrame, seen: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
@@ -65,7 +65,7 @@ def new_since_checkpoint(ids: DataFrame, counts: DataFrame, states: DataFrame, s
     keys = list(keys)
     marked = states.filter(F.coalesce("reviewed_at", F.lit(0)) > 0).select("reviewer", *keys)
     fresh = _unseen(counts, marked, seen, keys).groupBy("reviewer", *keys, "id").agg(F.sum("lines").alias("fresh"))
-    every = salted_join(ids, states.select("reviewer", *keys, "reviewed_at"), keys)
+    every = skew_join(ids, states.select("reviewer", *keys, "reviewed_at"), keys)
     d = every.join(fresh, ["reviewer", *keys, "id"], "left")
     return d.select("reviewer", *keys, "id", "reviewed_at", F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
@@ -88,10 +88,10 @@ def read_state(log: DataFrame, marked: DataFrame, keys: Sequence[str] = WHO) ->
     """
     keys = list(keys)
     last = log.filter(F.col("action") != "toggle").groupBy(*keys).agg(F.max(F.struct("at", "action")).alias("_l"))
-    toggles = salted_join(log.filter(F.col("action") == "toggle"), last, keys, "left")
+    toggles = skew_join(log.filter(F.col("action") == "toggle"), last, keys, "left")
     live = toggles.filter(F.col("_l").isNull() | (F.col("at") > F.col("_l.at")))
     odd = live.groupBy(*keys, "id").agg((F.count("*") % 2 == 1).alias("_odd"))
-    base = salted_join(marked, last.filter(F.col("_l.action") == "mark"), keys).filter(F.col("at") == F.col("_l.at"))
+    base = skew_join(marked, last.filter(F.col("_l.action") == "mark"), keys).filter(F.col("at") == F.col("_l.at"))
     base = base.select(*keys, "id").distinct().withColumn("_base", F.lit(True))
     d = odd.join(base, keys + ["id"], "full")
     flag = F.coalesce("_odd", F.lit(False)) != F.coalesce("_base", F.lit(False))
@@ -110,7 +110,7 @@ def branch_rewritten(states: DataFrame, seen: DataFrame, commits: DataFrame, key
     """(reviewer, keys, seen, known, rewritten): most of the seen commits are gone from the branch."""
     keys = list(keys)
     now = commits.filter(~is_merge_message(F.col("message"))).select(*keys, "sha", F.lit(1).alias("_k"))
-    d = salted_join(seen.select("reviewer", *keys, "sha"), now, keys + ["sha"], "left")
+    d = skew_join(seen.select("reviewer", *keys, "sha"), now, keys + ["sha"], "left")
     per = d.groupBy("reviewer", *keys).agg(F.count("*").alias("seen"), F.count("_k").alias("known"))
     out = states.select("reviewer", *keys).join(per, ["reviewer", *keys], "left").na.fill(0, ["seen", "known"])
     return out.withColumn("rewritten", (F.col("seen") > 0) & (F.try_divide("known", "seen") < REWRITTEN_SHARE))
@@ -176,7 +176,7 @@ def next_unread(walk: DataFrame, marks: DataFrame, cursors: DataFrame, keys: Seq
     keys = list(keys)
     on = ["reviewer", *keys]
     total = walk.groupBy(*keys).agg(F.max("pos").alias("_n"))
-    stops = salted_join(walk, cursors.join(total, keys), keys)
+    stops = skew_join(walk, cursors.join(total, keys), keys)
     unread = stops.join(marks.filter("read").select(*on, "id"), on + ["id"], "left_anti")
     ahead = F.pmod(F.col("pos") - F.col("at") - 1, F.col("_n"))
     return unread.groupBy(*on).agg(F.min_by("id", ahead).alias("next_id"))
@@ -187,7 +187,7 @@ def drafts_at(lines: DataFrame, drafts: DataFrame, keys: Sequence[str] = ("pr_id
     left = F.col("kind") == "del"
     rows = lines.withColumn("side", F.when(left, "LEFT").otherwise("RIGHT")).withColumn("line", F.when(left, F.col(old)).otherwise(F.col(new)))
     notes = drafts.filter(F.col("reply_to").isNull())
-    return salted_join(notes, rows.select(*keys, "side", "line", "idx"), list(keys) + ["side", "line"])
+    return skew_join(notes, rows.select(*keys, "side", "line", "idx"), list(keys) + ["side", "line"])
 
 
 def place_threads(rows: DataFrame, threads: DataFrame, keys: Sequence[str] = ("pr_id", "path"), idx: str = "idx", old: str = "old",
@@ -204,7 +204,7 @@ def place_threads(rows: DataFrame, threads: DataFrame, keys: Sequence[str] = ("p
     climbs = d.filter(F.col("_line") >= F.col("_from")).select(*keys, F.col(idx).alias("idx"), "_from", "_line")
     spots = threads.select(*keys, "line").distinct()
     hit = points_in_spans(spots, climbs, keys, "line", "_from", "_line").select(*keys, "line", "idx")
-    return salted_join(threads, hit, keys + ["line"], "left")
+    return skew_join(threads, hit, keys + ["line"], "left")
 
 
 def place_threads_exact(rows: DataFrame, threads: DataFrame, keys: Sequence[str] = ("pr_id", "path"), idx: str = "idx",
@@ -212,7 +212,7 @@ def place_threads_exact(rows: DataFrame, threads: DataFrame, keys: Sequence[str]
     """Threads with ``idx``, the first row numbered exactly like their anchor; null if stranded."""
     keys = list(keys)
     at = rows.select(*keys, idx, F.coalesce(new, old).alias("line")).groupBy(*keys, "line").agg(F.min(idx).alias("idx"))
-    return salted_join(threads, at, keys + ["line"], "left")
+    return skew_join(threads, at, keys + ["line"], "left")
 
 
 def thread_participants(messages: DataFrame, keys: Sequence[str] = PR) -> DataFrame:
@@ -274,7 +274,7 @@ def export_markdown(items: DataFrame, replies: DataFrame, keys: Sequence[str] =
     own = items.select(*keys, "pos", F.explode(cells).alias("c")).select(*keys, "pos", "c.part", F.lit(0).cast("long").alias("reply_pos"), "c.line")
     said = replies.select(*keys, F.col("thread_id").cast("string").alias("id"), F.col("pos").cast("long").alias("reply_pos"),
                           F.concat(F.lit("> "), "author", F.lit(": "), "body").alias("line"))
-    back = salted_join(said, items.select(*keys, "id", "pos"), keys + ["id"])
+    back = skew_join(said, items.select(*keys, "id", "pos"), keys + ["id"])
     return own.unionByName(back.select(*keys, "pos", F.lit(2).alias("part"), "reply_pos", "line"))
 
 
@@ -303,7 +303,7 @@ def review_payload(unsent: DataFrame, keys: Sequence[str] = PR, stamp: str = STA
     d = unsent.withColumn("_rep", F.col("is_reply").cast("int"))
     d = number_rows(d, keys + ["_rep"], ["pos"], by_width("pos"), "_n")
     fresh_parts = unsent.filter(~F.col("is_reply")).groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("_parts"))
-    d = salted_join(d, fresh_parts, keys)
+    d = skew_join(d, fresh_parts, keys)
     d = d.withColumn("part", F.when(F.col("is_reply"), F.pmod(F.col("_n") - 1, F.col("_parts"))).otherwise(F.floor((F.col("_n") - 1) / F.lit(part_rows))))
     fresh = F.struct(F.col("_n").alias("n"), "path", F.when(F.col("side") == "LEFT", "LEFT").otherwise("RIGHT").alias("side"), "line", "body")
     per = d.groupBy(*keys, "part").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patchlore.functions.paths import module_candidates
 from patchlore.functions.text import content_hash, wordless
 from patchlore.plans.scan import by_width, last_value, number_rows, running_max, running_sum, scan
-from patchlore.plans.skew import all_of, salted_join
+from patchlore.plans.skew import all_of, skew_join
 from patchlore.session import cut
 
 # What ends an attached comment, and the shortest indexed name.
@@ -30,7 +30,7 @@ def collapse_mirrors(files: DataFrame, keys: Sequence[str] = ("pr_id",), path: s
                           content_hash(F.col(text)).alias("_hash"))
     hashed = cut(hashed, "hashed")  # texts are read and hashed once
     best = hashed.groupBy(*keys, "_hash").agg(F.min("_rank").alias("_best"))
-    joined = salted_join(hashed, best, list(keys) + ["_hash"])
+    joined = skew_join(hashed, best, list(keys) + ["_hash"])
     return joined.select(*keys, path, F.col("_best.path").alias("canonical_path"))
 
 
@@ -52,7 +52,7 @@ def attached_start(defs: DataFrame, comments: DataFrame, keys: Sequence[str] = (
     on = list(keys) + ["def_id"]
     stops = F.col("gap").rlike(BLANK_LINE) | wordless(F.col("text"))
     barrier = comments.filter(stops).groupBy(*on).agg(F.max("pos").alias("_bar"))
-    below = salted_join(comments.select(*on, "pos"), barrier, on, "left")
+    below = skew_join(comments.select(*on, "pos"), barrier, on, "left")
     below = below.filter(F.col("_bar").isNull() | (F.col("pos") > F.col("_bar")))
     first = below.groupBy(*on).agg(F.min("pos").alias("_first"))
     return defs.join(first, on, "left").withColumn("full", F.coalesce("_first", "start")).drop("_first")
@@ -102,7 +102,7 @@ def resolve_spec(specs: DataFrame, files: DataFrame, canonical: DataFrame | None
         known = known.join(moved.select(*keys, "_cand"), keys + ["_cand"], "left_anti").unionByName(moved)
     todo = cut(specs.select(*keys, from_file, spec).distinct(), "specs")
     tries = todo.select(*keys, from_file, spec, F.posexplode(module_candidates(F.col(from_file), F.col(spec))).alias("_i", "_cand"))
-    found = salted_join(tries, known, keys + ["_cand"]).groupBy(*keys, from_file, spec).agg(F.min_by("_hit", "_i").alias("module"))
+    found = skew_join(tries, known, keys + ["_cand"]).groupBy(*keys, from_file, spec).agg(F.min_by("_hit", "_i").alias("module"))
     return specs.join(found, keys + [from_file, spec], "left")
 
 
@@ -142,17 +142,17 @@ def resolve_export(wanted: DataFrame, top_defs: DataFrame, reexports: DataFrame,
     front = cut(front, "front")
     seen, rounds = front, 0
     while True:
-        open_ = salted_join(front, own, keys + ["at", "as_name"], "left_anti")
+        open_ = skew_join(front, own, keys + ["at", "as_name"], "left_anti")
         chain = F.concat("chain", F.array(F.col("pos").cast("int"))).alias("chain")
-        by_star = salted_join(open_, star.drop("exported", "imported"), keys + ["at"], probe=front).select(
+        by_star = skew_join(open_, star.drop("exported", "imported"), keys + ["at"]).select(
             *keys, "module", "name", F.col("to").alias("at"), "as_name", chain)
-        by_name = salted_join(open_, named.withColumnRenamed("exported", "as_name"), keys + ["at", "as_name"], probe=front).select(
+        by_name = skew_join(open_, named.withColumnRenamed("exported", "as_name"), keys + ["at", "as_name"]).select(
             *keys, "module", "name", F.col("to").alias("at"), F.col("imported").alias("as_name"), chain)
         nxt = by_star.unionByName(by_name).groupBy(*spot).agg(F.min("chain").alias("chain"))
         better = all_of([F.col(f"n.{c}") == F.col(f"s.{c}") for c in spot] + [F.col("s.chain") <= F.col("n.chain")])
         front = cut(nxt.alias("n").join(seen.alias("s"), better, "left_anti"), "front")
         if front.isEmpty():
-            hits = salted_join(seen, own, keys + ["at", "as_name"])
+            hits = skew_join(seen, own, keys + ["at", "as_name"])
             return hits.groupBy(*keys, "module", "name").agg(F.min_by("def_id", "chain").alias("def_id"))
         seen = seen.unionByName(front)
         rounds += 1
@@ -183,9 +183,9 @@ def resolve_uses(uses: DataFrame, defs: DataFrame, imports: DataFrame, reexports
     tops = cut(first_defs(defs.filter(F.col("top_level")), keys, order), "tops")
     unique = defs.groupBy(*keys, "name").agg(F.count("*").alias("_n"), F.min("def_id").alias("d_unique")).filter(F.col("_n") == 1).drop("_n")
 
-    step = salted_join(todo, local, keys + ["file", "name"], "left")
-    step = salted_join(step, first_imp, keys + ["file", "name"], "left", probe=todo)
-    step = cut(salted_join(step, has_ns, keys + ["file"], "left", probe=todo), "step")
+    step = skew_join(todo, local, keys + ["file", "name"], "left")
+    step = skew_join(step, first_imp, keys + ["file", "name"], "left")
+    step = cut(skew_join(step, has_ns, keys + ["file"], "left"), "step")
     by_import = F.col("d_local").isNull() & F.col("kind").isNotNull()
     by_space = F.col("d_local").isNull() & F.col("kind").isNull() & F.col("is_prop") & F.col("_ns")
 
@@ -195,20 +195,20 @@ def resolve_uses(uses: DataFrame, defs: DataFrame, imports: DataFrame, reexports
     # a member whose name no module exports cannot resolve: dropped before it meets every namespace
     renamed = reexports.filter(F.col("exported") != "*").select(*keys, F.col("exported").try_cast(tops.schema["name"].dataType).alias("name"))
     exportable = tops.select(*keys, "name").unionByName(renamed).distinct()
-    asking = salted_join(step.filter(by_space).select(*use_keys), exportable, keys + ["name"], "left_semi", probe=step)
-    members = cut(salted_join(asking, spaces, keys + ["file"], probe=step), "members")
+    asking = skew_join(step.filter(by_space).select(*use_keys), exportable, keys + ["name"], "left_semi")
+    members = cut(skew_join(asking, spaces, keys + ["file"]), "members")
     asked = asked.unionByName(members.select(*keys, F.col("ns_module").alias("module"), "name")).distinct()
     exports = cut(resolve_export(asked, tops, reexports, keys), "exports")
 
     exp = exports.select(*keys, "module", F.col("name").alias("_target"), F.col("def_id").alias("d_export"))
     base = step.withColumn("_target", target)
-    step = salted_join(base, exp, keys + ["module", "_target"], "left")
+    step = skew_join(base, exp, keys + ["module", "_target"], "left")
     modloc = tops.select(*keys, F.col("file").alias("module"), "name", F.col("def_id").alias("d_module"))
-    step = salted_join(step, modloc, keys + ["module", "name"], "left", probe=base)
-    ns_hit = salted_join(members, exports.select(*keys, F.col("module").alias("ns_module"), "name", F.col("def_id").alias("d")), keys + ["ns_module", "name"])
+    step = skew_join(step, modloc, keys + ["module", "name"], "left")
+    ns_hit = skew_join(members, exports.select(*keys, F.col("module").alias("ns_module"), "name", F.col("def_id").alias("d")), keys + ["ns_module", "name"])
     ns_best = ns_hit.groupBy(*use_keys).agg(F.min_by("d", "ns_pos").alias("d_space"))
     step = step.join(ns_best, use_keys, "left")
-    step = salted_join(step, unique, keys + ["name"], "left", probe=base)
+    step = skew_join(step, unique, keys + ["name"], "left")
 
     d_imp = F.coalesce(F.col("d_export"), F.when(F.col("kind") == "default", F.col("d_module")))
     rest = F.col("d_local").isNull() & ~by_import & ~F.coalesce(by_space, F.lit(False))
@@ -218,7 +218,7 @@ def resolve_uses(uses: DataFrame, defs: DataFrame, imports: DataFrame, reexports
         .when(by_space, F.col("d_space")).otherwise(F.col("d_unique")).alias("def_id"),
         F.when(F.col("d_local").isNotNull(), "local").when(by_import & d_imp.isNotNull(), "import")
         .when(by_space & F.col("d_space").isNotNull(), "namespace").when(rest & F.col("d_unique").isNotNull(), "unique").alias("rule"))
-    return salted_join(uses, out, use_keys, "left")
+    return skew_join(uses, out, use_keys, "left")
 
 
 def ref_counts(resolved: DataFrame, keys: Sequence[str] = ("pr_id",)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patchlore.functions.text import is_merge_message
 from patchlore.functions.times import when_range
 from patchlore.plans.scan import by_width, group_max, group_sum, islands, number_rows, row_before, running_sum, scan
-from patchlore.plans.skew import salted_join
+from patchlore.plans.skew import skew_join
 from patchlore.session import cut
 
 # Gap that opens a sweep, and the length of the band ramp.
@@ -36,7 +36,7 @@ def sweep_ids(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str = "t
     d = scan(d, keys, [order], {"_was": row_before(F.col("_now"))}, by_width(order, width), reverse=True)
     opens = (F.col("_was").isNull() | (F.col("_was.day") != F.col("_now.day"))
              | (F.col("_now.t") - F.col("_was.t") > F.lit(int(gap_hours * 3600 * 1_000_000))))
-    d = cut(d.withColumn("_open", opens.cast("long")).drop("_now", "_was"), "opens")
+    d = d.withColumn("_open", opens.cast("long")).drop("_now", "_was")
     return scan(d, keys, [order], {"sweep": running_sum(F.col("_open"))}, by_width(order, width), reverse=True).drop("_open")
 
 
@@ -82,7 +82,7 @@ def band_ranges(commits: DataFrame, keys: Sequence[str] = ("pr_id",), ts: str =
 
 def commits_of(commits: DataFrame, touches: DataFrame, keys: Sequence[str] = (), sha: str = "sha") -> DataFrame:
     """Touch rows with their commit (a commit may touch very many entries)."""
-    return salted_join(touches, commits, list(keys) + [sha])
+    return skew_join(touches, commits, list(keys) + [sha])
 
 
 def introducer_of(touched: DataFrame, keys: Sequence[str] = (), entry: str = "entry_id", sha: str = "sha", band: str = "band",
@@ -120,7 +120,7 @@ def story_steps(touched: DataFrame, entries: DataFrame, keys: Sequence[str] = ()
                 width: int | None = None) -> DataFrame:
     """(keys, comp, sha, order, band, step): non-merge commits touching a component, oldest first from 0."""
     real = touched.filter(~is_merge_message(F.col(message)))
-    by_comp = salted_join(real, entries.select(*keys, comp, entry), list(keys) + [entry])
+    by_comp = skew_join(real, entries.select(*keys, comp, entry), list(keys) + [entry])
     steps = cut(by_comp.groupBy(*keys, comp, sha).agg(F.max(order).alias(order), F.max(band).alias(band)), "steps")
     steps = number_rows(steps, list(keys) + [comp], [order], by_width(order, width), "step", reverse=True)
     return steps.withColumn("step", F.col("step") - 1)
@@ -132,9 +132,8 @@ def story_replay(touched: DataFrame, entries: DataFrame, keys: Sequence[str] = (
     """(keys, comp, entry, step, band): the step that lights an entry, and the band of that step."""
     touched = cut(touched.select(*keys, entry, sha, band, order, message), "touched")
     steps = story_steps(touched, entries, keys, comp, entry, sha, band, order, message, width)
-    hits = salted_join(touched.select(*keys, entry, sha), entries.select(*keys, comp, entry), list(keys) + [entry])
-    lit = salted_join(hits, steps.select(*keys, comp, sha, "step", band), list(keys) + [comp, sha], probe=touched,
-                      probe_on=list(keys) + [sha])
+    hits = skew_join(touched.select(*keys, entry, sha), entries.select(*keys, comp, entry), list(keys) + [entry])
+    lit = skew_join(hits, steps.select(*keys, comp, sha, "step", band), list(keys) + [comp, sha])
     first = lit.groupBy(*keys, comp, entry).agg(F.min(F.struct("step", band)).alias("p"))
     return first.select(*keys, comp, entry, "p.step", f"p.{band}")
 
@@ -145,8 +144,8 @@ def story_edges(replay: DataFrame, edges: DataFrame, keys: Sequence[str] = (), c
     on = list(keys) + [comp]
     a = lit.withColumnsRenamed({"_e": "a", "step": "step_a"})
     b = lit.withColumnsRenamed({"_e": "b", "step": "step_b"})
-    d = salted_join(edges, a, on + ["a"], "left")
-    d = salted_join(d, b, on + ["b"], "left", probe=edges)
+    d = skew_join(edges, a, on + ["a"], "left")
+    d = skew_join(d, b, on + ["b"], "left")
     both = F.col("step_a").isNotNull() & F.col("step_b").isNotNull()
     return d.withColumn("on_step", F.when(both, F.greatest("step_a", "step_b")))
 

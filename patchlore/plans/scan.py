@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from patchlore.plans.skew import hot_keys, mark_hot
-from patchlore.session import cut
 
 BLOCK_ROWS = 1 << 18
 
@@ -64,6 +63,23 @@ def by_width(col: str, width: int | None = None) -> Column:
     return F.floor(F.col(col) / F.lit(rows))
 
 
+# True for every row, but it makes the windows and the summaries ask for the same columns, without which Spark would not share their exchange.
+SHARED = "_all >= -9223372036854775808L"
+
+
+def blocked(df: DataFrame, keys: Sequence[str], block: Column, split_hot_only: bool) -> tuple[DataFrame, list[str]]:
+    """``df`` shuffled by group ``_g`` and block ``_blk``, with the hash ``_all`` of its columns; and the group columns."""
+    first = F.lit(-(1 << 63)).cast("long")
+    piece = F.coalesce(block.cast("long"), first)
+    if split_hot_only:
+        d = mark_hot(df, keys, hot_keys(df, keys)).withColumn("_blk", F.when(F.col("_fan").isNotNull(), piece).otherwise(first)).drop("_fan")
+    else:
+        d = df.withColumn("_blk", piece)
+    on = ["_g"] if keys else []
+    d = d.select("*", *([F.struct(*keys).alias("_g")] if keys else [])).repartition(*on, "_blk")
+    return d.withColumn("_all", F.xxhash64(*d.columns)), on
+
+
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mapping[str, Step], block: Column,
          reverse: bool = False, split_hot_only: bool = False) -> DataFrame:
     """Add one column per step, computed over ``keys`` in ``order``.
@@ -74,22 +90,11 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
     combined count of the keys. Null keys are one group like any other: groups
     are told apart by a struct of the keys, which is never null, so that plain
     equality lets the carry join reuse the partitioning of the window.
-    """
-    keys = list(keys)
-    group = [F.struct(*keys).alias("_g")] if keys else []
-    first = F.lit(-(1 << 63)).cast("long")
-    piece = F.coalesce(block.cast("long"), first)
-    if split_hot_only:
-        hot = hot_keys(df, keys)
-        if hot is None:
-            d = df.withColumn("_blk", first)
-        else:
-            d = mark_hot(df, keys, hot).withColumn("_blk", F.when(F.col("_fan").isNotNull(), piece).otherwise(first)).drop("_fan")
-    else:
-        d = df.withColumn("_blk", piece)
-    d = d.select("*", *group)
-    on = ["_g"] if keys else []
 
+    The rows are shuffled once, by group and block: the windows and the block
+    summaries both start from that exchange.
+    """
+    d, on = blocked(df, keys, block, split_hot_only)
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     rank = F.struct(*order)
     rows = Window.partitionBy(*on, "_blk").orderBy(*sort)
@@ -121,8 +126,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
             summary.append(agg(s.value).alias(part))
             carry.append(agg(part).over(all_blocks).alias(got))
 
-    scanned = d.select("*", *[c.alias(n) for n, c in local.items()])
-    sums = d.groupBy(*on, "_blk").agg(*summary)
+    scanned = d.select("*", *[c.alias(n) for n, c in local.items()]).filter(SHARED)
+    sums = d.groupBy(*on, "_blk").agg(*summary, F.max("_all").alias("_all")).filter(SHARED)
     sums = sums.select(*on, "_blk", F.count("*").over(all_blocks).alias("_nb"), *carry)
     sums = sums.filter(F.col("_nb") > 1).drop("_nb")
     joined = scanned.join(sums, on + ["_blk"], "left")
@@ -149,10 +154,26 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, block: Column,
             name: str = "run", reverse: bool = False, split_hot_only: bool = False) -> DataFrame:
-    """Number the maximal runs of equal ``value`` (null equals null) from 1."""
-    marked = scan(df.withColumn("_v", F.struct(value.alias("v"))), keys, order,
-                  {"_prev": row_before(F.col("_v"))}, block, reverse, split_hot_only)
-    starts = F.when(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col("_v.v")), 1).otherwise(0)
-    marked = cut(marked.withColumn("_start", starts.cast("long")).drop("_prev", "_v"), "starts")
-    out = scan(marked, keys, order, {name: running_sum(F.col("_start"))}, block, reverse, split_hot_only)
-    return out.drop("_start")
+    """Number the maximal runs of equal ``value`` (null equals null) from 1.
+
+    Runs are numbered per block, whose first row always opens one. The summary of
+    a block is its number of runs and its first and last value: a block that goes
+    on with the value the block before ended with counts one run less.
+    """
+    d, on = blocked(df.withColumn("_v", F.struct(value.alias("v"))), keys, block, split_hot_only)
+    sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
+    rows = Window.partitionBy(*on, "_blk").orderBy(*sort)
+    opened = d.withColumn("_prev", F.lag("_v").over(rows))
+    opens = F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col("_v.v"))
+    opened = opened.withColumn("_open", F.when(opens, 1).otherwise(0).cast("long"))
+    numbered = opened.withColumn(name, F.sum("_open").over(rows.rowsBetween(Window.unboundedPreceding, 0))).filter(SHARED)
+    low, high = F.min_by("_v", F.struct(*order)), F.max_by("_v", F.struct(*order))
+    ends = (high, low) if reverse else (low, high)
+    sums = opened.groupBy(*on, "_blk").agg(F.sum("_open").alias("_n"), ends[0].alias("_from"), ends[1].alias("_to"), F.max("_all").alias("_all")).filter(SHARED)
+    blocks = Window.partitionBy(*on).orderBy(F.col("_blk").desc() if reverse else F.col("_blk"))
+    sums = sums.withColumn("_goes_on", F.coalesce(F.lag("_to").over(blocks)["v"].eqNullSafe(F.col("_from.v")) & F.lag("_to").over(blocks).isNotNull(), F.lit(False)).cast("long"))
+    runs = F.coalesce(F.sum("_n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    merged = F.sum("_goes_on").over(blocks.rowsBetween(Window.unboundedPreceding, 0))
+    carry = sums.select(*on, "_blk", F.count("*").over(Window.partitionBy(*on)).alias("_nb"), (runs - merged).alias("_before")).filter("_nb > 1").drop("_nb")
+    joined = numbered.join(carry, on + ["_blk"], "left")
+    return joined.select(*df.columns, (F.col(name) + F.coalesce("_before", F.lit(0))).alias(name))

@@ -1,8 +1,10 @@
 """Joins and group splits that hold when one key owns a large share of the rows.
 
-Which keys are hot is found by counting rows, whatever the size of the input; a
-table without a hot key is joined as it is. Each hot key is split into as many
-pieces as its rows ask for.
+Joins are left to adaptive execution, which splits a skewed partition of a
+sort-merge join by the sizes it measures in the shuffle itself; nothing is
+counted beforehand. Where a group is to be numbered or sent along edges, its
+rows must be split before the shuffle: such hot keys are found by a count that
+combines map-side, as part of the same plan, or once for a written table.
 """
 
 from __future__ import annotations
@@ -14,33 +16,35 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from patchlore.session import cut
 
 HOT_ROWS = 1_000_000  # a key with more rows than this is split into pieces of about this many
+HOT_MOST = 10_000     # the heaviest keys that are split; any further key holds less than a 10,000th of the rows
+FORCE_SPLIT = "spark.sql.adaptive.forceOptimizeSkewedJoin"
 
 
 def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("patchlore.hot.rows", str(HOT_ROWS)))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """(keys, _fan) of every key with more than ``hot_rows`` rows, null keys too; None if there is none.
-
-    The count combines map-side. The list is a written table of at most
-    rows / hot_rows lines, so Spark knows its size and broadcasts it or not.
-    """
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _fan) of the heaviest keys with more than ``hot_rows`` rows, null keys too; starts no job."""
     limit = hot_rows(df.sparkSession)
-    if df.count() <= limit:  # no key can have more; a written table knows its rows
-        return None
     heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    hot = cut(heavy.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("long").alias("_fan")), "hot")
+    most = heavy.orderBy(F.col("_n").desc(), *keys).limit(HOT_MOST)
+    return most.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("long").alias("_fan"))
+
+
+def written_hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The hot keys of a written table as a table of their own, None if it has none."""
+    if df.count() <= hot_rows(df.sparkSession):  # no key can have more; a written table knows its rows
+        return None
+    hot = cut(hot_keys(df, keys), "hot")
     return None if hot.isEmpty() else hot
 
 
-def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
-    """Add ``_fan``, null for keys that are not hot."""
-    if hot is None:
-        return df.withColumn("_fan", F.lit(None).cast("long"))
+def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Add ``_fan``, null for keys that are not hot. The list has at most ``HOT_MOST`` rows."""
     named = hot.select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], "_fan")
     same = all_of([F.col(k).eqNullSafe(F.col(f"_hk{i}")) for i, k in enumerate(keys)])
-    return df.join(named, same, "left").drop(*[f"_hk{i}" for i in range(len(keys))])
+    return df.join(F.broadcast(named), same, "left").drop(*[f"_hk{i}" for i in range(len(keys))])
 
 
 def salt_many(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
@@ -56,21 +60,15 @@ def salt_copies(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame
     return mark_hot(df, keys, hot).withColumn("_salt", F.explode(salts)).drop("_fan")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", probe: DataFrame | None = None,
-                probe_on: Sequence[str] | None = None) -> DataFrame:
-    """Equi join whose left side may have hot keys (right side few rows per key).
+def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join whose left side may have hot keys: inner, left, left_semi or left_anti.
 
-    ``probe`` is the table whose rows ``left`` derives from by lookups: it is
-    cheap to read and has the same heavy values in ``probe_on`` (default
-    ``on``), so a chain of joins need not be run twice to find its hot keys.
+    Adaptive execution splits the hot partitions of the left side in each of
+    these. It would not where an aggregate on the same keys follows, as this
+    takes another shuffle; the session is told to split there too.
     """
-    on = list(on)
-    heavy = list(probe_on or on)
-    hot = hot_keys(left if probe is None else probe, heavy)
-    if hot is None:
-        return left.join(right, on, how)
-    joined = salt_many(left, heavy, hot).join(salt_copies(right, heavy, hot), on + ["_salt"], how)
-    return joined.drop("_salt")
+    left.sparkSession.conf.set(FORCE_SPLIT, "true")
+    return left.join(right, list(on), how)
 
 
 def all_of(conditions: Sequence[Column]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlore import schema
-from patchlore.plans.skew import all_of, salted_join
+from patchlore.plans.skew import all_of, skew_join
 from patchlore.session import cut
 
 PART_ROWS = 50_000   # rows of a section in one document part
@@ -20,7 +20,7 @@ ORDER = ("ord", "pos", "line_idx", "idx")  # columns that order the list of a se
 def _parts(rows: DataFrame, part_rows: int) -> DataFrame:
     """Add ``part``: rows of a request spread by hash over as many parts as their number needs."""
     n = rows.groupBy("pr_id").agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("_p"))
-    d = salted_join(rows, n, ["pr_id"])
+    d = skew_join(rows, n, ["pr_id"])
     return d.withColumn("part", F.pmod(F.col("_h"), F.col("_p"))).drop("_p", "_h")
 
 
@@ -57,9 +57,9 @@ def _file_section(files: DataFrame, lines: DataFrame, part_rows: int, slice_rows
     d = lines.select("pr_id", "path", F.floor((F.col("idx") - 1) / F.lit(slice_rows)).alias("_s"), row.alias("_l"))
     d = d.groupBy("pr_id", "path", "_s").agg(F.array_sort(F.collect_list("_l")).alias("lines"))
     pos = F.col("pos") if "pos" in files.columns else F.lit(None)
-    d = salted_join(d, files.select("pr_id", "path", "old_path", "delta", pos.cast("long").alias("pos")), ["pr_id", "path"], "left", probe=lines)
+    d = skew_join(d, files.select("pr_id", "path", "old_path", "delta", pos.cast("long").alias("pos")), ["pr_id", "path"], "left")
     n = lines.groupBy("pr_id").agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("_p"))
-    d = salted_join(d, n, ["pr_id"], probe=lines).withColumn("part", F.pmod(F.xxhash64("path", "_s"), F.col("_p")))
+    d = skew_join(d, n, ["pr_id"]).withColumn("part", F.pmod(F.xxhash64("path", "_s"), F.col("_p")))
     one = F.struct(F.struct("pos", "path", "_s").alias("_o"), F.struct("path", "old_path", "delta", "pos", "lines").alias("_row"))
     return d.groupBy("pr_id", "part").agg(_sorted(one).cast(schema.SECTIONS["files"]).alias("files"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlore.plans.scan import by_width, number_rows, row_before, running_sum, scan
-from patchlore.plans.skew import salted_join
+from patchlore.plans.skew import skew_join
 from patchlore.session import cut
 
 HOUR = 3600
@@ -138,7 +138,7 @@ def check_runs(spark: SparkSession, sf: str) -> DataFrame:
 def lines_by_order(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    j = salted_join(li, o, ["l_orderkey"])
+    j = skew_join(li, o, ["l_orderkey"])
     return j.select(
         F.col("l_partkey").alias("entry_id"), F.col("l_orderkey").alias("by_sha"),
         F.when(F.col("l_returnflag") == "A", "add").when(F.col("l_returnflag") == "R", "del").otherwise("ctx").alias("kind"),
