@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlore.functions.paths import module_candidates
 from patchlore.functions.text import content_hash, wordless
+from patchlore.operators.exports import resolve_export
 from patchlore.plans.scan import by_width, last_value, number_rows, running_max, running_sum, scan
-from patchlore.plans.skew import all_of, skew_join
+from patchlore.plans.skew import skew_join
 from patchlore.session import cut
 
 # What ends an attached comment, and the shortest indexed name.
@@ -120,46 +121,6 @@ def first_defs(defs: DataFrame, keys: Sequence[str] = ("pr_id",), order: Sequenc
     return defs.groupBy(*keys, "file", "name").agg(pick).select(*keys, "file", "name", F.col("p._id").alias("def_id"))
 
 
-def resolve_export(wanted: DataFrame, top_defs: DataFrame, reexports: DataFrame, keys: Sequence[str] = ("pr_id",)) -> DataFrame:
-    """(keys, module, name, def_id) for every wanted (module, name) that some chain reaches.
-
-    ``top_defs`` holds the first top-level def per (file, name). ``reexports``
-    holds (file, pos, exported, imported, module), exported ``*`` passing every
-    name on. A file's own definition ends a chain; otherwise its re-exports are
-    tried in order, depth first. A chain is kept as the array of its re-export
-    positions: comparing arrays is the depth-first order, and a cycle only makes
-    an array longer, hence greater, so it is dropped.
-    """
-    keys = list(keys)
-    own = top_defs.select(*keys, F.col("file").alias("at"), F.col("name").alias("as_name"), "def_id")
-    hop = reexports.select(*keys, F.col("file").alias("at"), "pos", "exported", "imported", F.col("module").alias("to"))
-    hop = cut(hop, "hops")
-    star, named = hop.filter(F.col("exported") == "*"), hop.filter(F.col("exported") != "*")
-    spot = keys + ["module", "name", "at", "as_name"]
-    front = wanted.select(*keys, "module", "name").distinct().select(
-        *keys, "module", "name", F.col("module").alias("at"), F.col("name").alias("as_name"),
-        F.array().cast("array<int>").alias("chain"))
-    front = cut(front, "front")
-    seen, rounds = front, 0
-    while True:
-        open_ = skew_join(front, own, keys + ["at", "as_name"], "left_anti")
-        chain = F.concat("chain", F.array(F.col("pos").cast("int"))).alias("chain")
-        by_star = skew_join(open_, star.drop("exported", "imported"), keys + ["at"]).select(
-            *keys, "module", "name", F.col("to").alias("at"), "as_name", chain)
-        by_name = skew_join(open_, named.withColumnRenamed("exported", "as_name"), keys + ["at", "as_name"]).select(
-            *keys, "module", "name", F.col("to").alias("at"), F.col("imported").alias("as_name"), chain)
-        nxt = by_star.unionByName(by_name).groupBy(*spot).agg(F.min("chain").alias("chain"))
-        better = all_of([F.col(f"n.{c}") == F.col(f"s.{c}") for c in spot] + [F.col("s.chain") <= F.col("n.chain")])
-        front = cut(nxt.alias("n").join(seen.alias("s"), better, "left_anti"), "front")
-        if front.isEmpty():
-            hits = skew_join(seen, own, keys + ["at", "as_name"])
-            return hits.groupBy(*keys, "module", "name").agg(F.min_by("def_id", "chain").alias("def_id"))
-        seen = seen.unionByName(front)
-        rounds += 1
-        if rounds % 16 == 0:  # keep the plan short on very long chains
-            seen = cut(seen, "seen")
-
-
 def resolve_uses(uses: DataFrame, defs: DataFrame, imports: DataFrame, reexports: DataFrame, keys: Sequence[str] = ("pr_id",),
                  order: Sequence[str] | None = None, default_name: Column | None = None) -> DataFrame:
     """Add ``def_id`` and ``rule`` (local, import, namespace, unique; null if unresolved).

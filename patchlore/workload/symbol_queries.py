@@ -125,6 +125,44 @@ def export_chains(spark, sf):
     return sy.resolve_export(wanted, tops, reexports_in_order(spark, sf), [])
 
 
+NAMED = """r AS (SELECT 0 AS pr_id, concat('f', s_suppkey) AS file, 0 AS pos, '*' AS exported, NULL AS imported, concat('f', (s_suppkey * 7 + 3) % n) AS module FROM supplier, nn WHERE s_nationkey % 2 = 0
+  UNION ALL SELECT 0, concat('f', s_suppkey), 1, concat('n', s_suppkey % 97), concat('n', (s_suppkey * 5 + 1) % 97), concat('f', (s_suppkey * 3 + 1) % n) FROM supplier, nn WHERE s_nationkey % 3 <> 1
+  UNION ALL SELECT 0, concat('f', s_suppkey), 2, '*', NULL, concat('f', s_suppkey * 11 % n) FROM supplier, nn WHERE s_nationkey % 4 = 0),
+rx AS (SELECT * FROM r UNION ALL SELECT 1, file, pos, exported, imported, module FROM r WHERE pos < 2),
+tp AS (SELECT q.pr_id, concat('f', p_partkey % n) AS file, concat('n', p_partkey % 97) AS name, min(concat('p', p_partkey)) AS def_id FROM part, nn, (VALUES (0), (1)) q(pr_id) GROUP BY ALL),
+wa AS (SELECT DISTINCT q.pr_id, concat('f', l_suppkey) AS module, concat('n', l_partkey % 97) AS name FROM lineitem, (VALUES (0), (1)) q(pr_id)),
+wk AS (SELECT pr_id, module, name, module AS file, name AS nm, CAST([] AS INTEGER[]) AS way, [concat(module, ' ', name)] AS met FROM wa
+  UNION ALL SELECT w.pr_id, w.module, w.name, rx.module, CASE WHEN exported = '*' THEN w.nm ELSE imported END, list_append(way, pos),
+      list_append(met, concat(rx.module, ' ', CASE WHEN exported = '*' THEN w.nm ELSE imported END))
+    FROM wk w JOIN rx ON rx.pr_id = w.pr_id AND rx.file = w.file AND (exported = '*' OR exported = w.nm)
+    WHERE NOT list_contains(met, concat(rx.module, ' ', CASE WHEN exported = '*' THEN w.nm ELSE imported END))
+      AND NOT EXISTS (SELECT 1 FROM tp WHERE tp.pr_id = w.pr_id AND tp.file = w.file AND tp.name = w.nm))
+"""
+
+
+def named_exports(spark, sf):
+    """Modules with string ids, several re-exports each, renames and cycles, as two requests; the second lacks the last re-export."""
+    n = t.supplier_count(spark, sf)
+    s = t.table(spark, sf, "supplier")
+    file = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    name = lambda c: F.concat(F.lit("n"), (c % 97).cast("string"))
+    key, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    kinds = [(F.col("s_nationkey") % 2 == 0, F.lit("*"), none, (key * 7 + 3) % n),
+             (F.col("s_nationkey") % 3 != 1, name(key), name(key * 5 + 1), (key * 3 + 1) % n),
+             (F.col("s_nationkey") % 4 == 0, F.lit("*"), none, key * 11 % n)]
+    cells = F.array(*[F.when(keep, F.struct(F.lit(pos).alias("pos"), ex.alias("exported"), im.alias("imported"), file(to).alias("module"))) for pos, (keep, ex, im, to) in enumerate(kinds)])
+    rex = s.select(file(key).alias("file"), F.explode(cells).alias("c")).filter("c IS NOT NULL").select("file", "c.*")
+    requests = lambda d: d.withColumn("pr_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    part = t.table(spark, sf, "part").select(file(F.col("p_partkey") % n).alias("file"), name(F.col("p_partkey")).alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("def_id"))
+    wanted = t.table(spark, sf, "lineitem").select(file(F.col("l_suppkey")).alias("module"), name(F.col("l_partkey")).alias("name")).distinct()
+    return requests(wanted), requests(sy.first_defs(part, [])), requests(rex).filter("pr_id = 0 OR pos < 2")
+
+
+@query("export_names", with_views("", "nn AS (SELECT count(*) AS n FROM supplier),\n" + NAMED + "SELECT wk.pr_id, wk.module, wk.name, arg_min(tp.def_id, way) AS def_id FROM wk JOIN tp ON tp.pr_id = wk.pr_id AND tp.file = wk.file AND tp.name = wk.nm GROUP BY 1, 2, 3"))
+def export_names(spark, sf):
+    return sy.resolve_export(*named_exports(spark, sf))
+
+
 USES = """u AS (SELECT file, name, is_prop, count(*) AS uses FROM s_uses GROUP BY ALL),
 ns AS (SELECT file, module, local_name FROM s_imports WHERE kind = 'namespace'),
 w0 AS (SELECT module, imported AS name FROM s_imports WHERE kind = 'named' UNION SELECT ns.module, u.name FROM u JOIN ns USING (file)),

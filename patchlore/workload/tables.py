@@ -260,7 +260,7 @@ def with_views(views: str, body: str) -> str:
 
     ``body`` may begin with further CTEs written as ``name AS (...), ... SELECT``.
     """
-    ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views.split())
+    ctes = [f"{v} AS ({VIEWS[v]})" for v in views.split()]
     body = body.strip()
     lead = body.upper().startswith(("SELECT", "("))
-    return f"WITH RECURSIVE {ctes}{'' if lead else ','}\n{body}"
+    return "WITH RECURSIVE " + ",\n".join(ctes + ([] if lead else [""])) + f"\n{body}" if ctes else f"WITH RECURSIVE {body}"

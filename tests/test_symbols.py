@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from patchlore.operators import symbols as sy
@@ -81,3 +83,63 @@ def test_def_ids_drop_unusable_names(spark):
 def test_first_definition_is_the_one_that_starts_first(spark):
     d = spark.createDataFrame([("p", "f.ts", "foo", "f.ts#foo#const#10", 100), ("p", "f.ts", "foo", "f.ts#foo#const#2", 20)], "pr_id string, file string, name string, def_id string, start long")
     assert rows(sy.first_defs(d), "def_id") == [("f.ts#foo#const#2",)]
+
+
+def depth_first(wanted, tops, rex):
+    """Plain search: the own definition, else the matching re-exports in order; a file and name met before give nothing."""
+    own = {(f, n): d for f, n, d in tops}
+
+    def look(file, name, met):
+        if (file, name) in met:
+            return None
+        met.add((file, name))
+        if (file, name) in own:
+            return own[file, name]
+        for f, _, exported, imported, module in sorted(rex, key=lambda r: r[1]):
+            if f == file and exported in ("*", name):
+                got = look(module, name if exported == "*" else imported or name, met)
+                if got:
+                    return got
+        return None
+    return {w: d for w in wanted if (d := look(*w, set()))}
+
+
+def test_random_modules_equal_a_depth_first_search(spark, plans):
+    """Forty repositories at once, each a request of its own."""
+    all_tops, all_rex, all_wanted, want = [], [], [], {}
+    for seed in range(40):
+        r = random.Random(seed)
+        files, names = [f"f{i}" for i in range(9)], ["a", "b", "c", "default"]
+        tops = sorted({(f, n): (f, n, f"{f}#{n}") for f, n in [(r.choice(files), r.choice(names)) for _ in range(7)]}.values())
+        rex = []
+        for f in files:
+            for pos in range(r.choice([0, 1, 1, 1, 2, 3])):
+                star = r.random() < .6
+                rex.append((f, pos, "*" if star else r.choice(names), None if star or r.random() < .3 else r.choice(names), r.choice(files)))
+        wanted = [(f, n) for f in files for n in names]
+        want |= {(seed, *w): d for w, d in depth_first(wanted, tops, rex).items()}
+        for rows_, into in ((tops, all_tops), (rex, all_rex), (wanted, all_wanted)):
+            into += [(seed, *x) for x in rows_]
+    got = sy.resolve_export(spark.createDataFrame(all_wanted, "pr_id int, module string, name string"),
+                            spark.createDataFrame(all_tops, "pr_id int, file string, name string, def_id string"),
+                            spark.createDataFrame(all_rex, "pr_id int, file string, pos int, exported string, imported string, module string"))
+    assert {(x.pr_id, x.module, x.name): x.def_id for x in got.collect()} == want and len(want) > len(all_tops) + 100
+
+
+def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
+    from patchlore.operators import exports
+    from patchlore.plans import pointers
+    rounds = []
+    for module, name in ((exports, "front"), (pointers, "pointers")):
+        real = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, label="cut", real=real, name=name: (rounds.append(label) if label == name else None, real(df, label))[1])
+    n = 300
+    order = [f"m{(i * 7919) % n:03d}" for i in range(n)]  # no two neighbours in name order
+    rex = [(a, 0, "*", None, b) for a, b in zip(order, order[1:], strict=False)]
+    rex += [(f"r{i}", 0, f"x{i}", f"x{i + 1}", f"r{i + 1}") for i in range(n)]        # renamed at every step
+    rex += [(f"c{i}", 0, "*", None, f"c{(i + 1) % 40}") for i in range(40)]             # a cycle
+    tops = [(order[-1], "far", "far#def"), (order[150], "mid", "mid#def"), (f"r{n}", f"x{n}", "renamed#def"), ("c7", "C", "c7#C")]
+    wanted = [(order[0], "far"), (order[0], "mid"), (order[200], "mid"), ("r0", "x0"), ("r5", "x5"), ("r5", "x4"), ("c30", "C"), ("c8", "C"), ("c3", "none")]
+    assert export(spark, wanted, tops, rex) == {(order[0], "far"): "far#def", (order[0], "mid"): "mid#def", ("r0", "x0"): "renamed#def", ("r5", "x5"): "renamed#def",
+                                                ("c30", "C"): "c7#C", ("c8", "C"): "c7#C"}
+    assert rounds.count("front") <= 4 and rounds.count("pointers") <= 40
