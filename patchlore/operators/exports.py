@@ -110,21 +110,22 @@ def _explore(starts: DataFrame, hops: DataFrame, own: DataFrame, paths: DataFram
 def _settle(settled: DataFrame, choices: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Settle nodes whose first choice that does not fail has succeeded; returns the settled nodes and the choices of the rest."""
     rounds = 0
-    left = cut(choices.filter((F.col("file") != F.col("to")) | (F.col("name") != F.col("as"))), "left")
+    left = choices.filter((F.col("file") != F.col("to")) | (F.col("name") != F.col("as"))).select(*keys, *NODE, "pos", "to", "as")
+    size = -1
     while True:
         alive = left.select(*keys, *NODE).distinct().select(*keys, F.col("file").alias("to"), F.col("name").alias("as"), F.lit(True).alias("_open"))
         known = settled.select(*keys, F.col("file").alias("to"), F.col("name").alias("as"), F.col("def_id").alias("_def"))
         told = skew_join(skew_join(left, known, keys + ["to", "as"], "left"), alive, keys + ["to", "as"], "left")
         told = told.filter("_def IS NOT NULL OR _open")  # neither defined nor with choices left: it gives nothing
         best = told.groupBy(*keys, *NODE).agg(F.min(F.struct("pos", "to", "as", F.col("_def").alias("def_id"))).alias("_b"))
-        fresh = cut(best.filter("_b.def_id IS NOT NULL").select(*keys, *NODE, F.col("_b.def_id").alias("def_id")), "fresh")
-        rest = cut(told.select(*left.columns).join(fresh.select(*keys, *NODE), keys + NODE, "left_anti"), "left")
-        settled = settled.unionByName(fresh)
-        if fresh.isEmpty() and rest.count() == left.count():
-            return settled, rest
-        left = rest
-        if left.isEmpty():
+        step = cut(told.select(*left.columns).join(best.select(*keys, *NODE, F.col("_b.def_id").alias("_def")), keys + NODE), "step")
+        found, rest = step.agg(F.count_if(F.col("_def").isNotNull()), F.count_if(F.col("_def").isNull())).first()
+        left = step.filter("_def IS NULL").drop("_def")
+        if found:
+            settled = settled.unionByName(step.filter("_def IS NOT NULL").select(*keys, *NODE, F.col("_def").alias("def_id")).distinct())
+        if not rest or (not found and rest == size):
             return settled, left
+        size = rest
         rounds += 1
         if rounds % 8 == 0:
             settled = cut(settled, "settled")

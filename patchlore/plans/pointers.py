@@ -26,15 +26,18 @@ def ends(steps: DataFrame, keys: Sequence[str], node: Sequence[str], onto: Seque
     start = steps.select(*keys, *node, *[F.coalesce(F.col(t), F.col(c)).alias(e) for c, t, e in zip(node, onto, last, strict=True)],
                          has.cast("long").alias("dist"), has.alias("live"), F.struct(*node).alias("low"))
     at = cut(start, "pointers")
-    rounds = max(1, at.count()).bit_length() + 1
-    for _ in range(rounds):
-        if at.filter("live").isEmpty():
-            break
+    going = not at.filter("live").isEmpty()
+    while going:
         there = at.select(*keys, *[F.col(c).alias(e) for c, e in zip(node, last, strict=True)],
                           *[F.col(e).alias(f"_{e}") for e in last], F.col("dist").alias("_dist"), F.col("live").alias("_live"), F.col("low").alias("_low"))
         met = skew_join(at, there, keys + last, "left")
         go = F.col("live") & F.col("_dist").isNotNull()
-        at = cut(met.select(*keys, *node, *[F.when(go, F.col(f"_{e}")).otherwise(F.col(e)).alias(e) for e in last],
-                            F.when(go, F.col("dist") + F.col("_dist")).otherwise(F.col("dist")).alias("dist"),
-                            (go & F.col("_live")).alias("live"), F.when(go, F.least("low", "_low")).otherwise(F.col("low")).alias("low")), "pointers")
+        low = F.when(go, F.least("low", "_low")).otherwise(F.col("low"))
+        step = met.select(*keys, *node, *[F.when(go, F.col(f"_{e}")).otherwise(F.col(e)).alias(e) for e in last],
+                          F.when(go, F.col("dist") + F.col("_dist")).otherwise(F.col("dist")).alias("dist"),
+                          (go & F.col("_live")).alias("live"), low.alias("low"), (F.col("live") & (~(go & F.col("_live")) | (low != F.col("low")))).alias("_moved"))
+        # while a path has not ended, some node of it ends in every round; round a cycle, the smallest node is known once none changes
+        step = cut(step, "pointers")
+        going = not step.filter("_moved").isEmpty()
+        at = step.drop("_moved")
     return at
