@@ -49,6 +49,10 @@ class _Powers:
 _powers = _Powers()
 
 
+def forget_powers() -> None:
+    _powers.__init__()
+
+
 @dataclass
 class Words:
     """Word hashes of several texts in a row; text i has hashes[bounds[i] : bounds[i + 1]]."""

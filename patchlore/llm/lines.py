@@ -99,13 +99,17 @@ def boilerplate(docs: DataFrame, rule: Rule, host: str = "source", text: str = "
     return over.groupBy("_host").agg(F.collect_set("_h").alias("_bad"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, rule: Rule | None = None) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, rule: Rule | None = None, counted: DataFrame | None = None) -> DataFrame:
     """``docs`` with cleaned text and a column ``lines_dropped``; by ``rule``, or else by one ratio and number of pages for all lines.
 
+    Lines are counted on the pages ``counted``, by default all of ``docs``; with
+    one page of each group of near copies there, copies do not turn what they
+    share into boilerplate.
+
     The written table of hosts is joined to the pages: Spark broadcasts it while
     its files are small and otherwise shuffles by host, hot hosts in pieces.
     """
-    bad = cut(boilerplate(docs, rule or Rule(ratio, min_pages), host, text), "boilerplate")
+    bad = cut(boilerplate(docs if counted is None else counted, rule or Rule(ratio, min_pages), host, text), "boilerplate")
     fan = fan_of(docs.filter(F.col(host).isNotNull()), host)
     salted = beside(docs, _host=F.col(host), _salt=F.pmod(F.xxhash64(text, host), F.lit(fan)), _lines=F.split(F.col(text), "\n", -1))
     joined = salted.join(copies(bad, fan), ["_host", "_salt"], "left")

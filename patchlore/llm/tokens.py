@@ -8,6 +8,8 @@ looks up all chunks of many texts at once.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -18,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from patchlore.llm import icws
 from patchlore.llm.icws import hash_runs
 
 VOCABULARY = "word_bpe_49k.json"
@@ -184,10 +187,21 @@ def held(key: tuple, make: Callable[[], T]) -> T:
     """What a Python worker keeps between tasks: one table or model at a time, the last one asked for."""
     if key not in _held:
         _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
+def release() -> None:
+    """Give memory that earlier tasks have freed back to the system: workers live on from stage to stage."""
+    icws.forget_powers()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of about ``size`` bytes each, with the place of the first: only one run at a time becomes Python text."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
