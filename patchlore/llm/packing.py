@@ -29,6 +29,7 @@ from patchlore.llm.tokens import END_ID, encoder, text_slices
 from patchlore.session import cut
 
 CAPACITY = 4096
+SLICE_BYTES = 1 << 18   # of texts encoded at once
 ROWS_PER_BLOCK = 20_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,7 +41,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
         enc = encoder(vocabulary)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo, texts in text_slices(batch.column(1)):
+            for lo, texts in text_slices(batch.column(1), SLICE_BYTES):
                 got = enc.encode(texts, END_ID)
                 data = memoryview(got.ids.astype("<u4")).cast("B")
                 out: list[tuple] = []

@@ -24,8 +24,8 @@ from patchlore.llm import icws
 from patchlore.llm.icws import hash_runs
 
 VOCABULARY = "word_bpe_49k.json"
-ENTRIES = 1_000_000
-BATCH = 500_000       # chunks looked up at once, at most ENTRIES
+ENTRIES = 500_000
+BATCH = 250_000       # chunks looked up at once, at most ENTRIES
 END_ID = 1
 
 _SEPARATOR = np.zeros(256, dtype=bool)
