@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlore.functions.text import parent_dir
 from patchlore.operators.diff import with_head_line
+from patchlore.operators.identity import at_head
 from patchlore.plans.intervals import LINE_BIN, points_in_spans
 from patchlore.plans.scan import by_width, islands, last_value, number_rows, scan
 from patchlore.plans.skew import skew_join
@@ -39,9 +40,15 @@ def _hashed(df: DataFrame, kind: str) -> DataFrame:
 
 
 def _current_paths(written: DataFrame, renames: DataFrame | None, keys: list[str]) -> DataFrame:
-    """A commit before a rename wrote under the old path: old paths of ``renames`` (keys, path, old_path) become the new one."""
+    """Lines under the path their file has at the newest commit.
+
+    ``renames`` (keys, path, old_path, ord) are applied in time, see ``identity``;
+    without ``ord`` each is newer than every line.
+    """
     if renames is None:
         return written
+    if "ord" in renames.columns:
+        return at_head(written, renames, keys)
     r = renames.select(*keys, F.col("old_path").alias("path"), F.col("path").alias("_new"))
     return skew_join(written, r, keys + ["path"], "left").withColumn("path", F.coalesce("_new", "path")).drop("_new")
 

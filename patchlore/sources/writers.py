@@ -13,6 +13,7 @@ from patchlore.session import cut
 
 PART_ROWS = 50_000   # rows of a section in one document part
 SLICE_ROWS = 5_000   # lines of one file in one slice
+OUTBOX_BUCKETS = 64   # folders of an outbox
 BUCKETS = 256        # folders of a dataset, whatever the number of requests
 ORDER = ("ord", "pos", "line_idx", "idx")  # columns that order the list of a section
 
@@ -105,21 +106,30 @@ def write_dataset(tables: Mapping[str, DataFrame], path: str, part_rows: int = P
 def export_outbox(payload: DataFrame, replies: DataFrame, path: str) -> None:
     """Append reviews and replies still to be sent; sending them is not this engine's work.
 
-    What the outbox holds already is left out, so a repeated run adds nothing.
+    A reply is told by the id of its note, so two notes with one text are both
+    sent; a review by its body, which lists the ids of its notes. What the
+    outbox holds already is left out: a repeated run adds nothing. Rows lie in
+    folders by a hash of what tells them apart, and only folders that new rows
+    fall into are read.
     """
     keys = ["pr_id"]
-    reviews = payload.select(*keys, F.lit("review").alias("what"), F.lit(None).cast("string").alias("reply_to"), "body", "comments")
-    answers = replies.filter("is_reply").select(*keys, F.lit("reply").alias("what"), F.col("reply_to").cast("string").alias("reply_to"), "body",
+    none = F.lit(None).cast("string")
+    reviews = payload.select(*keys, F.lit("review").alias("what"), F.md5(F.col("body").cast("binary")).alias("note"), none.alias("reply_to"), "body", "comments")
+    answers = replies.filter("is_reply").select(*keys, F.lit("reply").alias("what"), F.col("id").cast("string").alias("note"), F.col("reply_to").cast("string").alias("reply_to"), "body",
                                                 F.lit(None).cast(payload.schema["comments"].dataType).alias("comments"))
-    rows = reviews.unionByName(answers)
+    told = [*keys, "what", "note"]
+    rows = reviews.unionByName(answers).dropDuplicates(told)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*told), F.lit(OUTBOX_BUCKETS)).cast("int"))
     try:
         held = rows.sparkSession.read.schema(rows.schema).parquet(path)
     except AnalysisException:  # no outbox yet
         held = None
     if held is not None:
-        same = all_of([F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("pr_id", "what", "reply_to", "body")])
-        rows = cut(rows.alias("n").join(held.alias("h"), same, "left_anti"), "unsent")
-    rows.write.mode("append").parquet(path)
+        rows = cut(rows, "outbox-rows")
+        buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most OUTBOX_BUCKETS
+        same = all_of([F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}")) for c in told])
+        rows = cut(rows.alias("n").join(held.filter(F.col("bucket").isin(buckets)).alias("h"), same, "left_anti"), "unsent")
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def reconcile_refs(prs: DataFrame, upstream: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from patchlore.operators.timeline import SWEEP_GAP_HOURS
-from patchlore.session import new_path
+from patchlore.plans.skew import all_of
+from patchlore.session import cut, new_path
+from patchlore.sources.writers import OUTBOX_BUCKETS
 
 SALTS = 16
 
@@ -81,20 +83,23 @@ def run_available(stream: DataFrame, mode: str, name: str, folder: str | None =
 def run_outbox(items: DataFrame, folder: str, keys: Sequence[str] = ("pr_id",)) -> str:
     """Append the (keys, id) of ``items`` that the outbox has not had, however long ago; returns its folder.
 
-    Each micro-batch is compared with the rows of the others and has a folder of
-    its own, so a retried batch replaces itself and nothing is sent twice.
+    Each micro-batch is compared with those rows of the others that lie in the
+    hash buckets it has rows for, and has a folder of its own, so a retried batch replaces itself and nothing is sent twice.
     """
     out, on = f"{folder}/outbox", [*keys, "id"]
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(on)
+        fresh = batch.dropDuplicates(on).withColumn("bucket", F.pmod(F.xxhash64(*on), F.lit(OUTBOX_BUCKETS)).cast("int"))
+        fresh = cut(fresh, "outbox-batch")
+        buckets = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most OUTBOX_BUCKETS
         try:
-            sent = batch.sparkSession.read.parquet(out).filter(F.col("batch") != batch_id).select(*on)
+            sent = fresh.sparkSession.read.parquet(out).filter((F.col("batch") != batch_id) & F.col("bucket").isin(buckets)).select(*on)
         except AnalysisException:  # nothing sent yet
             sent = None
         if sent is not None:
-            fresh = fresh.join(sent, on, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            same = all_of([F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}")) for c in on])
+            fresh = fresh.alias("n").join(sent.alias("s"), same, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={batch_id}")
 
     items.writeStream.option("checkpointLocation", f"{folder}/outbox-log").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patchlore.operators import attribution as at
+from patchlore.operators import attribution as at, identity as ids
 from patchlore.session import cut
 from patchlore.workload import tables as t
 from patchlore.workload.registry import query
@@ -87,6 +87,40 @@ def attribute_lines_by_request(spark, sf):
     return got.select("pr_id", "path", "idx", "kind", "by")
 
 
+@query("path_identity", """WITH RECURSIVE ev AS (SELECT o_custkey % 3 AS pr_id, concat('p', o_custkey % 40) AS old_path,
+  CASE WHEN o_orderstatus <> 'P' THEN concat('p', o_orderkey * 7 % 40) END AS path, -o_orderkey AS ord FROM orders),
+nx AS (SELECT e.*, n.ord AS next_ord FROM ev e ASOF LEFT JOIN ev n ON n.pr_id = e.pr_id AND n.old_path = e.path AND e.ord > n.ord),
+wk AS (SELECT pr_id, old_path, ord, path AS head, next_ord FROM nx
+  UNION ALL SELECT w.pr_id, w.old_path, w.ord, n.path, n.next_ord FROM wk w JOIN nx n ON n.pr_id = w.pr_id AND n.old_path = w.head AND n.ord = w.next_ord),
+wr AS (SELECT DISTINCT l_partkey % 3 AS pr_id, concat('p', l_suppkey % 40) AS path, -l_orderkey AS ord FROM lineitem),
+ws AS (SELECT wr.*, a.ord AS hit FROM wr ASOF LEFT JOIN ev a ON a.pr_id = wr.pr_id AND a.old_path = wr.path AND wr.ord > a.ord)
+SELECT ws.pr_id, ws.path, ws.ord, CASE WHEN hit IS NULL THEN ws.path ELSE wk.head END AS head_path
+FROM ws LEFT JOIN wk ON wk.pr_id = ws.pr_id AND wk.old_path = ws.path AND wk.ord = hit AND wk.next_ord IS NULL""")
+def path_identity(spark, sf):
+    """Each order renames or removes one of forty paths of a request; each line was written under a path of its time."""
+    path = lambda c: F.concat(F.lit("p"), (c % 40).cast("string"))
+    o = t.table(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("pr_id"), path(F.col("o_custkey")).alias("old_path"),
+                                            F.when(F.col("o_orderstatus") != "P", path(F.col("o_orderkey") * 7)).alias("path"), (-F.col("o_orderkey")).alias("ord"))
+    li = t.table(spark, sf, "lineitem").select((F.col("l_partkey") % 3).alias("pr_id"), path(F.col("l_suppkey")).alias("path"), (-F.col("l_orderkey")).alias("ord"))
+    return ids.head_paths(li, o)
+
+
+@query("attribute_reused_paths", with_views("s_diff_lines", """dl AS (SELECT path, idx, kind, text, by_sha FROM s_diff_lines), hf AS (SELECT max(o_orderkey) // 2 AS h FROM orders),
+dd AS (SELECT * FROM dl UNION ALL SELECT path + 1000000, idx, kind, text, by_sha FROM dl, hf WHERE by_sha >= h),
+wr AS (SELECT path, text, by_sha AS sha, row_number() OVER (PARTITION BY path, text ORDER BY by_sha DESC, idx) AS nth FROM dd WHERE by_sha % 17 <> 0 AND kind = 'add'),
+ad AS (SELECT *, row_number() OVER (PARTITION BY path, text ORDER BY idx) AS nth FROM dd WHERE kind = 'add')
+SELECT ad.path, ad.idx, wr.sha AS "by" FROM ad JOIN wr USING (path, text, nth)"""))
+def attribute_reused_paths(spark, sf):
+    """Every file was renamed half-way; its old path was then used again by another file."""
+    d = lines(spark, sf)
+    half = t.table(spark, sf, "orders").agg(F.floor(F.max("o_orderkey") / 2).alias("h")).scalar()
+    old = F.col("path") + 1000000
+    reused = d.filter(F.col("by_sha") >= half).withColumn("path", old)
+    first = written(d).withColumn("path", F.when(F.col("sha") < half, old).otherwise(F.col("path")))
+    renames = d.select("path").distinct().select("path", old.alias("old_path"), (-half).alias("ord"))
+    return at.attribute_additions(d.unionByName(reused), first.unionByName(written(reused)), None, NOKEY, renames)
+
+
 STAMPED = MATCH + """,
 sl AS (SELECT al.*, coalesce("by" % 10 = 0, false) AS conflict, CASE WHEN "by" % 10 <> 0 THEN "by" % 4 + 1 END AS band FROM al)
 """

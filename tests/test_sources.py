@@ -123,6 +123,15 @@ def test_outbox_takes_nothing_twice(spark):
     assert rows(spark.read.parquet(path), "what", "body") == [("reply", "yes"), ("review", "note")]
 
 
+def test_two_replies_with_one_text_are_both_sent(spark):
+    s = spark.createDataFrame
+    nothing = s([], "pr_id string, part long, n long, body string, comments array<string>")
+    path = new_path(spark, "outbox")
+    for ids in (["n1"], ["n2"], ["n1", "n2"], ["n2", "n2"]):
+        wr.export_outbox(nothing, s([("p", i, "t1", "done", True) for i in ids], "pr_id string, id string, reply_to string, body string, is_reply boolean"), path)
+    assert rows(spark.read.parquet(path), "note", "reply_to", "body") == [("n1", "t1", "done"), ("n2", "t1", "done")]
+
+
 def test_unreadable_references_go_to_quarantine(spark):
     d = spark.createDataFrame([(1, "box/trie#7"), (2, "no reference"), (3, None)], "id int, ref string")
     good, bad = rd.read_pr_refs(d)
