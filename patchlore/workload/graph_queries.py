@@ -47,7 +47,7 @@ near AS (SELECT seed, node, min(hop) AS hop FROM fill GROUP BY 1, 2)
 """
 STARTERS = REACH + """,
 earlier AS (SELECT n.node AS id, list(n.seed) AS who FROM near n JOIN s_seeds s ON s.id = n.node WHERE n.seed < n.node GROUP BY 1),
-line AS (SELECT s.id, row_number() OVER (ORDER BY s.seed_ord) AS i, coalesce(e.who, []) AS who FROM s_seeds s LEFT JOIN earlier e ON e.id = s.id),
+line AS MATERIALIZED (SELECT s.id, row_number() OVER (ORDER BY s.seed_ord) AS i, coalesce(e.who, []) AS who FROM s_seeds s LEFT JOIN earlier e ON e.id = s.id),
 walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS chosen
          UNION ALL SELECT l.i, CASE WHEN list_has_any(w.chosen, l.who) THEN w.chosen ELSE list_append(w.chosen, l.id) END FROM walk w JOIN line l ON l.i = w.i + 1),
 st AS (SELECT unnest(chosen) AS id FROM (SELECT chosen FROM walk ORDER BY i DESC LIMIT 1))
@@ -95,6 +95,30 @@ def components(spark, sf):
     return merged(spark, sf)[2]
 
 
+@query("components_by_request", with_views("s_next_parts", """
+lk AS (SELECT DISTINCT o_custkey AS pr_id, a, b FROM s_next_parts JOIN orders ON o_orderkey = sha WHERE a <> b),
+adj AS (SELECT pr_id, a, b FROM lk UNION SELECT pr_id, b, a FROM lk),
+sd AS (SELECT DISTINCT pr_id, a AS id FROM adj WHERE a % 10 = 0),
+fill AS (SELECT pr_id, id AS seed, id AS node, 0 AS hop FROM sd UNION SELECT f.pr_id, f.seed, adj.b, f.hop + 1 FROM fill f JOIN adj ON adj.pr_id = f.pr_id AND adj.a = f.node WHERE f.hop < 3),
+near AS (SELECT DISTINCT pr_id, seed, node FROM fill),
+earlier AS (SELECT n.pr_id, n.node AS id, list(n.seed) AS who FROM near n JOIN sd ON sd.pr_id = n.pr_id AND sd.id = n.node WHERE n.seed < n.node GROUP BY 1, 2),
+line AS MATERIALIZED (SELECT sd.pr_id, sd.id, row_number() OVER (PARTITION BY sd.pr_id ORDER BY sd.id) AS i, coalesce(e.who, []) AS who FROM sd LEFT JOIN earlier e USING (pr_id, id)),
+walk AS (SELECT DISTINCT pr_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS chosen FROM sd
+         UNION ALL SELECT w.pr_id, l.i, CASE WHEN list_has_any(w.chosen, l.who) THEN w.chosen ELSE list_append(w.chosen, l.id) END FROM walk w JOIN line l ON l.pr_id = w.pr_id AND l.i = w.i + 1),
+st AS (SELECT pr_id, unnest(arg_max(chosen, i)) AS seed FROM walk GROUP BY pr_id),
+ball AS (SELECT pr_id, seed, node FROM near JOIN st USING (pr_id, seed)),
+lap AS (SELECT DISTINCT x.pr_id, x.seed AS s1, y.seed AS s2 FROM ball x JOIN ball y USING (pr_id, node)),
+clo AS (SELECT pr_id, seed AS s1, seed AS s2 FROM st UNION SELECT c.pr_id, c.s1, lap.s2 FROM clo c JOIN lap ON lap.pr_id = c.pr_id AND lap.s1 = c.s2)
+SELECT b.pr_id, b.node, min(o.node) AS comp FROM ball b JOIN clo ON clo.pr_id = b.pr_id AND clo.s1 = b.seed JOIN ball o ON o.pr_id = clo.pr_id AND o.seed = clo.s2 GROUP BY 1, 2"""))
+def components_by_request(spark, sf):
+    """The orders of a customer are one request: the same parts lie in many requests, linked in other ways."""
+    orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("pr_id"))
+    links = t.next_parts(spark, sf).filter(F.col("a") != F.col("b")).join(orders, "sha").select("pr_id", "a", "b").distinct()
+    pairs = g.adjacency(links)
+    seeds = pairs.filter(F.col("src") % 10 == 0).select("pr_id", F.col("src").alias("id")).distinct().withColumn("seed_ord", F.col("id"))
+    return g.merge_fills(g.fill_starters(seeds, pairs), pairs)
+
+
 @query("seed_map", with_views("s_edges s_seeds", COMPONENTS + "SELECT s.id, s.seed_ord, comp.comp FROM s_seeds s JOIN comp ON comp.node = s.id"))
 def seed_map(spark, sf):
     seeds, _, nodes = merged(spark, sf)
@@ -173,12 +197,12 @@ def display_entries(spark, sf):
     return g.entries(surface(spark, sf), nodes, defs, t.seeds(spark, sf), NOKEY)
 
 
-@query("collect_edges", """WITH s AS (SELECT DISTINCT l_partkey % 300 AS a, 200 + l_suppkey % 120 AS b, l_suppkey AS f, l_orderkey % 50 AS ln FROM lineitem)
+@query("collect_edges", """WITH s AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b, l_orderkey AS f, l_linenumber AS ln FROM lineitem)
 SELECT a, b, count(*) AS refs, array_to_string(list_slice(list(f || ':' || ln ORDER BY f, ln), 1, 3), ' ') AS sites FROM s WHERE a <> b GROUP BY a, b""")
 def collect_edges(spark, sf):
+    """Parts refer to their suppliers, each order line is a site; equal ids are a reference to oneself."""
     s = t.table(spark, sf, "lineitem").select(
-        (F.col("l_partkey") % 300).alias("a"), (200 + F.col("l_suppkey") % 120).alias("b"),
-        F.col("l_suppkey").alias("file"), (F.col("l_orderkey") % 50).alias("line"))
+        F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"))
     d = g.collect_edges(s, NOKEY)
     site = F.transform("sites", lambda x: F.concat(x["file"].cast("string"), F.lit(":"), x["line"].cast("string")))
     return d.select("a", "b", "refs", F.array_join(site, " ").alias("sites"))
@@ -229,21 +253,21 @@ def internal_edges(spark, sf):
 
 
 def traces(spark, sf):
-    """Each order links two parts under the component of the first one's brand."""
-    li = t.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entry_id"), F.col("l_orderkey").alias("pos"),
-                                               F.concat(F.lit("calls "), "l_returnflag").alias("relation"), ((F.col("l_partkey") * 3 + F.col("l_suppkey") % 4) % 150).alias("object"))
+    """Each order line calls the next one's part, under the component of its own part's brand."""
+    li = t.next_parts(spark, sf).select(F.col("a").alias("entry_id"), F.col("sha").alias("pos"),
+                                        F.concat(F.lit("calls "), "flag").alias("relation"), F.col("b").alias("object"))
     brand = t.comp_entries(spark, sf).select("entry_id", F.col("comp_id").alias("component"))
     return li.join(brand, "entry_id")
 
 
-TRACES = """tr AS (SELECT l_partkey AS entry_id, l_orderkey AS pos, 'calls ' || l_returnflag AS relation, (l_partkey * 3 + l_suppkey % 4) % 150 AS object, p_brand AS comp_id
-  FROM lineitem JOIN part ON p_partkey = l_partkey)
+TRACES = """tr AS (SELECT a AS entry_id, sha AS pos, 'calls ' || flag AS relation, b AS object, p_brand AS comp_id
+  FROM s_next_parts JOIN part ON p_partkey = a)
 """
 
 
-@query("trace_edges", f"""WITH {TRACES}
+@query("trace_edges", with_views("s_next_parts", TRACES + """
 SELECT comp_id, entry_id AS a, object AS b, relation AS rel FROM tr JOIN part o ON o.p_partkey = object AND o.p_brand = comp_id
-QUALIFY row_number() OVER (PARTITION BY comp_id, least(entry_id, object), greatest(entry_id, object) ORDER BY entry_id, pos, object, relation) = 1""")
+QUALIFY row_number() OVER (PARTITION BY comp_id, least(entry_id, object), greatest(entry_id, object) ORDER BY entry_id, pos, object, relation) = 1"""))
 def trace_edges(spark, sf):
     return g.trace_edges(traces(spark, sf), t.comp_entries(spark, sf), NOKEY)
 
@@ -284,14 +308,14 @@ def cross_counts(spark, sf):
     return g.cross_counts(g.cross_component_links(t.edges(spark, sf), loose_members(spark, sf), keys=NOKEY), NOKEY)
 
 
-@query("layer_ranks", with_views("s_edges", """
-up AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM s_edges),
-lp AS (SELECT p_partkey AS entry_id, CAST(0 AS BIGINT) AS d FROM part UNION SELECT up.b, lp.d + 1 FROM lp JOIN up ON up.a = lp.entry_id)
-SELECT 0 AS comp_id, entry_id, max(d) AS "rank" FROM lp GROUP BY entry_id"""))
+@query("layer_ranks", with_views("s_edges", INNER + """,
+up AS (SELECT DISTINCT comp_id, least(a, b) AS a, greatest(a, b) AS b FROM ie),
+lp AS (SELECT comp_id, entry_id, CAST(0 AS BIGINT) AS d FROM en UNION SELECT up.comp_id, up.b, lp.d + 1 FROM lp JOIN up ON up.comp_id = lp.comp_id AND up.a = lp.entry_id)
+SELECT comp_id, entry_id, max(d) AS "rank" FROM lp GROUP BY ALL"""))
 def layer_ranks(spark, sf):
-    part = t.table(spark, sf, "part").select(F.lit(0).alias("comp_id"), F.col("p_partkey").alias("entry_id"))
-    up = t.edges(spark, sf).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("comp_id"))
-    return g.layer_ranks(part, up, NOKEY)
+    """The edges inside each brand, turned so that they lead to the later part."""
+    up = inner(spark, sf).select("comp_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return g.layer_ranks(t.comp_entries(spark, sf).select("comp_id", "entry_id"), up, NOKEY)
 
 
 DEGREES = INNER + """, dg AS (SELECT comp_id, e AS entry_id, count(*) AS degree FROM (SELECT comp_id, unnest([a, b]) AS e FROM ie) GROUP BY ALL)"""

@@ -65,14 +65,17 @@ def def_spans(spark: SparkSession, sf: str) -> DataFrame:
                     ((F.col("k") - 1) * 30 + F.col("size")).alias("end_line"))
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Each part points to the part that follows it in the last order in which another one does."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
+def next_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """(a, b, sha, flag): each order line's part and the part of the line after it in the same order, null at the end."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag"]
     li = table(spark, sf, "lineitem").select("l_orderkey", *order)
     nxt = scan(li, ["l_orderkey"], order, {"b": row_before(F.col("l_partkey"))}, by_width("l_linenumber"), reverse=True)
-    other = nxt.filter(F.col("b").isNotNull() & (F.col("b") != F.col("l_partkey")))
-    last = other.groupBy(F.col("l_partkey").alias("a")).agg(F.max(F.struct("l_orderkey", "l_linenumber", "b")).alias("m"))
-    return cut(last.select("a", "m.b"), "edges")
+    return nxt.select(F.col("l_partkey").alias("a"), "b", F.col("l_orderkey").alias("sha"), F.col("l_returnflag").alias("flag"))
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part points to every other part that follows it directly in some order."""
+    return cut(next_parts(spark, sf).filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,6 +178,13 @@ def reexports(spark: SparkSession, sf: str) -> DataFrame:
                     F.lit("*").alias("exported"))
 
 
+NEXT_PARTS = """
+SELECT l_partkey AS a,
+       lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+         l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag) AS b,
+       l_orderkey AS sha, l_returnflag AS flag
+FROM lineitem"""
+
 VIEWS = {
     "s_commits": """
 SELECT user_id AS pr_id, event_id AS sha, ts,
@@ -200,13 +210,8 @@ SELECT path, def_id, p_brand AS component, 1 + (k - 1) * 30 AS start_line,
        (k - 1) * 30 + p_size AS end_line
 FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY def_id) AS k
       FROM (SELECT p_partkey % (SELECT count(*) FROM supplier) AS path, p_partkey AS def_id, p_brand, p_size FROM part))""",
-    "s_edges": """
-SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY l_orderkey DESC, l_linenumber DESC, b DESC) AS k FROM (
-  SELECT l_partkey AS a, l_orderkey, l_linenumber,
-         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-           l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS b
-  FROM lineitem) t
-WHERE b IS NOT NULL AND a <> b) u WHERE k = 1""",
+    "s_next_parts": NEXT_PARTS,
+    "s_edges": f"SELECT DISTINCT a, b FROM ({NEXT_PARTS}) t WHERE a <> b",
     "s_seeds": "SELECT p_partkey AS id, p_partkey AS seed_ord FROM part WHERE p_partkey % 10 = 0",
     "s_files": """
 SELECT d.doc_id, concat(CASE d.doc_id % 3 WHEN 0 THEN 'lib/gen/' WHEN 1 THEN 'src/' ELSE '' END,
