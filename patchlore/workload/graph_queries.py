@@ -65,16 +65,25 @@ def flood_fill(spark, sf):
     return g.flood_fill(t.seeds(spark, sf), g.adjacency(t.edges(spark, sf), NOKEY), NOKEY)
 
 
-@query("flood_fill_by_request", with_views("s_edges s_seeds", """
-adj AS (SELECT a % 3 AS pr_id, a AS s, b AS d FROM s_edges UNION SELECT a % 3, b, a FROM s_edges),
-h AS (SELECT r.pr_id, id AS seed, id AS node, 0 AS hop FROM s_seeds, (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS pr_id) r
-      UNION SELECT h.pr_id, seed, adj.d, hop + 1 FROM h JOIN adj ON adj.pr_id = h.pr_id AND adj.s = node WHERE hop < 3)
-SELECT pr_id, seed, node, min(hop) AS hop FROM h GROUP BY ALL"""))
+REQUEST_REACH = """lk AS (SELECT DISTINCT o_custkey AS pr_id, a, b FROM s_next_parts JOIN orders ON o_orderkey = sha WHERE a <> b),
+adj AS (SELECT pr_id, a, b FROM lk UNION SELECT pr_id, b, a FROM lk),
+sd AS (SELECT DISTINCT pr_id, a AS id FROM adj WHERE a % 10 = 0),
+fill AS (SELECT pr_id, id AS seed, id AS node, 0 AS hop FROM sd UNION SELECT f.pr_id, f.seed, adj.b, f.hop + 1 FROM fill f JOIN adj ON adj.pr_id = f.pr_id AND adj.a = f.node WHERE f.hop < 3)
+"""
+
+
+def request_graph(spark, sf):
+    """Seeds and neighbour pairs by customer: the same parts lie in many requests, linked in other ways."""
+    orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("pr_id"))
+    links = t.next_parts(spark, sf).filter(F.col("a") != F.col("b")).join(orders, "sha").select("pr_id", "a", "b").distinct()
+    pairs = g.adjacency(links)
+    seeds = pairs.filter(F.col("src") % 10 == 0).select("pr_id", F.col("src").alias("id")).distinct()
+    return seeds.withColumn("seed_ord", F.col("id")), pairs
+
+
+@query("flood_fill_by_request", with_views("s_next_parts", REQUEST_REACH + "SELECT pr_id, seed, node, min(hop) AS hop FROM fill GROUP BY ALL"))
 def flood_fill_by_request(spark, sf):
-    """Three requests with the same symbols and seeds but other links."""
-    pairs = g.adjacency(t.edges(spark, sf).withColumn("pr_id", F.col("a") % 3))
-    seeds = t.seeds(spark, sf).withColumn("pr_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
-    return g.flood_fill(seeds, pairs)
+    return g.flood_fill(*request_graph(spark, sf))
 
 
 @query("fill_starters", with_views("s_edges s_seeds", STARTERS + "SELECT id FROM st"))
@@ -95,11 +104,7 @@ def components(spark, sf):
     return merged(spark, sf)[2]
 
 
-@query("components_by_request", with_views("s_next_parts", """
-lk AS (SELECT DISTINCT o_custkey AS pr_id, a, b FROM s_next_parts JOIN orders ON o_orderkey = sha WHERE a <> b),
-adj AS (SELECT pr_id, a, b FROM lk UNION SELECT pr_id, b, a FROM lk),
-sd AS (SELECT DISTINCT pr_id, a AS id FROM adj WHERE a % 10 = 0),
-fill AS (SELECT pr_id, id AS seed, id AS node, 0 AS hop FROM sd UNION SELECT f.pr_id, f.seed, adj.b, f.hop + 1 FROM fill f JOIN adj ON adj.pr_id = f.pr_id AND adj.a = f.node WHERE f.hop < 3),
+@query("components_by_request", with_views("s_next_parts", REQUEST_REACH + """,
 near AS (SELECT DISTINCT pr_id, seed, node FROM fill),
 earlier AS (SELECT n.pr_id, n.node AS id, list(n.seed) AS who FROM near n JOIN sd ON sd.pr_id = n.pr_id AND sd.id = n.node WHERE n.seed < n.node GROUP BY 1, 2),
 line AS MATERIALIZED (SELECT sd.pr_id, sd.id, row_number() OVER (PARTITION BY sd.pr_id ORDER BY sd.id) AS i, coalesce(e.who, []) AS who FROM sd LEFT JOIN earlier e USING (pr_id, id)),
@@ -111,11 +116,7 @@ lap AS (SELECT DISTINCT x.pr_id, x.seed AS s1, y.seed AS s2 FROM ball x JOIN bal
 clo AS (SELECT pr_id, seed AS s1, seed AS s2 FROM st UNION SELECT c.pr_id, c.s1, lap.s2 FROM clo c JOIN lap ON lap.pr_id = c.pr_id AND lap.s1 = c.s2)
 SELECT b.pr_id, b.node, min(o.node) AS comp FROM ball b JOIN clo ON clo.pr_id = b.pr_id AND clo.s1 = b.seed JOIN ball o ON o.pr_id = clo.pr_id AND o.seed = clo.s2 GROUP BY 1, 2"""))
 def components_by_request(spark, sf):
-    """The orders of a customer are one request: the same parts lie in many requests, linked in other ways."""
-    orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("pr_id"))
-    links = t.next_parts(spark, sf).filter(F.col("a") != F.col("b")).join(orders, "sha").select("pr_id", "a", "b").distinct()
-    pairs = g.adjacency(links)
-    seeds = pairs.filter(F.col("src") % 10 == 0).select("pr_id", F.col("src").alias("id")).distinct().withColumn("seed_ord", F.col("id"))
+    seeds, pairs = request_graph(spark, sf)
     return g.merge_fills(g.fill_starters(seeds, pairs), pairs)
 
 
