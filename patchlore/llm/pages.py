@@ -50,6 +50,9 @@ FURNITURE_WORDS = set(
     "comment comments commentlist commenter disqus reply replies respond responses discussion feedback "
     "share sharing social follow newsletter subscribe subscription signup login signin register search form skip hidden".split())
 FURNITURE_STEMS = re.compile(r"cookie|comment|sidebar|advert|sponsor|newsletter|breadcrumb|promo|notif|recommend|subscri|footer|consent|navig|social|popup|disclaimer")
+# Articles of others: a list of these is no wrapper around the article of the page.
+OTHER_ARTICLES = set("comment comments commentlist reply replies responses discussion related recommended recommendations popular trending teaser promo promos sponsored".split())
+STATES = ("has-", "no-", "with-", "without-", "has_", "no_", "with_", "without_")
 ARTICLE_TAGS = set("article main".split())
 ARTICLE_WORDS = set("article post story entry content main body text".split())
 
@@ -75,34 +78,44 @@ class Block:
     list_item: int
 
 
-def name_words(value: str) -> set[str]:
-    return {w.lower() for w in WORDS.findall(value)}
+def furniture_names(values: list[str], known_article: bool) -> tuple[set[str], bool]:
+    """Words that mark an element as furniture, and whether a name of it is that of an article.
 
+    A name that begins with has, no, with or without tells what else the page has. Beside the name of an
+    article (or on an article element) only names that begin with a furniture word count: ``post category-social``
+    is a post, ``comment-body content`` a comment.
+    """
+    names = [[w.lower() for w in WORDS.findall(name)] for v in values for name in v.split() if not name.lower().startswith(STATES)]
+    marks = [{w for w in n if w in FURNITURE_WORDS or FURNITURE_STEMS.match(w)} for n in names]
+    article = any(ARTICLE_WORDS & set(n) and not m for n, m in zip(names, marks, strict=True))
+    marked = {w for n, m in zip(names, marks, strict=True) if n and (n[0] in m or not (known_article or article)) for w in m}
+    return marked, article or any(ARTICLE_WORDS & set(n) for n in names)
 
-def role_of(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Is the element furniture, is it an article?"""
-    names: set[str] = set()
+
+def role_of(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Is the element furniture, is it an article, may an article inside show that it is only a wrapper?"""
+    values: list[str] = []
     for key, a, b, c in ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
-            names |= name_words(value)
+            values.append(value)
         elif key == "role" and value.lower() in FURNITURE_ROLES:
-            return True, False
+            return True, False, False
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, False
+            return True, False, False
     if tag in ("body", "html"):
-        return False, False
+        return False, False, False
+    marked, named_article = furniture_names(values, tag in ARTICLE_TAGS)
     if tag in ARTICLE_TAGS:
-        return bool(names & {"comment", "comments", "reply", "teaser", "related", "promo"}), True
-    if names and tag not in HEADINGS:
-        marked = {w for w in names if w in FURNITURE_WORDS or FURNITURE_STEMS.match(w)}
-        headline = marked <= {"header", "masthead"} and (in_article or bool(names & ARTICLE_WORDS))  # a post-header is part of the post
+        return bool(marked & OTHER_ARTICLES), True, False
+    if values and tag not in HEADINGS:
+        headline = marked <= {"header", "masthead"} and (in_article or named_article)  # a post-header is part of the post
         if marked and not headline:
-            return True, False
-        if names & ARTICLE_WORDS:
-            return tag in FURNITURE_TAGS and tag != "header", True
+            return True, False, not marked & OTHER_ARTICLES and tag not in FURNITURE_TAGS - {"form"}
+        if named_article:
+            return tag in FURNITURE_TAGS and tag != "header", True, tag == "form"
     # A header inside an article carries its headline.
-    return tag in FURNITURE_TAGS and not (tag == "header" and in_article), False
+    return tag in FURNITURE_TAGS and not (tag == "header" and in_article), False, tag == "form"
 
 
 def tags_of(html: str) -> list[tuple[int, int, str, bool, str]]:
@@ -149,6 +162,8 @@ def blocks_of(html: str) -> list[Block]:
     """Text blocks of a page in order, white space collapsed, character references decoded."""
     blocks: list[Block] = []
     open_: list[tuple[str, bool, bool]] = []   # element, furniture, article
+    wrappers: list[int] = []                   # places in it of furniture that may be a wrapper
+    met = False                                # the article of the page has begun
     furniture = article = links = heading = items = 0
     parts: list[str] = []
     linked: list[str] = []
@@ -208,7 +223,18 @@ def blocks_of(html: str) -> list[Block]:
                         break
                     if open_[i][0] in CONTAINERS:
                         break
-            f, a = role_of(tag, attrs, article > 0)
+            f, a, soft = role_of(tag, attrs, article > 0)
+            while wrappers and wrappers[-1] >= len(open_):
+                wrappers.pop()
+            if a and not f and not met and tag in ARTICLE_TAGS:
+                if furniture == len(wrappers):   # nothing else around it
+                    met = True
+                    for i in wrappers:
+                        open_[i] = (open_[i][0], False, open_[i][2])
+                    furniture = 0
+                    wrappers.clear()
+            if f and soft:
+                wrappers.append(len(open_))
             open_.append((tag, f, a))
             furniture += f
             article += a

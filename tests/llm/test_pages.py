@@ -77,3 +77,25 @@ def test_extract(spark):
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int"))
     assert sorted(((r.page_id, r.url, r.text[:4], r.n_chars) for r in got.collect()), key=str) == sorted([(1, "u1", "Head", len(ARTICLE)), (1, "u1", "Head", len(ARTICLE)), (2, None, "", 0), (None, "u3", "x y", 3)], key=str)
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrappers_and_states_do_not_hide_the_article():
+    body = "".join(f"<p>{'some plain words ' * 12}{i}.</p>" for i in range(3))
+    want = " ".join(f"{'some plain words ' * 12}{i}." for i in range(3))
+    menu = "<nav><a href=a>Home</a> <a href=b>News</a></nav>"
+    for page in (
+            f"{menu}<div class='site-content has-sidebar'>{body}</div>",
+            f"<div class='layout-sidebar-right'>{menu}<article>{body}</article></div>",
+            f"{menu}<div class='article-body read-more-wrap'>{body}</div>",
+            f"{menu}<div class='entry-content no-comments'>{body}</div>",
+            f"{menu}<article class='post category-social tag-comment'>{body}</article>",
+            f"{menu}<div class='post category-search'>{body}</div>",
+            f"<div class='page-header-large'>{menu}<article>{body}</article></div>",
+            f"<form id='aspnetForm'>{menu}<main>{body}</main><footer>us</footer></form>"):
+        assert text(page) == want, page
+    # Comments, teasers and hidden parts stay out, whatever elements they are made of.
+    more = f"<article>{body}</article>"
+    for extra in ("<div id='comments'><article>{0}</article></div>", "<section class='related'><article>{0}</article></section>",
+                  "<div hidden><article>{0}</article></div>", "<article class='comment'>{0}</article>", "<article id='div-comment-5' class='comment-body'>{0}</article>", "<div class='comment-body content'>{0}</div>", "<div class='post-comments'>{0}</div>", "<div class='content ad'>{0}</div>"):
+        other = extra.format("<p>" + "words of somebody else " * 20 + "</p>")
+        assert text(more + other) == want and text(other + more) == want, extra
