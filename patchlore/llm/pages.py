@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -92,6 +93,7 @@ def furniture_names(values: list[str], known_article: bool) -> tuple[set[str], b
     return marked, article or any(ARTICLE_WORDS & set(n) for n in names)
 
 
+@lru_cache(maxsize=1 << 12)
 def role_of(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
     """Is the element furniture, is it an article, may an article inside show that it is only a wrapper?"""
     values: list[str] = []
