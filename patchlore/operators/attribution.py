@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlore.functions.text import parent_dir
 from patchlore.operators.diff import with_head_line
+from patchlore.operators.history import attribute_tracked
 from patchlore.operators.identity import at_head
 from patchlore.plans.intervals import LINE_BIN, points_in_spans
 from patchlore.plans.scan import by_width, islands, last_value, number_rows, scan
@@ -86,10 +87,17 @@ def attribute_deletions(lines: DataFrame, written: DataFrame, renames: DataFrame
 
 
 def attribute_lines(lines: DataFrame, written: DataFrame, commits: DataFrame, blame: DataFrame | None = None,
-                    renames: DataFrame | None = None, keys: Sequence[str] = PR) -> DataFrame:
-    """Add ``by`` to every changed line; lines no commit explains go to the newest commit."""
+                    renames: DataFrame | None = None, keys: Sequence[str] = PR, tracked: bool = False) -> DataFrame:
+    """Add ``by`` to every changed line; lines no commit explains go to the newest commit.
+
+    With ``tracked`` lines are followed by their numbers through the commits, see
+    ``history``; ``written`` then needs ``old`` and ``new``, texts and ``blame`` are not read.
+    """
     keys = list(keys)
-    by = attribute_additions(lines, written, blame, keys, renames).unionByName(attribute_deletions(lines, written, renames, keys))
+    if tracked:
+        by = attribute_tracked(lines, written, commits, keys, renames)
+    else:
+        by = attribute_additions(lines, written, blame, keys, renames).unionByName(attribute_deletions(lines, written, renames, keys))
     head = commits.groupBy(*keys).agg(F.min_by("sha", "ord").alias("_head")) if keys else commits.agg(F.min_by("sha", "ord").alias("_head"))
     d = lines.join(by, keys + ["path", "idx"], "left")
     if keys:
